@@ -25,7 +25,7 @@ def severity(psi: Column) -> Column:
     return out
 
 
-def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin 0..bins-1; the upper edge belongs to the last bin."""
     place = F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0)) * bins).cast("int")
     return F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1))
@@ -42,7 +42,7 @@ def histograms(df: DataFrame, side: Column, features: Sequence[str], bins: int =
                 *[
                     F.struct(
                         F.lit(c).alias("feature"),
-                        _bin(F.col(c).cast("double"), F.lit(ends[f"lo_{c}"]), F.lit(ends[f"hi_{c}"]), bins).alias("bin"),
+                        equal_width_bin(F.col(c).cast("double"), F.lit(ends[f"lo_{c}"]), F.lit(ends[f"hi_{c}"]), bins).alias("bin"),
                     )
                     for c in features
                 ]

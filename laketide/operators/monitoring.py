@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.functions.scalars import mean, percent
+from laketide.operators import drift
 from laketide.operators.windows import bounded_frame
 
 # Run states, health limit, severity order, alert limits.
@@ -171,3 +172,47 @@ def cost_breakdown(usage: DataFrame, kinds: Sequence[tuple[str, str]], names: Se
     return usage.groupBy(kind.alias("resource_type"), name.alias("resource_name"), "sku").agg(
         units.cast("double").alias("units"), (units.cast("double") * unit_price).alias("cost")
     )
+
+
+def health_status(auc: Column, max_psi: Column, open_critical: Column) -> Column:
+    """Overall state of a model service: open alerts weigh most, then drift, then quality."""
+    return (
+        F.when(open_critical > 0, "DEGRADED")
+        .when((max_psi > 0.2) | (auc < 0.8), "WATCH")
+        .otherwise("HEALTHY")
+    )
+
+
+def volume_change(events: DataFrame, day: Column, at: str = "ts") -> DataFrame:
+    """Rows of a day against the day before. One conditional aggregate over two days of data;
+    the date filter reaches the scan."""
+    start = day.cast("timestamp_ntz")
+    window = events.where((F.col(at) >= start - F.expr("INTERVAL 1 DAY")) & (F.col(at) < start + F.expr("INTERVAL 1 DAY")))
+    counts = window.agg(F.count_if(F.col(at) >= start).alias("today"), F.count_if(F.col(at) < start).alias("yesterday"))
+    return counts.withColumn("pct_change", percent(F.col("today") - F.col("yesterday"), F.col("yesterday")))
+
+
+def daily_profile(df: DataFrame, day: Column, column: str, decimals: int = 6) -> DataFrame:
+    """count, mean, stddev, min and max of a column per day."""
+    x = F.col(column).cast("double")
+    return df.groupBy(day.alias("day")).agg(
+        F.count(column).alias("n"),
+        F.round(F.avg(x), decimals).alias("mean"),
+        F.round(F.stddev_samp(x), decimals).alias("stddev"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+    )
+
+
+def daily_drift(df: DataFrame, day: Column, column: str, bins: int = 10) -> DataFrame:
+    """JS distance between each day and the calendar day before it, over equal-width bins of
+    the whole range. Rows are counted per (day, bin) before anything else."""
+    x = F.col(column).cast("double")
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    cell = drift.equal_width_bin(x, F.lit(ends["lo"]), F.lit(ends["hi"]), bins)
+    counts = df.where(x.isNotNull()).groupBy(day.alias("day"), cell.alias("bin")).agg(F.count("*").alias("cur"))
+    shifted = counts.select(F.date_add("day", 1).alias("day"), "bin", F.col("cur").alias("ref"))
+    both = counts.join(shifted, ["day", "bin"], "full_outer").fillna(0, ["cur", "ref"])
+    # a day without a predecessor, or a predecessor without a day, has no pair
+    sides = both.groupBy("day").agg(F.sum("cur").alias("c"), F.sum("ref").alias("r")).where("c > 0 AND r > 0").select("day")
+    return drift.js_distance(both.join(sides, "day", "left_semi"), ["day"])

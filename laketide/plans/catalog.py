@@ -1,6 +1,16 @@
 """All registered queries; importing the modules fills the registry."""
 
-from laketide.plans import q_basics, q_changes, q_privacy, q_quality, q_relational, q_sources  # noqa: F401
+from laketide.plans import (  # noqa: F401
+    q_basics,
+    q_changes,
+    q_features,
+    q_monitoring,
+    q_privacy,
+    q_products,
+    q_quality,
+    q_relational,
+    q_sources,
+)
 from laketide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
