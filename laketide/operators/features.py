@@ -36,18 +36,14 @@ def feature_correlations(df: DataFrame, features: Sequence[str], target: str, de
     for f in features:
         x = F.col(f).cast("double")
         both = x.isNotNull() & y.isNotNull()
-        aggs += [
-            F.corr(x, y).alias(f"c_{f}"),
-            F.count_if(both).alias(f"n_{f}"),
-            F.min(F.when(both, x)).alias(f"lo_{f}"),
-            F.max(F.when(both, x)).alias(f"hi_{f}"),
-        ]
+        # corr() itself raises under ANSI mode when a side has no variance
+        spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+        aggs += [F.try_divide(F.covar_pop(x, y), spread).alias(f"c_{f}"), F.count_if(both).alias(f"n_{f}")]
     rows = unpivot_row(
         df.agg(*aggs),
-        [({"feature": f}, {"n": f"n_{f}", "raw": f"c_{f}", "lo": f"lo_{f}", "hi": f"hi_{f}"}) for f in features],
+        [({"feature": f}, {"n": f"n_{f}", "raw": f"c_{f}"}) for f in features],
     )
-    usable = (F.col("lo") < F.col("hi")) & ~F.isnan("raw")
-    value = F.when(usable, F.round("raw", decimals))
+    value = F.round("raw", decimals)
     return rows.select("feature", "n", value.alias("correlation"), F.abs(value).alias("abs_correlation"))
 
 

@@ -10,6 +10,7 @@ from laketide.plans import (  # noqa: F401
     q_quality,
     q_relational,
     q_sources,
+    q_streams,
 )
 from laketide.plans.registry import ORACLES, QUERIES
 
