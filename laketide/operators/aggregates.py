@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.operators.joins import join_null_safe
-from laketide.operators.windows import prefix_sums, range_chunks
+from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
 
 
 def unpivot_row(one_row: DataFrame, entries: Sequence[tuple[dict, dict]]) -> DataFrame:
@@ -86,7 +87,9 @@ def profile(df: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFra
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = (), chunks: int = 64) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, value: str, probabilities: Sequence[float], keys: Sequence[str] = (), chunks: int = 256, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Exact interpolated quantiles without gathering a group in one task.
 
     Values are first counted (combined before the shuffle), then the counts are summed along
@@ -95,9 +98,9 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float], k
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    chunk = range_chunks(present, "__v", chunks)
     counts = present.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    running = prefix_sums(counts, keys, ["__v"], {"__below": F.col("__n")}, chunk, inclusive=False)
+    chunk = partial(range_chunks, present, "__v", chunks)
+    running = prefix_sums(counts, keys, ["__v"], {"__below": F.col("__n")}, chunk, inclusive=False, hot_rows=hot_rows)
     sizes = present.groupBy(*keys).agg(F.count("*").alias("__size"))
     if keys:
         placed = join_null_safe(running, sizes, keys)

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laketide.operators.windows import prefix_sums, range_chunks
+from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
 
 # Floor for empty bins, number of bins, severity limits.
 EMPTY_BIN = 1e-6
@@ -82,25 +83,32 @@ def js_distance(counts: DataFrame, keys: Sequence[str], decimals: int = 6) -> Da
     return shares.groupBy(*keys).agg(F.round(F.sqrt(F.greatest(divergence, F.lit(0.0))), decimals).alias("js_distance"))
 
 
-def ks(df: DataFrame, side: Column, feature: str, decimals: int = 6, chunks: int = 64) -> DataFrame:
+def ks(
+    df: DataFrame, side: Column, feature: str, decimals: int = 6, chunks: int = 256, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic with the asymptotic p-value, one row.
 
     Rows are counted by value, then the counts are summed along the value order in two
     levels; no task sees all values.
     """
     x = df.select(F.col(feature).cast("double").alias("v"), side.cast("int").alias("c")).where("v is not null")
-    chunk = range_chunks(x, "v", chunks)
+    chunk = partial(range_chunks, x, "v", chunks)
     counts = x.groupBy("v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref"))
     sizes = x.agg(F.sum("c").alias("m"), F.sum(1 - F.col("c")).alias("n")).first()
     m, n = sizes["m"] or 0, sizes["n"] or 0
     if not m or not n:
         raise ValueError("both sides of a KS test need rows")
-    running = prefix_sums(counts, [], ["v"], {"cum_cur": F.col("cur"), "cum_ref": F.col("ref")}, chunk)
+    running = prefix_sums(counts, [], ["v"], {"cum_cur": F.col("cur"), "cum_ref": F.col("ref")}, chunk, hot_rows=hot_rows)
     gap = F.abs(F.col("cum_cur") / F.lit(float(m)) - F.col("cum_ref") / F.lit(float(n)))
     result = running.agg(F.max(gap).alias("raw"))
     root = math.sqrt(m * n / (m + n))
     scaled = F.col("raw") * (root + 0.12 + 0.11 / root)
-    series = sum(((-1) ** (k - 1)) * F.exp(-2.0 * k * k * scaled * scaled) for k in range(1, 101)) * 2.0
+
+    def term(k: Column) -> Column:
+        sign = F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+        return sign * F.exp(-2.0 * k * k * scaled * scaled)
+
+    series = 2.0 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda total, k: total + term(k))
     p = F.when(scaled < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
     return result.select(
         F.lit(feature).alias("feature"), F.round("raw", decimals).alias("ks_statistic"), F.round(p, decimals).alias("ks_pvalue")

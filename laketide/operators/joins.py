@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after checking the row count; the check reads at most
-    ``max_rows + 1`` rows. A larger side is returned unhinted, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring rows and bytes (as JSON text, an upper bound for
+    what a row holds); at most ``max_rows + 1`` rows are read for it. A larger side is
+    returned unhinted, for a shuffled join."""
+    size = df.limit(max_rows + 1).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
+    ).first()
+    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
 
 
 def enrich(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str] | str]]) -> DataFrame:

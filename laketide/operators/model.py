@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.functions.scalars import row_fingerprint
-from laketide.operators.windows import prefix_sums, range_chunks
+from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
 
 # Forest size, score limits of the review queue.
 TREES, DEPTH, SEED = 100, 10, 42
@@ -77,13 +78,13 @@ def classification_metrics(df: DataFrame, label: str, prediction: str) -> DataFr
     )
 
 
-def auc(df: DataFrame, label: str, score_col: str, chunks: int = 64) -> DataFrame:
+def auc(df: DataFrame, label: str, score_col: str, chunks: int = 256, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Exact area under the ROC curve, ties counted half: over distinct scores,
     ``sum(pos * (neg_below + neg_equal / 2)) / (pos * neg)``."""
     x = df.select(F.col(label).cast("int").alias("y"), F.col(score_col).cast("double").alias("s"))
-    chunk = range_chunks(x, "s", chunks)
+    chunk = partial(range_chunks, x, "s", chunks)
     counts = x.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    running = prefix_sums(counts, [], ["s"], {"below": F.col("neg")}, chunk, inclusive=False)
+    running = prefix_sums(counts, [], ["s"], {"below": F.col("neg")}, chunk, inclusive=False, hot_rows=hot_rows)
     won = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.sum("pos").cast("decimal(19,0)") * F.sum("neg").cast("decimal(19,0)")
     return running.agg((F.try_divide(won.cast("double"), (2 * pairs).cast("double"))).alias("auc"))

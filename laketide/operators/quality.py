@@ -17,12 +17,14 @@ from laketide.operators.windows import latest_per_key
 
 @dataclass(frozen=True)
 class Rule:
-    """A named check. ``fails`` is true for a bad row; NULL means the check cannot tell."""
+    """A named check. ``fails`` is true for a bad row; NULL means the check cannot tell.
+    ``flagged`` marks a check on a flag that a join added to the frame."""
 
     name: str
     fails: Column
     severity: str = "error"
     action: str = "quarantine"
+    flagged: bool = False
 
 
 class BatchRejected(RuntimeError):
@@ -116,7 +118,8 @@ def rule_table_rules(
             fails = F.col(flag)
         else:
             fails = ~F.expr(f"({quote_columns(text, df.columns)})")
-        rules.append(Rule(rule_id, fails, row["severity"], row["action_on_fail"]))
+        flagged = row["rule_type"] in ("uniqueness", "referential_integrity")
+        rules.append(Rule(rule_id, fails, row["severity"], row["action_on_fail"], flagged))
     return df, rules
 
 
@@ -192,15 +195,22 @@ def expectations(df: DataFrame, warn: Sequence[Rule] = (), drop: Sequence[Rule]
     return annotate(out, list(warn), "warnings") if warn else out
 
 
-def apply_rule_actions(df: DataFrame, rules: Sequence[Rule], key: Sequence[str], newest_by: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_rule_actions(
+    raw: DataFrame, flagged: DataFrame, rules: Sequence[Rule], key: Sequence[str], newest_by: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Act on rules by their action: ``quarantine`` splits, ``deduplicate`` keeps the newest
     row per key. Returns clean rows, quarantined rows and the per-rule outcome, whose
-    ``fired`` column tells the caller which ``reject_batch`` and ``alert`` rules tripped."""
-    quarantine = [Rule(r.name, r.fails) for r in rules if r.action == "quarantine"]
-    good, bad = split(df, quarantine, "fail")
+    ``fired`` column tells the caller which ``reject_batch`` and ``alert`` rules tripped.
+
+    ``flagged`` is ``raw`` with the joined flags; rows are split on it only when a quarantine
+    rule needs a flag, so that the usual split is a plain filter.
+    """
+    quarantine = [Rule(r.name, r.fails, flagged=r.flagged) for r in rules if r.action == "quarantine"]
+    base = flagged if any(r.flagged for r in quarantine) else raw
+    good, bad = (part.select(*raw.columns) for part in split(base, quarantine, "fail"))
     if any(r.action == "deduplicate" for r in rules):
         good = latest_per_key(good, key, newest_by)
-    outcome = rule_metrics(df, rules).withColumn("fired", (F.col("failed") + F.col("unknown")) > 0)
+    outcome = rule_metrics(flagged, rules).withColumn("fired", (F.col("failed") + F.col("unknown")) > 0)
     return good, bad, outcome
 
 

@@ -1,9 +1,10 @@
 """Ordered operators that stay balanced when one key holds much of the table.
 
 A plain window sends all rows of a key to one task. ``prefix_sums`` and ``bounded_frame``
-therefore work in two levels when a key is hot: rows are windowed inside (key, chunk) and
-only one small row per (key, chunk) is ordered per key. ``chunk`` is any column that never
-decreases along the order, such as the month of the ordering date.
+therefore look for hot keys first. Without one they are a plain window. Rows of a hot key are
+windowed inside (key, chunk), and only one small row per (key, chunk) is ordered per key;
+rows of other keys form a single chunk. ``chunk`` is any column that never decreases along
+the order, such as the ordering minute, or a struct of day and id range.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from laketide.functions.scalars import bucket_by_bounds
 from laketide.operators.joins import join_null_safe
+from laketide.session import fresh_dir
+
+Chunk = Column | Callable[[], Column]
 
 HOT_ROWS = 5_000_000
 BLOCK_ROWS = 1_000_000
@@ -49,11 +53,31 @@ def top_n_ranked(df: DataFrame, order: Sequence[Column], n: int, name: str = "ra
     return best.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int) -> bool:
-    """True when some key has more than ``hot_rows`` rows; reads the key columns only."""
-    if not keys:
-        return True
-    return not df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(F.lit(1)).limit(1).isEmpty()
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys with more than ``hot_rows`` rows, or None. Reads the key columns once; at most
+    ``rows / hot_rows`` keys can be hot, and they are stored, so that the check and the later
+    join do not count twice."""
+    counts = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
+    path = fresh_dir(df.sparkSession, "hot_keys")
+    counts.select(*keys, F.lit(True).alias("__hot")).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    return None if stored.isEmpty() else stored
+
+
+def chunked(df: DataFrame, keys: Sequence[str], chunk: Chunk, hot_rows: int) -> DataFrame | None:
+    """``df`` with ``__chunk`` filled for hot keys only, or None when no key is hot. Without
+    keys the whole frame is one group."""
+    if keys:
+        hot = hot_keys(df, keys, hot_rows)
+        if hot is None:
+            return None
+        marked = join_null_safe(df, hot, keys)
+    else:
+        if df.count() <= hot_rows:
+            return None
+        marked = df.withColumn("__hot", F.lit(True))
+    pieces = chunk() if callable(chunk) else chunk
+    return marked.withColumn("__chunk", F.when(F.col("__hot"), pieces)).drop("__hot")
 
 
 def prefix_sums(
@@ -61,7 +85,7 @@ def prefix_sums(
     keys: Sequence[str],
     order: Sequence[str | Column],
     sums: Mapping[str, str | Column],
-    chunk: Column,
+    chunk: Chunk,
     inclusive: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -69,24 +93,30 @@ def prefix_sums(
     keys = list(keys)
     last = Window.currentRow if inclusive else -1
     values = {n: F.expr(v) if isinstance(v, str) else v for n, v in sums.items()}
-    if not has_hot_key(df, keys, hot_rows):
+    part = chunked(df, keys, chunk, hot_rows)
+    if part is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
         return df.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
 
-    part = df.withColumn("__chunk", chunk)
-    here = [*keys, "__chunk"]
-    per_chunk = part.groupBy(*here).agg(*[F.sum(v).alias(f"__s_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct for all keys: comparable as a whole even where a key is NULL, and the join
+    # below reuses the partitioning of the window above it
+    part = part.withColumn("__key", F.struct(*keys) if keys else F.lit(0))
+    per_chunk = part.groupBy("__key", "__chunk").agg(*[F.sum(v).alias(f"__s_{n}") for n, v in values.items()])
+    before = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(
-        *here,
+        F.col("__key").alias("__carry_key"),
+        F.col("__chunk").alias("__carry_chunk"),
         *[F.sum(f"__s_{n}").over(before).alias(f"__c_{n}") for n in values],
     )
-    inside = Window.partitionBy(*here).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    inside = Window.partitionBy("__key", "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     local = part.withColumns({f"__l_{n}": F.sum(v).over(inside) for n, v in values.items()})
-    joined = join_null_safe(local, carry, here)
+    # a NULL chunk is either a cold key's only one or the first of a hot key: nothing to carry
+    on = (F.col("__key") == F.col("__carry_key")) & (F.col("__chunk") == F.col("__carry_chunk"))
+    joined = local.join(carry, on, "left")
+    zero = F.lit(0)
     return joined.select(
         *[F.col(c) for c in df.columns if c not in values],
-        *[(F.coalesce(F.col(f"__l_{n}"), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))).alias(n) for n in values],
+        *[(F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero)).alias(n) for n in values],
     )
 
 
@@ -95,7 +125,7 @@ def bounded_frame(
     keys: Sequence[str],
     order: Sequence[str | Column],
     columns: Mapping[str, Callable[[WindowSpec], Column]],
-    chunk: Column,
+    chunk: Chunk,
     before: int = 0,
     after: int = 0,
     hot_rows: int = HOT_ROWS,
@@ -108,12 +138,13 @@ def bounded_frame(
     with ``prefix_sums`` and cut into blocks; each block also gets the few rows of its
     neighbours that the frame reaches, and gives them back after the window ran.
     """
-    if not has_hot_key(df, keys, hot_rows):
+    if (hot_keys(df, keys, hot_rows) is None) if keys else df.count() <= hot_rows:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: make(w) for n, make in columns.items()})
 
     block_rows = max(block_rows, before, after, 1)
-    numbered = prefix_sums(df, keys, order, {"__n": F.lit(1)}, chunk, inclusive=False, hot_rows=hot_rows)
+    ones = {"__n": F.lit(1).cast("bigint")}
+    numbered = prefix_sums(df, keys, order, ones, chunk, inclusive=False, hot_rows=hot_rows)
     home = F.floor(F.col("__n") / block_rows)
     at = F.col("__n") % block_rows
     targets = F.array_compact(
@@ -146,7 +177,7 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Col
 
 
 def strictly_past(
-    df: DataFrame, keys: Sequence[str], at: str, sums: Mapping[str, Column], chunk: Column, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], at: str, sums: Mapping[str, Column], chunk: Chunk, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Totals over rows of the same key with a strictly smaller ``at`` (rows that share a time
     never see each other). Sums are first built per (key, time)."""

@@ -14,6 +14,7 @@ from laketide.operators.windows import latest_per_key, top_n_ranked
 from laketide.plans.fixtures import SQL_D, SQL_I, declarations, invoices
 from laketide.plans.medallion import Medallion
 from laketide.plans.q_changes import SCD_SQL, scd_dimension
+from laketide.plans.q_relational import customer_places
 from laketide.plans.registry import query, sql_mean, sql_total, table
 from laketide.session import fresh_dir
 
@@ -232,13 +233,9 @@ def kpi_office_month(spark, sf):
     f"SELECT n_name AS office, COUNT(*) AS declarations, {sql_total('o_totalprice')} AS amount, MAX(o_orderdate) AS last_filed FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
 )
 def dashboard_office(spark, sf):
-    per_customer = table(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.sum(money("o_totalprice")).alias("a"), F.max("o_orderdate").alias("last")
-    )
-    offices = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    named = offices.select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("office"))
-    return per_customer.join(named, "o_custkey").groupBy("office").agg(
-        F.sum("n").alias("declarations"), F.sum("a").cast("double").alias("amount"), F.max("last").alias("last_filed")
+    placed = table(spark, sf, "orders").join(customer_places(spark, sf).drop("region"), "o_custkey")
+    return placed.groupBy("office").agg(
+        F.count("*").alias("declarations"), total("o_totalprice").alias("amount"), F.max("o_orderdate").alias("last_filed")
     )
 
 

@@ -363,8 +363,9 @@ RULE_ROWS_SQL = f"""{SQL_I}, dup AS (SELECT invoice_id FROM i GROUP BY 1 HAVING
 def rule_table_eval(spark, sf):
     """Rules read as table rows, each with its action."""
     known = table(spark, sf, "supplier").where("s_nationkey <> 4")
-    df, rules = dq.rule_table_rules(invoices(spark, sf), RULE_ROWS, {"suppliers": (known, "s_suppkey")})
-    good, bad, outcome = dq.apply_rule_actions(df, rules, ["invoice_id"], ["issued_at"])
+    raw = invoices(spark, sf)
+    flagged, rules = dq.rule_table_rules(raw, RULE_ROWS, {"suppliers": (known, "s_suppkey")})
+    good, bad, outcome = dq.apply_rule_actions(raw, flagged, rules, ["invoice_id"], ["issued_at"])
     clean_rows, quarantined_rows = good.count(), bad.count()
     return outcome.withColumns({"clean_rows": F.lit(clean_rows).cast("bigint"), "quarantined_rows": F.lit(quarantined_rows).cast("bigint")})
 

@@ -237,7 +237,7 @@ def stream_apply_delta(spark, sf):
     feed = order_feed(spark, sf)
     stage(feed, f"{root}/feed", "o_orderkey")
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
-    sink = DeltaSink(spark, f"{root}/sink", ["o_orderstatus"], money("o_totalprice"))
+    sink = DeltaSink(spark, f"{root}/sink", feed.select("o_orderstatus").schema, money("o_totalprice"))
     runners.await_all([runners.run_batches(stream, sink, f"{root}/checkpoint")])
     v0, _ = order_versions(spark, sf)
     moved = sink.applied_to(by_status(v0), {"amount": "delta", "n": "row_delta"})

@@ -8,9 +8,9 @@ table; ``compact`` folds old batches into one base.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,7 +61,41 @@ class BatchLog:
         row.coalesce(1).write.mode("append").parquet(self.path)
 
 
-class UpsertSink:
+class KeyedState:
+    """One row per key over all logged batches; ``compact`` bounds what a read has to touch."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.rows = BatchFolder(spark, f"{self.path}/rows", schema)
+        self.log = BatchLog(spark, f"{self.path}/log")
+
+    def _base(self) -> tuple[DataFrame | None, int]:
+        """The newest compacted state and the last batch it holds."""
+        if not exists(self.spark, f"{self.path}/bases"):
+            return None, -1
+        upto = self.spark.read.parquet(f"{self.path}/bases").agg(F.max("upto")).first()[0]
+        return self.spark.read.schema(self.rows.schema).parquet(f"{self.path}/base/upto={upto}"), upto
+
+    def current(self, upto: int | None = None) -> DataFrame:
+        """The newest batch's row of every key, up to the last logged (or a given) batch."""
+        last = self.log.last() if upto is None else upto
+        base, held = self._base()
+        rows = self.rows.read(last, after=held)
+        if base is not None:
+            rows = base.withColumn("batch", F.lit(held).cast("bigint")).unionByName(rows)
+        return latest_per_key(rows, self.keys, ["batch"]).drop("batch")
+
+    def compact(self) -> None:
+        """Write the current state as a new base; the batches in it are no longer read."""
+        last = self.log.last()
+        if last is None:
+            return
+        self.current(last).write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
+        mark = self.spark.createDataFrame([(last,)], "upto bigint")
+        mark.coalesce(1).write.mode("append").parquet(f"{self.path}/bases")
+
+
+class UpsertSink(KeyedState):
     """Quality split, quarantine, in-batch dedup, upsert, optional publishing, batch log."""
 
     def __init__(
@@ -74,11 +108,9 @@ class UpsertSink:
         rules: Sequence[dq.Rule] = (),
         publish: Callable[[DataFrame, int], None] | None = None,
     ):
-        self.spark, self.path = spark, path
-        self.keys, self.newest_by, self.rules, self.publish = list(keys), list(newest_by), list(rules), publish
-        self.rows = BatchFolder(spark, f"{path}/rows", schema)
-        self.quarantine = BatchFolder(spark, f"{path}/quarantine", schema)
-        self.log = BatchLog(spark, f"{path}/log")
+        super().__init__(spark, path, schema, keys)
+        self.newest_by, self.rules, self.publish = list(newest_by), list(rules), publish
+        self.quarantine = BatchFolder(spark, f"{self.path}/quarantine", schema)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.log.seen(batch_id):
@@ -96,75 +128,38 @@ class UpsertSink:
         finally:
             marked.unpersist()
 
-    def _base(self) -> tuple[DataFrame | None, int]:
-        """The newest compacted state and the last batch it holds."""
-        if not exists(self.spark, f"{self.path}/bases"):
-            return None, -1
-        upto = self.spark.read.parquet(f"{self.path}/bases").agg(F.max("upto")).first()[0]
-        return self.spark.read.schema(self.rows.schema).parquet(f"{self.path}/base/upto={upto}"), upto
 
-    def current(self, upto: int | None = None) -> DataFrame:
-        """One row per key after all logged batches (or up to a given one)."""
-        last = self.log.last() if upto is None else upto
-        base, held = self._base()
-        rows = self.rows.read(last, after=held)
-        if base is not None:
-            rows = base.withColumn("batch", F.lit(held).cast("bigint")).unionByName(rows)
-        return latest_per_key(rows, self.keys, ["batch"]).drop("batch")
-
-    def compact(self) -> None:
-        """Write the current state as a new base; older batches are no longer read."""
-        last = self.log.last()
-        if last is None:
-            return
-        self.current(last).write.mode("overwrite").parquet(f"{self.path}/base/upto={last}")
-        mark = self.spark.createDataFrame([(last,)], "upto bigint")
-        mark.coalesce(1).write.mode("append").parquet(f"{self.path}/bases")
-
-
-class GroupSink:
+class GroupSink(KeyedState):
     """Results of a streaming aggregate in update mode: each batch brings the groups that
     changed, the newest row of a group counts."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]):
-        self.keys = list(keys)
-        self.rows = BatchFolder(spark, f"{path}/rows", schema)
-        self.log = BatchLog(spark, f"{path}/log")
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.log.seen(batch_id):
             return
         self.rows.write(batch, batch_id)
         self.log.add(batch_id, 0, 0, 0)
 
-    def current(self) -> DataFrame:
-        return latest_per_key(self.rows.read(self.log.last()), self.keys, ["batch"]).drop("batch")
-
 
 class DeltaSink:
     """Change rows into a stored aggregate: each batch is reduced to its net change; sums are
     associative, so the aggregate is the start value plus all net changes."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], measure, delta_type: str = "decimal(38,2)"):
-        self.keys, self.measure, self.delta_type = list(keys), measure, delta_type
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key_schema: T.StructType, measure: Column, delta_type: str = "decimal(38,2)"):
+        self.keys, self.measure, self.delta_type = key_schema.names, measure, delta_type
+        delta = spark.createDataFrame([], f"delta {delta_type}, row_delta bigint").schema
+        self.deltas = BatchFolder(spark, f"{path}/deltas", T.StructType([*key_schema.fields, *delta.fields]))
         self.log = BatchLog(spark, f"{path}/log")
-        self.deltas: BatchFolder | None = None
-
-    def _folder(self, net: DataFrame) -> BatchFolder:
-        if self.deltas is None:
-            self.deltas = BatchFolder(self.spark, f"{self.path}/deltas", net.schema)
-        return self.deltas
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.log.seen(batch_id):
             return
-        net = changes.net_change(batch, self.keys, self.measure).withColumn("delta", F.col("delta").cast(self.delta_type))
-        self._folder(net).write(net, batch_id)
+        net = changes.net_change(batch, self.keys, self.measure)
+        self.deltas.write(net.withColumn("delta", F.col("delta").cast(self.delta_type)), batch_id)
         self.log.add(batch_id, 0, 0, 0)
 
-    def applied_to(self, aggregate: DataFrame, pairs: dict[str, str]) -> DataFrame:
-        if self.deltas is None:
-            return aggregate
-        moved = self.deltas.read(self.log.last()).groupBy(*self.keys).agg(*[F.sum(d).alias(d) for d in pairs.values()])
+    def applied_to(self, aggregate: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
+        """The aggregate after all logged batches; ``pairs`` maps its columns to ``delta`` and
+        ``row_delta``."""
+        net = self.deltas.read(self.log.last()).groupBy(*self.keys)
+        moved = net.agg(*[F.sum(d).alias(d) for d in pairs.values()])
         return changes.apply_delta(aggregate, moved, self.keys, pairs)
