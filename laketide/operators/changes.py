@@ -1,8 +1,9 @@
 """Row changes between a target table and a source: merge family, change feed, deltas.
 
 Operators return the new state; nothing is written. The target is never grouped or fully
-joined: it is left-joined with the source, so a source small enough to broadcast leaves a
-large target unshuffled, and adaptive execution can split a skewed target.
+joined: it is left-joined with the source. A source that is measured to be small is broadcast
+and leaves a large target unshuffled, whatever the optimizer estimates for it; otherwise the
+join is shuffled and adaptive execution can split a skewed target.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.operators.aggregates import duplicate_keys
+from laketide.operators.joins import broadcast_if_small
 from laketide.operators.windows import latest_per_key
 
 
@@ -62,7 +64,7 @@ def merge(
       target row and keeps an unmatched source row out.
     """
     keys = list(keys)
-    source = one_row_per_key(source, keys, dedup_by)
+    source = broadcast_if_small(one_row_per_key(source, keys, dedup_by))
     shared = [c for c in target.columns if c in source.columns]
     update = [c for c in shared if c not in keys] if update is None else list(update)
     insert = shared if insert is None else list(insert)
@@ -153,6 +155,6 @@ def recompute_affected(
     """Rebuild only the groups the feed touches. A touched group that has no rows any more
     disappears from the result."""
     keys = list(keys)
-    touched = feed.select(*keys).distinct()
+    touched = broadcast_if_small(feed.select(*keys).distinct())
     fresh = rows.join(touched, keys, "left_semi").groupBy(*keys).agg(*aggs)
     return aggregate.join(touched, keys, "left_anti").unionByName(fresh)

@@ -27,9 +27,10 @@ def severity(psi: Column) -> Column:
 
 
 def equal_width_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Equal-width bin 0..bins-1; the upper edge belongs to the last bin."""
+    """Equal-width bin 0..bins-1; the upper edge belongs to the last bin, NULL to none."""
     place = F.floor((x - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0)) * bins).cast("int")
-    return F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1))
+    # greatest() and least() skip NULLs, so an unguarded NULL would count as bin 0
+    return F.when(x.isNotNull(), F.least(F.greatest(place, F.lit(0)), F.lit(bins - 1)))
 
 
 def histograms(df: DataFrame, side: Column, features: Sequence[str], bins: int = BINS) -> DataFrame:

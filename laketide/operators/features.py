@@ -36,14 +36,19 @@ def feature_correlations(df: DataFrame, features: Sequence[str], target: str, de
     for f in features:
         x = F.col(f).cast("double")
         both = x.isNotNull() & y.isNotNull()
-        # corr() itself raises under ANSI mode when a side has no variance
+        # corr() itself raises under ANSI mode when a side has no variance. Merged partial
+        # averages are not exact, so "no variance" is decided by the range, not by stddev = 0.
         spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
-        aggs += [F.try_divide(F.covar_pop(x, y), spread).alias(f"c_{f}"), F.count_if(both).alias(f"n_{f}")]
+        aggs += [
+            F.try_divide(F.covar_pop(x, y), spread).alias(f"c_{f}"),
+            F.count_if(both).alias(f"n_{f}"),
+            ((F.min(F.when(both, x)) < F.max(F.when(both, x))) & (F.min(F.when(both, y)) < F.max(F.when(both, y)))).alias(f"ok_{f}"),
+        ]
     rows = unpivot_row(
         df.agg(*aggs),
-        [({"feature": f}, {"n": f"n_{f}", "raw": f"c_{f}"}) for f in features],
+        [({"feature": f}, {"n": f"n_{f}", "raw": f"c_{f}", "varies": f"ok_{f}"}) for f in features],
     )
-    value = F.round("raw", decimals)
+    value = F.when(F.col("varies"), F.round("raw", decimals))
     return rows.select("feature", "n", value.alias("correlation"), F.abs(value).alias("abs_correlation"))
 
 

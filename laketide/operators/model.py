@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from laketide.functions.scalars import row_fingerprint
 from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
+from laketide.session import fresh_dir
 
 # Forest size, score limits of the review queue.
 TREES, DEPTH, SEED = 100, 10, 42
@@ -31,12 +32,19 @@ def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataF
     return df.withColumn(name, weight)
 
 
-def train_forest(df: DataFrame, features: Sequence[str], label: str, trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
+def train_forest(
+    df: DataFrame, features: Sequence[str], label: str, trees: int = TREES, depth: int = DEPTH, path: str | None = None
+) -> PipelineModel:
+    """Train, store at ``path`` (a new folder of the shared one by default) and return the
+    stored model. A freshly fitted model drags its training summary, and with it the session,
+    into every scoring task; a loaded one does not."""
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=SEED
     )
     assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    return Pipeline(stages=[assembler, forest]).fit(with_class_weights(df, label))
+    where = path or fresh_dir(df.sparkSession, "forest")
+    Pipeline(stages=[assembler, forest]).fit(with_class_weights(df, label)).write().overwrite().save(where)
+    return PipelineModel.load(where)
 
 
 def score(df: DataFrame, model: PipelineModel, features: Sequence[str], version: str, at: Column) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.functions.scalars import row_fingerprint
+from laketide.operators.changes import unmatched
+from laketide.operators.joins import broadcast_if_small
 
 
 def initial(rows: DataFrame, valid_from: Column) -> DataFrame:
@@ -27,8 +29,10 @@ def _apply(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Seq
     """``differs`` compares ``t.`` (current version) and ``s.`` (incoming row).
 
     History is never joined: only current rows meet the changes, in one left join from the
-    dimension side, so small changes are broadcast and the dimension is not shuffled.
+    dimension side, so changes measured to be small are broadcast and the dimension is not
+    shuffled.
     """
+    changes = broadcast_if_small(changes)
     on = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     history, current = dim.where(~F.col("is_current")), dim.where(F.col("is_current"))
     pairs = current.alias("t").join(changes.select("*", F.lit(True).alias("__hit")).alias("s"), on, "left")
@@ -65,7 +69,7 @@ def _apply(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Seq
         ]
     )
     versions = pairs.select(F.explode(F.when(moved, F.array(closed, opened)).otherwise(F.array(closed))).alias("v")).select("v.*")
-    fresh = changes.join(current.select(*keys), list(keys), "left_anti")
+    fresh = unmatched(changes, current, keys)
     first = initial(fresh.select(*keys, *tracked), at)
     return history.unionByName(versions).unionByName(first.select(*dim.columns))
 
