@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from laketide.operators.joins import join_null_safe
 from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
+from laketide.sources.writers import stored
 
 
 def unpivot_row(one_row: DataFrame, entries: Sequence[tuple[dict, dict]]) -> DataFrame:
@@ -92,16 +93,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles without gathering a group in one task.
 
-    Values are first counted (combined before the shuffle), then the counts are summed along
-    the value order in two levels; the quantile is read off where the running count passes
-    its position. Columns: keys, ``q0``, ``q1``, ... in the order of ``probabilities``.
+    Values are first counted (combined before the shuffle) and the counts stored, as they are
+    read several times. They are summed along the value order, in two levels where there are
+    many; the quantile is read off where the running count passes its position. Columns:
+    keys, ``q0``, ``q1``, ... in the order of ``probabilities``.
     """
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    counts = present.groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    counts = stored(present.groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "value_counts")
     chunk = partial(range_chunks, present, "__v", chunks)
     running = prefix_sums(counts, keys, ["__v"], {"__below": F.col("__n")}, chunk, inclusive=False, hot_rows=hot_rows)
-    sizes = present.groupBy(*keys).agg(F.count("*").alias("__size"))
+    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:
         placed = join_null_safe(running, sizes, keys)
     else:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
+from laketide.sources.writers import stored
 
 # Floor for empty bins, number of bins, severity limits.
 EMPTY_BIN = 1e-6
@@ -94,8 +95,8 @@ def ks(
     """
     x = df.select(F.col(feature).cast("double").alias("v"), side.cast("int").alias("c")).where("v is not null")
     chunk = partial(range_chunks, x, "v", chunks)
-    counts = x.groupBy("v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref"))
-    sizes = x.agg(F.sum("c").alias("m"), F.sum(1 - F.col("c")).alias("n")).first()
+    counts = stored(x.groupBy("v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref")), "value_counts")
+    sizes = counts.agg(F.sum("cur").alias("m"), F.sum("ref").alias("n")).first()
     m, n = sizes["m"] or 0, sizes["n"] or 0
     if not m or not n:
         raise ValueError("both sides of a KS test need rows")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from laketide.functions.scalars import row_fingerprint
 from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
 from laketide.session import fresh_dir
+from laketide.sources.writers import stored
 
 # Forest size, score limits of the review queue.
 TREES, DEPTH, SEED = 100, 10, 42
@@ -91,7 +92,7 @@ def auc(df: DataFrame, label: str, score_col: str, chunks: int = 256, hot_rows:
     ``sum(pos * (neg_below + neg_equal / 2)) / (pos * neg)``."""
     x = df.select(F.col(label).cast("int").alias("y"), F.col(score_col).cast("double").alias("s"))
     chunk = partial(range_chunks, x, "s", chunks)
-    counts = x.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    counts = stored(x.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "score_counts")
     running = prefix_sums(counts, [], ["s"], {"below": F.col("neg")}, chunk, inclusive=False, hot_rows=hot_rows)
     won = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.sum("pos").cast("decimal(19,0)") * F.sum("neg").cast("decimal(19,0)")

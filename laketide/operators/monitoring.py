@@ -32,6 +32,11 @@ def in_state(state: str) -> Column:
     return F.count_if(F.col("state") == state)
 
 
+def with_measured_duration(runs: DataFrame) -> DataFrame:
+    """Duration in seconds from the two time stamps, for logs that do not record it."""
+    return runs.withColumn("duration_s", F.timestamp_diff("SECOND", F.col("started_at"), F.col("finished_at")))
+
+
 def success_summary(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Run counts by final state and the success rate; unfinished runs are left out."""
     finished = runs.where(F.col("finished_at").isNotNull())

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from laketide.functions.scalars import any_of, percent
 from laketide.operators.aggregates import unpivot_row
@@ -218,11 +217,14 @@ def apply_rule_actions(
 
 
 def schema_drift(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """One row per missing or extra column."""
-    have = set(df.columns)
-    rows = [(c, "missing") for c in expected if c not in have] + [(c, "extra") for c in df.columns if c not in expected]
-    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("drift", T.StringType())])
-    return df.sparkSession.createDataFrame(rows, schema)
+    """One row per missing or extra column, with the rows that fill an extra column."""
+    extra = [c for c in df.columns if c not in expected]
+    entries = [({"column": c, "drift": "missing"}, {"filled_rows": "__none"}) for c in expected if c not in df.columns]
+    entries += [({"column": c, "drift": "extra"}, {"filled_rows": f"__f_{c}"}) for c in extra]
+    if not entries:
+        return df.sparkSession.createDataFrame([], "column string, drift string, filled_rows bigint")
+    filled = df.agg(F.count_if(F.lit(False)).alias("__none"), *[F.count(c).alias(f"__f_{c}") for c in extra])
+    return unpivot_row(filled, entries)
 
 
 def null_percentages(df: DataFrame, limits: Mapping[str, float]) -> DataFrame:

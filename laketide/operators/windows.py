@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from laketide.functions.scalars import bucket_by_bounds
 from laketide.operators.joins import join_null_safe
-from laketide.session import fresh_dir
+from laketide.sources.writers import stored
 
 Chunk = Column | Callable[[], Column]
 
@@ -58,10 +58,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | N
     ``rows / hot_rows`` keys can be hot, and they are stored, so that the check and the later
     join do not count twice."""
     counts = df.groupBy(*keys).count().where(F.col("count") > hot_rows)
-    path = fresh_dir(df.sparkSession, "hot_keys")
-    counts.select(*keys, F.lit(True).alias("__hot")).write.parquet(path)
-    stored = df.sparkSession.read.parquet(path)
-    return None if stored.isEmpty() else stored
+    found = stored(counts.select(*keys, F.lit(True).alias("__hot")), "hot_keys")
+    return None if found.isEmpty() else found
 
 
 def chunked(df: DataFrame, keys: Sequence[str], chunk: Chunk, hot_rows: int) -> DataFrame | None:
@@ -180,8 +178,8 @@ def strictly_past(
     df: DataFrame, keys: Sequence[str], at: str, sums: Mapping[str, Column], chunk: Chunk, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Totals over rows of the same key with a strictly smaller ``at`` (rows that share a time
-    never see each other). Sums are first built per (key, time)."""
-    per_time = df.groupBy(*keys, at).agg(*[F.sum(v).alias(f"__v_{n}") for n, v in sums.items()])
+    never see each other). Sums are first built, and stored, per (key, time)."""
+    per_time = stored(df.groupBy(*keys, at).agg(*[F.sum(v).alias(f"__v_{n}") for n, v in sums.items()]), "per_time")
     past = prefix_sums(
         per_time, keys, [at], {n: F.col(f"__v_{n}") for n in sums}, chunk, inclusive=False, hot_rows=hot_rows
     )

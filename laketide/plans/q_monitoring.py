@@ -81,6 +81,19 @@ def job_health(spark, sf):
     return health.orderBy(order, F.desc("failures"))
 
 
+@query(
+    "update_health",
+    f"""WITH {SQL_R}, {SQL_J}, s AS (SELECT j.job_id, name AS job_name, owner, COUNT(run_id) AS total_runs, COUNT(CASE WHEN state = 'SUCCEEDED' THEN 1 END) AS successes,
+      COUNT(CASE WHEN state = 'FAILED' THEN 1 END) AS failures, COUNT(CASE WHEN state = 'TIMEDOUT' THEN 1 END) AS timeouts, MAX(started_at) AS last_run_at,
+      CAST(SUM(CAST(floor((epoch_us(finished_at) - epoch_us(started_at)) / 1000000) AS DECIMAL(18,2))) AS DOUBLE) / NULLIF(COUNT(finished_at), 0) / 60.0::DOUBLE AS avg_duration_min
+      FROM j LEFT JOIN r ON j.job_id = r.job_id AND started_at >= {NOW} - INTERVAL 3 DAY WHERE deleted_at IS NULL GROUP BY 1, 2, 3)
+    SELECT *, CAST(successes AS DOUBLE) * 100.0::DOUBLE / NULLIF(total_runs, 0) AS success_rate_pct, CASE WHEN total_runs = 0 THEN 'NO RUNS' WHEN failures > 0 AND CAST(failures AS DOUBLE) / total_runs > 0.2 THEN 'DEGRADED' WHEN failures > 0 THEN 'WATCH' ELSE 'HEALTHY' END AS health_status FROM s""",
+)
+def update_health(spark, sf):
+    """The same report for a log without a duration column, over three days."""
+    return mon.job_health(mon.with_measured_duration(runs(spark, sf)), jobs(spark, sf), as_of(), days=3)
+
+
 @query(
     "cost_breakdown",
     """WITH u AS (SELECT CASE WHEN event_type = 'click' THEN 'job' || CAST(user_id % 10 AS VARCHAR) END AS job_name, CASE WHEN event_type IN ('view', 'signup') THEN 'wh' || CAST(user_id % 3 AS VARCHAR) END AS warehouse_name,

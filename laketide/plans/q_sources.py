@@ -101,25 +101,26 @@ def audit_columns(spark, sf):
     return with_audit(rows, "run-1", "full", as_of(), F.col("file")).drop("file")
 
 
-@query("load_if_missing", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("load_if_missing", "SELECT o_orderkey, o_totalprice FROM orders")
 def load_if_missing_query(spark, sf):
-    path = fresh_dir(spark, "nation")
-    load_if_missing(spark, path, lambda: table(spark, sf, "nation"))
-    return load_if_missing(spark, path, lambda: table(spark, sf, "nation").limit(0))
+    """The second call finds the table and never builds it again."""
+    path, o = fresh_dir(spark, "orders"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    load_if_missing(spark, path, lambda: o)
+    return load_if_missing(spark, path, lambda: o.where("false"))
 
 
 @query(
     "config_loader",
-    """SELECT 'regions' AS source, COUNT(*) AS rows, 'full' AS load_type FROM region UNION ALL SELECT 'nations', COUNT(*), 'full' FROM nation
+    """SELECT 'customers' AS source, COUNT(*) AS rows, 'full' AS load_type FROM customer UNION ALL SELECT 'declarations', COUNT(*), 'full' FROM orders
     UNION ALL SELECT 'suppliers', COUNT(*), 'full' FROM supplier""",
 )
 def config_loader(spark, sf):
     root = fresh_dir(spark, "landing")
-    table(spark, sf, "region").write.option("header", True).csv(f"{root}/region")
-    table(spark, sf, "nation").write.json(f"{root}/nation")
+    table(spark, sf, "customer").select("c_custkey", "c_name").write.option("header", True).csv(f"{root}/customer")
+    table(spark, sf, "orders").select("o_orderkey", "o_totalprice").write.json(f"{root}/orders")
     config = [
-        {"name": "regions", "path": f"{root}/region", "format": "csv", "schema": "r_regionkey int, r_name string", "options": {"header": True}},
-        {"name": "nations", "path": f"{root}/nation", "format": "json", "schema": "n_nationkey int, n_name string, n_regionkey int"},
+        {"name": "customers", "path": f"{root}/customer", "format": "csv", "schema": "c_custkey bigint, c_name string", "options": {"header": True}},
+        {"name": "declarations", "path": f"{root}/orders", "format": "json", "schema": "o_orderkey bigint, o_totalprice double"},
         {"name": "suppliers", "path": f"{sf}/supplier.parquet", "format": "parquet"},
     ]
     out = None

@@ -11,6 +11,7 @@ from laketide.plans.q_changes import by_status, order_feed
 from laketide.plans.q_basics import VERSION_SQL, order_versions
 from laketide.plans.registry import query, sql_mean, sql_total, table
 from laketide.session import fresh_dir
+from laketide.sources.evolution import read_merged
 from laketide.streaming import runners, windows
 from laketide.streaming.batches import DeltaSink, GroupSink, UpsertSink
 
@@ -90,6 +91,26 @@ def stream_multi_source(spark, sf):
     return out
 
 
+@query(
+    "stream_evolve_columns",
+    """SELECT event_id, value, CASE WHEN event_id > (SELECT MIN(event_id) + 2 * ((MAX(event_id) - MIN(event_id)) // 3 + 1) - 1 FROM events) THEN event_type END AS event_type FROM events""",
+)
+def stream_evolve_columns(spark, sf):
+    """The last file brings a new column; the stream is restarted on the same checkpoint."""
+    root = fresh_dir(spark, "evolve_stream")
+
+    def run():
+        stream = runners.evolving_stream(spark, f"{root}/landing")
+        runners.await_all([runners.append_to(stream, f"{root}/out", f"{root}/checkpoint")])
+
+    rows = event_rows(spark, sf)
+    stage(rows.select("event_id", "value"), f"{root}/landing", "event_id", only=range(2))
+    run()
+    stage(rows.select("event_id", "value", "event_type"), f"{root}/landing", "event_id", only=range(2, SLICES))
+    run()
+    return read_merged(spark, f"{root}/out")
+
+
 def staged_stream(spark, sf, root):
     stage(event_rows(spark, sf), f"{root}/landing", "event_id")
     stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")

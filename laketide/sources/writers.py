@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laketide.session import fresh_dir
+
 TARGET_FILE_BYTES = 192 * 1024 * 1024
 
 
@@ -69,3 +71,9 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     """Store a result that is read several times and continue from the stored table."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` below the shared folder: later jobs read the table instead of
+    computing it again, also when an executor is lost."""
+    return materialize(df, fresh_dir(df.sparkSession, label))

@@ -21,6 +21,14 @@ def table_stream(spark: SparkSession, path: str, schema: StructType | str) -> Da
     return spark.readStream.schema(schema).parquet(path)
 
 
+def evolving_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A Parquet landing folder whose files may bring new columns. The merged schema is taken
+    from the file footers when the stream starts, so a restart from the same checkpoint picks
+    up columns that came since; older files read them as NULL."""
+    merged = spark.read.option("mergeSchema", True).parquet(path).schema
+    return spark.readStream.schema(merged).options(**options).parquet(path)
+
+
 def triggered(writer: DataStreamWriter, kind: str = "available_now", interval: str | None = None) -> DataStreamWriter:
     """``available_now`` reads what is there and stops; the other kinds keep running."""
     options = {

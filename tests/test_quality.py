@@ -99,8 +99,9 @@ def test_rule_table_with_every_kind_of_rule(spark):
 
 
 def test_schema_and_null_share_reports(spark, batch):
-    drift = sorted((r["column"], r.drift) for r in dq.schema_drift(batch, ["id", "tax_id", "region"]).collect())
-    assert drift == [("amount", "extra"), ("month", "extra"), ("region", "missing"), ("status", "extra")]
+    drift = sorted(tuple(r) for r in dq.schema_drift(batch, ["id", "tax_id", "region"]).collect())
+    assert drift == [("amount", "extra", 6), ("month", "extra", 6), ("region", "missing", 0), ("status", "extra", 6)]
+    assert dq.schema_drift(batch, batch.columns).isEmpty()
     shares = {r["column"]: r.breached for r in dq.null_percentages(batch, {"id": 20.0, "status": 10.0}).collect()}
     assert shares == {"id": False, "status": True}
 
