@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 ALERT_ABOVE, CRITICAL_ABOVE = 8.0, 10.0
 
 
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
 def with_event_time(df: DataFrame, at: str) -> DataFrame:
-    """Watermarks need TIMESTAMP; given tables carry TIMESTAMP_NTZ, read in the session zone."""
-    return df.withColumn(at, F.col(at).cast("timestamp"))
+    """Watermarks need TIMESTAMP. A column without a zone is read as UTC, so that windows do
+    not depend on the session's zone."""
+    if dict(df.dtypes)[at] != "timestamp_ntz":
+        return df
+    return df.withColumn(at, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, `{at}`))"))
+
+
+def utc_wall_clock(instant: str) -> Column:
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({instant}), {EPOCH})")
 
 
 def tumbling(df: DataFrame, at: str, length: str, delay: str, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -21,8 +31,8 @@ def tumbling(df: DataFrame, at: str, length: str, delay: str, keys: Sequence[str
     update mode a window is dropped from it once it is older than ``delay``."""
     counted = df.withWatermark(at, delay).groupBy(F.window(at, length), *keys).agg(*aggs)
     return counted.select(
-        F.col("window.start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window.end").cast("timestamp_ntz").alias("window_end"),
+        utc_wall_clock("window.start").alias("window_start"),
+        utc_wall_clock("window.end").alias("window_end"),
         *[c for c in counted.columns if c != "window"],
     )
 
