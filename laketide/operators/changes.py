@@ -14,9 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laketide.operators.aggregates import duplicate_keys
-from laketide.operators.joins import broadcast_if_small
+from laketide.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, is_small, row_bytes
 from laketide.operators.windows import latest_per_key
+from laketide.sources.writers import stored
 
 
 class DuplicateSourceKey(ValueError):
@@ -24,12 +24,19 @@ class DuplicateSourceKey(ValueError):
 
 
 def one_row_per_key(source: DataFrame, keys: Sequence[str], dedup_by: Sequence[str] | None) -> DataFrame:
+    """The source with unique keys, hinted for a broadcast when it is small.
+
+    Without ``dedup_by`` one pass over the source finds duplicate keys and its size."""
     if dedup_by is not None:
-        return latest_per_key(source, keys, dedup_by)
-    filled = source.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    if not duplicate_keys(filled.select(*keys), keys).isEmpty():
+        one = latest_per_key(source, keys, dedup_by)
+        return F.broadcast(one) if is_small(source) else one
+    filled = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    per_key = source.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(row_bytes(source)).alias("b"))
+    facts = per_key.agg(F.max(F.when(filled, F.col("n"))).alias("copies"), F.sum("n").alias("rows"), F.sum("b").alias("bytes")).first()
+    if (facts["copies"] or 0) > 1:
         raise DuplicateSourceKey(f"source has several rows for one of {list(keys)}; pass dedup_by")
-    return source
+    small = (facts["rows"] or 0) <= BROADCAST_ROWS and (facts["bytes"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(source) if small else source
 
 
 def _on(keys: Sequence[str]) -> Column:
@@ -64,7 +71,7 @@ def merge(
       target row and keeps an unmatched source row out.
     """
     keys = list(keys)
-    source = broadcast_if_small(one_row_per_key(source, keys, dedup_by))
+    source = one_row_per_key(source, keys, dedup_by)
     shared = [c for c in target.columns if c in source.columns]
     update = [c for c in shared if c not in keys] if update is None else list(update)
     insert = shared if insert is None else list(insert)
@@ -153,8 +160,9 @@ def recompute_affected(
     aggregate: DataFrame, feed: DataFrame, rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column]
 ) -> DataFrame:
     """Rebuild only the groups the feed touches. A touched group that has no rows any more
-    disappears from the result."""
+    disappears from the result. The touched keys are stored: both joins read them, and their
+    file size tells the optimizer whether to broadcast them."""
     keys = list(keys)
-    touched = broadcast_if_small(feed.select(*keys).distinct())
+    touched = stored(feed.select(*keys).distinct(), "touched_keys")
     fresh = rows.join(touched, keys, "left_semi").groupBy(*keys).agg(*aggs)
     return aggregate.join(touched, keys, "left_anti").unionByName(fresh)

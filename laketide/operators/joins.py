@@ -8,19 +8,33 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row's values: text by its length, nested values by their JSON text."""
+    parts = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+    return reduce(lambda a, b: a + b, parts).cast("bigint")
+
+
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measured, not estimated: at most ``max_rows + 1`` rows are looked at."""
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only after measuring rows and bytes (as JSON text, an upper bound for
-    what a row holds); at most ``max_rows + 1`` rows are read for it. A larger side is
-    returned unhinted, for a shuffled join."""
-    size = df.limit(max_rows + 1).agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
-    ).first()
-    return F.broadcast(df) if size["rows"] <= max_rows and size["bytes"] <= max_bytes else df
+    """Hint a broadcast only after measuring rows and bytes. A larger side is returned
+    unhinted, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df
 
 
 def enrich(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[str] | str]]) -> DataFrame:

@@ -41,8 +41,12 @@ class BatchFolder:
 
 
 class BatchLog:
+    """Finished batches of one sink. Only the sink's own stream writes to it, so the writer
+    remembers its last entry; readers always look it up."""
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._written: int | None = None
 
     def read(self) -> DataFrame:
         if not exists(self.spark, self.path):
@@ -53,12 +57,14 @@ class BatchLog:
         return self.read().agg(F.max("batch_id")).first()[0]
 
     def seen(self, batch_id: int) -> bool:
-        last = self.last()
-        return last is not None and batch_id <= last
+        if self._written is None:
+            self._written = self.last()
+        return self._written is not None and batch_id <= self._written
 
     def add(self, batch_id: int, rows_in: int, good: int, bad: int) -> None:
         row = self.spark.createDataFrame([(batch_id, rows_in, good, bad)], LOG_SCHEMA)
         row.coalesce(1).write.mode("append").parquet(self.path)
+        self._written = batch_id
 
 
 class KeyedState:
