@@ -49,10 +49,6 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 
 
-def all_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def normalize_category(c: str | Column, allowed: Sequence[str], default: str = "UNKNOWN") -> Column:
     """Keep a value of the domain, map everything else (NULL too) to ``default``."""
     return F.when(col(c).isin(*allowed), col(c)).otherwise(F.lit(default))

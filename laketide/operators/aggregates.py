@@ -105,6 +105,7 @@ def exact_quantiles(
     running = prefix_sums(counts, keys, ["__v"], {"__below": F.col("__n")}, chunk, inclusive=False, hot_rows=hot_rows)
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:
+        sizes = stored(sizes, "group_sizes")
         placed = join_null_safe(running, sizes, keys)
     else:
         # one size row: carried as a literal of the driver, not as a cross join

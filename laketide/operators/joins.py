@@ -48,6 +48,20 @@ def full_outer(frames: Sequence[DataFrame], on: Sequence[str] | str, fill: Mappi
     return joined.fillna(dict(fill)) if fill else joined
 
 
+def side_by_side(frames: Sequence[DataFrame], on: Sequence[str] | str, fill: Mapping | None = None) -> DataFrame:
+    """Full outer join of frames that hold one row per key and no measure in common.
+
+    The frames are stacked and grouped once. A chain of full outer joins gives the same rows
+    but shuffles again after every join, because each has a new, coalesced key. Rows with a
+    NULL key, which never match in a join, become one row here.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    measures = [c for c in stacked.columns if c not in keys]
+    joined = stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in measures])
+    return joined.fillna(dict(fill)) if fill else joined
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Rows whose key has no parent; a NULL key counts as an orphan, as in an anti join."""
     keys = parent.select(F.col(parent_key).alias("__parent_key"))

@@ -168,9 +168,10 @@ def range_chunks(df: DataFrame, c: str, n: int = 64) -> Column:
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
-    """Partition-wide aggregates on every row: aggregate (combined before the shuffle), then
-    join back. Adaptive execution can split the big side of the join, a window cannot."""
-    grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    """Partition-wide aggregates on every row: aggregate (combined before the shuffle), store,
+    join back. From the stored size Catalyst knows when to broadcast, which leaves ``df``
+    unshuffled; otherwise adaptive execution can split a hot group, a window it cannot."""
+    grouped = stored(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), "group_stats")
     return join_null_safe(df, grouped, keys)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from laketide.functions.scalars import mean, money, percent, total
 from laketide.operators import quality as dq
 from laketide.operators.features import active_labels, risk_score, tier
-from laketide.operators.joins import enrich, full_outer
+from laketide.operators.joins import enrich, side_by_side
 from laketide.operators.windows import latest_per_key, top_n_ranked
 from laketide.plans.fixtures import SQL_D, SQL_I, declarations, invoices
 from laketide.plans.medallion import Medallion
@@ -131,7 +131,7 @@ def citizen_360_left(spark, sf):
     f"WITH {AGGREGATES_SQL} SELECT id, last_year, {FILLED_SQL} FROM tax FULL OUTER JOIN social USING (id) FULL OUTER JOIN services USING (id) FULL OUTER JOIN bills USING (id)",
 )
 def citizen_360_full(spark, sf):
-    return full_outer(list(taxpayer_aggregates(spark, sf)), "id", MEASURES)
+    return side_by_side(list(taxpayer_aggregates(spark, sf)), "id", MEASURES)
 
 
 @query(
@@ -201,7 +201,7 @@ def audit_priority_top100(spark, sf):
     COALESCE(invoices, 0) AS invoices, COALESCE(invoiced, 0) AS invoiced FROM t FULL OUTER JOIN k USING (day) FULL OUTER JOIN b USING (day)""",
 )
 def daily_kpis(spark, sf):
-    """Each source is reduced to one row a day before the full joins."""
+    """Each source is reduced to one row a day before they are put side by side."""
 
     def daily(name, at, *measures):
         return table(spark, sf, name).groupBy(F.col(at).cast("date").alias("day")).agg(*measures)
@@ -212,7 +212,7 @@ def daily_kpis(spark, sf):
         daily("lineitem", "l_shipdate", F.count("*").alias("invoices"), total("l_extendedprice").alias("invoiced")),
     ]
     fill = {"declarations": 0, "tax_collected": 0.0, "service_events": 0, "avg_minutes": 0.0, "invoices": 0, "invoiced": 0.0}
-    return full_outer(frames, "day", fill)
+    return side_by_side(frames, "day", fill)
 
 
 @query(

@@ -103,6 +103,7 @@ def schema_drift(spark, sf):
 
 # ---- rules written as SQL -------------------------------------------------------------------------
 
+# Column names of a declared contract that Spark SQL cannot read unquoted.
 GREEK = {"declaration_id": "ΔηλωσηID", "amount": "Ποσό_EUR", "vat_amount": "ΦΠΑ", "status": "Κατάσταση", "tax_id": "ΑΦΜ"}
 DECLARED = [
     {"id": "R1", "expression": "ΑΦΜ IS NOT NULL AND length(ΑΦΜ) = 9", "severity": "error", "action_on_fail": "quarantine"},
@@ -338,6 +339,7 @@ def business_rule(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount")
 
 
+# The columns, rule types and actions of a rule table.
 RULE_ROWS = [
     {"rule_id": "DQ001", "rule_type": "completeness", "rule_expression": "invoice_id IS NOT NULL", "action_on_fail": "quarantine", "severity": "error"},
     {"rule_id": "DQ002", "rule_type": "range", "rule_expression": "net >= 1000", "action_on_fail": "quarantine", "severity": "error"},

@@ -89,6 +89,20 @@ def join_full_outer(spark, sf):
     return full_outer([issued, received], "nation", {"issued": 0, "received": 0})
 
 
+@query(
+    "join_full_outer_chain",
+    f"""WITH a AS (SELECT o_custkey AS id, COUNT(*) AS urgent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey AS id, COUNT(*) AS low FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1),
+    c AS (SELECT user_id AS id, {sql_total('value')} AS minutes FROM events GROUP BY 1)
+    SELECT id, COALESCE(urgent, 0) AS urgent, COALESCE(low, 0) AS low, COALESCE(minutes, 0) AS minutes FROM a FULL OUTER JOIN b USING (id) FULL OUTER JOIN c USING (id)""",
+)
+def join_full_outer_chain(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderpriority")
+    urgent = o.where("o_orderpriority = '1-URGENT'").groupBy("id").agg(F.count("*").alias("urgent"))
+    low = o.where("o_orderpriority = '5-LOW'").groupBy("id").agg(F.count("*").alias("low"))
+    minutes = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(total("value").alias("minutes"))
+    return full_outer([urgent, low, minutes], "id", {"urgent": 0, "low": 0, "minutes": 0.0})
+
+
 @query(
     "join_anti_orphans",
     f"""WITH {SQL_D} SELECT declaration_id, tax_id FROM d

@@ -97,6 +97,14 @@ def test_broadcast_only_below_the_measured_size(spark):
     assert "broadcast" not in plan(joins.broadcast_if_small(dim, max_bytes=1000))
 
 
+def test_side_by_side_equals_a_full_outer_chain(spark, rows):
+    a = spark.createDataFrame([(1, 10), (2, 20)], "id int, a int")
+    b = spark.createDataFrame([(2, "x"), (3, None)], "id int, b string")
+    c = spark.createDataFrame([(4, 1.5), (1, 2.5)], "id int, c double")
+    fill = {"a": 0, "c": 0.0}
+    assert rows(joins.side_by_side([a, b, c], "id", fill)) == rows(joins.full_outer([a, b, c], "id", fill))
+
+
 def test_orphans_and_changes(spark):
     child = spark.createDataFrame([(1, "a"), (2, None), (3, "zz")], "id int, ref string")
     parent = spark.createDataFrame([("a",)], "key string")

@@ -156,3 +156,41 @@ def test_failure_of_one_stream_is_raised(spark):
 
     with pytest.raises(Exception, match="broken batch"):
         runners.await_all([runners.run_batches(stream(spark, f"{root}/in"), broken, f"{root}/ck")])
+
+
+def test_running_streams_are_listed_and_stopped(spark):
+    root = fresh_dir(spark, "s")
+    land(spark, f"{root}/in", [(1, 1, 1)])
+    source = runners.file_stream(spark, f"{root}/in", "parquet", SCHEMA)
+    query = runners.append_to(source, f"{root}/out", f"{root}/ck", kind="processing_time", interval="1 second")
+    query.processAllAvailable()
+    assert runners.active_streams(spark) == [str(query.id)]
+    runners.stop_all(spark)
+    assert not query.isActive and spark.read.parquet(f"{root}/out").count() == 1
+
+
+def test_new_columns_arrive_after_a_restart(spark):
+    root = fresh_dir(spark, "s")
+
+    def run():
+        runners.await_all([runners.append_to(runners.evolving_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/ck")])
+
+    spark.createDataFrame([(1,)], "id int").write.mode("append").parquet(f"{root}/in")
+    run()
+    spark.createDataFrame([(2, "x")], "id int, tag string").write.mode("append").parquet(f"{root}/in")
+    run()
+    out = spark.read.option("mergeSchema", True).parquet(f"{root}/out")
+    assert sorted(tuple(r) for r in out.select("id", "tag").collect()) == [(1, None), (2, "x")]
+
+
+def test_json_and_csv_landing_folders(spark):
+    root = fresh_dir(spark, "s")
+    rows = spark.createDataFrame([(1, 2.5), (2, 3.5)], "id int, v double")
+    rows.write.json(f"{root}/json")
+    rows.write.option("header", True).csv(f"{root}/csv")
+    for fmt, options in (("json", {}), ("csv", {"header": True})):
+        source = runners.file_stream(spark, f"{root}/{fmt}", fmt, rows.schema, **options)
+        runners.await_all([runners.append_to(source, f"{root}/{fmt}_out", f"{root}/{fmt}_ck")])
+        out = spark.read.parquet(f"{root}/{fmt}_out")
+        assert sorted((r.id, r.v) for r in out.collect()) == [(1, 2.5), (2, 3.5)]
+        assert out.where(F.col("_source_file").contains(f"/{fmt}/")).count() == 2
