@@ -74,14 +74,20 @@ def row_fingerprint(columns: Sequence[str], missing: str = "\u0000") -> Column:
     return F.sha2(F.concat_ws("||", *parts), 256)
 
 
-def bucket_by_bounds(c: str | Column, bounds: Sequence) -> Column:
-    """Number of bounds that are <= the value, as a balanced CASE tree."""
-    value, bounds = col(c), sorted(bounds)
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
+def bucket_by_bounds(c: str | Column, bounds: Sequence[float]) -> Column:
+    """Number of bounds that are <= the value; NULL, which sorts first, gets 0.
+
+    A binary search over one array literal: its expression stays small for any number of
+    bounds, where a CASE with a branch per bound would outgrow the code generator.
+    """
+    if not bounds:
+        return F.lit(0)
+    size = 1 << len(bounds).bit_length()
+    table = F.lit([float(b) for b in sorted(bounds)] + [float("inf")] * (size - 1 - len(bounds)))
+    steps = F.lit([size >> i for i in range(1, size.bit_length())])
+    value = col(c).cast("double")
+
+    def narrow(found: Column, step: Column) -> Column:
+        return F.when(value >= F.element_at(table, found + step), found + step).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), narrow)

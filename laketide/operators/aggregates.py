@@ -101,7 +101,8 @@ def exact_quantiles(
     keys = list(keys)
     present = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     counts = stored(present.groupBy(*keys, "__v").agg(F.count("*").alias("__n")), "value_counts")
-    chunk = partial(range_chunks, present, "__v", chunks)
+    # chunks are balanced over the stored distinct values, which are the rows to be ordered
+    chunk = partial(range_chunks, counts, "__v", chunks)
     running = prefix_sums(counts, keys, ["__v"], {"__below": F.col("__n")}, chunk, inclusive=False, hot_rows=hot_rows)
     sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     if keys:

@@ -94,8 +94,8 @@ def ks(
     levels; no task sees all values.
     """
     x = df.select(F.col(feature).cast("double").alias("v"), side.cast("int").alias("c")).where("v is not null")
-    chunk = partial(range_chunks, x, "v", chunks)
     counts = stored(x.groupBy("v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref")), "value_counts")
+    chunk = partial(range_chunks, counts, "v", chunks)
     sizes = counts.agg(F.sum("cur").alias("m"), F.sum("ref").alias("n")).first()
     m, n = sizes["m"] or 0, sizes["n"] or 0
     if not m or not n:

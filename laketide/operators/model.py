@@ -91,8 +91,8 @@ def auc(df: DataFrame, label: str, score_col: str, chunks: int = 256, hot_rows:
     """Exact area under the ROC curve, ties counted half: over distinct scores,
     ``sum(pos * (neg_below + neg_equal / 2)) / (pos * neg)``."""
     x = df.select(F.col(label).cast("int").alias("y"), F.col(score_col).cast("double").alias("s"))
-    chunk = partial(range_chunks, x, "s", chunks)
     counts = stored(x.groupBy("s").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")), "score_counts")
+    chunk = partial(range_chunks, counts, "s", chunks)
     running = prefix_sums(counts, [], ["s"], {"below": F.col("neg")}, chunk, inclusive=False, hot_rows=hot_rows)
     won = F.sum((F.col("pos") * (2 * F.col("below") + F.col("neg"))).cast("decimal(38,0)"))
     pairs = F.sum("pos").cast("decimal(19,0)") * F.sum("neg").cast("decimal(19,0)")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from laketide.functions.scalars import bucket_by_bounds
 from laketide.operators.windows import (
     bounded_frame,
     latest_per_key,
@@ -92,3 +93,14 @@ def test_top_k_and_global_rank(skewed, rows):
 def test_hot_groups_are_cut_before_the_shuffle(skewed):
     plan = top_k_per_group(skewed, ["k"], [F.desc("v")], 2, "rank")._jdf.queryExecution().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 20, 255, 256])
+def test_buckets_count_the_bounds_below(spark, n):
+    rnd = random.Random(n)
+    bounds = [rnd.randint(-40, 40) / 2 for _ in range(n)]
+    values = [v / 4 for v in range(-100, 100, 3)] + [float("inf"), float("-inf")]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    got = [(r.v, r.b) for r in df.select("v", bucket_by_bounds("v", bounds).alias("b")).collect() if r.v != float("inf")]
+    assert got == [(v, sum(b <= v for b in bounds)) for v in values if v != float("inf")]
+    assert spark.createDataFrame([(None,)], "v double").select(bucket_by_bounds("v", bounds)).first()[0] == 0
