@@ -43,8 +43,9 @@ class SnapshotTable:
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
-        wanted = self.latest_version() if version is None else version
-        if wanted is None or self.history().where(F.col("version") == wanted).isEmpty():
+        last = self.latest_version()
+        wanted = last if version is None else version
+        if last is None or not 0 <= wanted <= last:  # versions have no gaps
             raise ValueError(f"no version {wanted} of {self.path}")
         return self.spark.read.parquet(f"{self.path}/version={wanted}")
 

@@ -136,6 +136,8 @@ def test_snapshots_travel_and_restore(spark, rows):
     assert table.read_as_of(datetime(2024, 1, 2, 23)).count() == 5
     with pytest.raises(ValueError):
         table.read_as_of(datetime(2023, 12, 31))
+    with pytest.raises(ValueError):
+        table.read(3)
     assert table.restore(1, ts(4)) == 3 and rows(table.read()) == rows(spark.range(5))
     assert [(r.version, r.operation, r.rows_written) for r in table.history().orderBy("version").collect()] == [
         (0, "WRITE", 3), (1, "WRITE", 5), (2, "WRITE", 1), (3, "RESTORE 1", 5)
@@ -163,3 +165,17 @@ def test_incremental_loads_move_the_mark_and_skip_repeats(spark):
     assert same_state(spark.range(10), table.read()).first().same
     table.full_load(spark.range(4), "r4", "id", ts(4))
     assert table.read().count() == 4
+
+
+def test_empty_commits_and_loads(spark):
+    table = SnapshotTable(spark, fresh_dir(spark, "t"))
+    table.commit(spark.range(5).where("false"), "WRITE", ts(1))
+    assert table.read().count() == 0 and table.history().first().rows_written == 0
+    loads = IncrementalTable(spark, fresh_dir(spark, "t"))
+    assert loads.full_load(spark.createDataFrame([], "id bigint"), "r1", "id", ts(1)) == 0
+    assert loads.high_mark() is None and loads.read().count() == 0
+    assert loads.incremental_load(spark.range(3), "r2", "id", ts(2)) == 3 and loads.read().count() == 3
+    empty = spark.createDataFrame([], "id int, status string")
+    some = spark.createDataFrame([(1, "a")], "id int, status string")
+    assert changes.merge(some, empty, ["id"]).count() == 1 and changes.merge(empty, some, ["id"]).count() == 1
+    assert changes.change_feed(empty, some, ["id"]).first()._change_type == "insert"
