@@ -12,6 +12,7 @@ from laketide.plans.q_basics import VERSION_SQL, order_versions
 from laketide.plans.registry import query, sql_mean, sql_total, table
 from laketide.session import fresh_dir
 from laketide.sources.evolution import read_merged
+from laketide.sources.writers import stored
 from laketide.streaming import runners, windows
 from laketide.streaming.batches import DeltaSink, GroupSink, UpsertSink
 
@@ -20,12 +21,20 @@ SLICES = 3
 
 
 def stage(df, path: str, order: str, slices: int = SLICES, only: range | None = None) -> None:
-    """Write ``df`` in slices of ascending ``order``, one file each, oldest first."""
+    """Write ``df`` in slices of ascending ``order``, oldest first."""
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // slices + 1
     for i in only if only is not None else range(slices):
         part = df.where((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+
+
+def feed_slices(df, root: str, order: str, start) -> None:
+    """The slices arrive one after the other; after each, ``start`` opens the stream on the
+    same checkpoint and it runs until nothing is left."""
+    for i in range(SLICES):
+        stage(df, f"{root}/landing", order, only=range(i, i + 1))
+        runners.await_all([start()])
 
 
 def event_rows(spark, sf):
@@ -34,15 +43,15 @@ def event_rows(spark, sf):
 
 @query(
     "stream_file_ingest",
-    """SELECT COUNT(*) AS rows, COUNT(DISTINCT event_id) AS ids, CAST(3 AS BIGINT) AS files, true AS grew_only_by_new, true AS last_run_added_nothing FROM events""",
+    """SELECT COUNT(*) AS rows, COUNT(DISTINCT event_id) AS ids, true AS several_files, true AS grew_only_by_new, true AS last_run_added_nothing FROM events""",
 )
 def stream_file_ingest(spark, sf):
-    """Two files, a run, one more file, a second run, a third run with nothing new."""
+    """Two slices, a run, one more slice, a second run, a third run with nothing new."""
     root = fresh_dir(spark, "ingest")
     source = event_rows(spark, sf)
 
     def run():
-        stream = runners.file_stream(spark, f"{root}/landing", "parquet", EVENT_SCHEMA, maxFilesPerTrigger=1)
+        stream = runners.file_stream(spark, f"{root}/landing", "parquet", EVENT_SCHEMA)
         runners.await_all([runners.append_to(stream, f"{root}/bronze", f"{root}/checkpoint")])
         return spark.read.parquet(f"{root}/bronze").count()
 
@@ -52,7 +61,7 @@ def stream_file_ingest(spark, sf):
     second, third = run(), run()
     landed = spark.read.schema(EVENT_SCHEMA).parquet(f"{root}/landing").count()
     result = spark.read.parquet(f"{root}/bronze").agg(
-        F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), F.countDistinct("_source_file").alias("files")
+        F.count("*").alias("rows"), F.countDistinct("event_id").alias("ids"), (F.countDistinct("_source_file") >= SLICES).alias("several_files")
     )
     return result.withColumns(
         {"grew_only_by_new": F.lit(first < second == landed), "last_run_added_nothing": F.lit(second == third)}
@@ -111,10 +120,21 @@ def stream_evolve_columns(spark, sf):
     return read_merged(spark, f"{root}/out")
 
 
-def staged_stream(spark, sf, root):
-    stage(event_rows(spark, sf), f"{root}/landing", "event_id")
-    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    return windows.with_event_time(stream, "ts")
+def event_stream(spark, root):
+    return windows.with_event_time(runners.table_stream(spark, f"{root}/landing", EVENT_SCHEMA), "ts")
+
+
+def group_results(spark, sf, root, keys, aggregate):
+    """A streaming aggregate in update mode, fed slice by slice."""
+    sinks = []
+
+    def start():
+        agg = aggregate(event_stream(spark, root))
+        sinks.append(GroupSink(spark, f"{root}/out", agg.schema, keys))
+        return runners.run_batches(agg, sinks[-1], f"{root}/checkpoint", mode="update")
+
+    feed_slices(event_rows(spark, sf), root, "event_id", start)
+    return sinks[-1].current()
 
 
 def value_aggs():
@@ -128,12 +148,11 @@ def value_aggs():
     COUNT(*) AS events, {sql_mean('value')} AS avg_value, MAX(value) AS max_value FROM events GROUP BY 1, 2, 3""",
 )
 def stream_tumbling_agg(spark, sf):
-    """Hourly windows with a watermark, in update mode over three micro-batches."""
-    root = fresh_dir(spark, "tumbling")
-    agg = windows.tumbling(staged_stream(spark, sf, root), "ts", "1 hour", "2 minutes", ["event_type"], value_aggs())
-    sink = GroupSink(spark, f"{root}/out", agg.schema, ["window_start", "window_end", "event_type"])
-    runners.await_all([runners.run_batches(agg, sink, f"{root}/checkpoint", mode="update")])
-    return sink.current()
+    """Hourly windows with a watermark, in update mode over three restarts."""
+    return group_results(
+        spark, sf, fresh_dir(spark, "tumbling"), ["window_start", "window_end", "event_type"],
+        lambda e: windows.tumbling(e, "ts", "1 hour", "2 minutes", ["event_type"], value_aggs()),
+    )
 
 
 @query(
@@ -144,18 +163,20 @@ def stream_tumbling_agg(spark, sf):
 def stream_tumbling_append(spark, sf):
     """Append mode: only windows the watermark has closed are written, each exactly once."""
     root = fresh_dir(spark, "tumbling_append")
-    agg = windows.tumbling(staged_stream(spark, sf, root), "ts", "1 day", "2 minutes", ["event_type"], value_aggs())
-    runners.await_all([runners.append_to(agg, f"{root}/out", f"{root}/checkpoint")])
+
+    def start():
+        agg = windows.tumbling(event_stream(spark, root), "ts", "1 day", "2 minutes", ["event_type"], value_aggs())
+        return runners.append_to(agg, f"{root}/out", f"{root}/checkpoint")
+
+    feed_slices(event_rows(spark, sf), root, "event_id", start)
     return spark.read.parquet(f"{root}/out")
 
 
 @query("stream_keyed_agg", f"SELECT user_id, COUNT(*) AS events, {sql_mean('value')} AS avg_value, MAX(value) AS max_value FROM events GROUP BY 1")
 def stream_keyed_agg(spark, sf):
-    root = fresh_dir(spark, "keyed")
-    agg = windows.keyed(staged_stream(spark, sf, root), "ts", "1 hour", ["user_id"], value_aggs())
-    sink = GroupSink(spark, f"{root}/out", agg.schema, ["user_id"])
-    runners.await_all([runners.run_batches(agg, sink, f"{root}/checkpoint", mode="update")])
-    return sink.current()
+    return group_results(
+        spark, sf, fresh_dir(spark, "keyed"), ["user_id"], lambda e: windows.keyed(e, "ts", "1 hour", ["user_id"], value_aggs())
+    )
 
 
 @query(
@@ -164,8 +185,12 @@ def stream_keyed_agg(spark, sf):
 )
 def stream_alerts(spark, sf):
     root = fresh_dir(spark, "alerts")
-    stream = windows.alerts(staged_stream(spark, sf, root), "value", 80, 100).select("event_id", "user_id", "value", "alert_severity")
-    runners.await_all([runners.append_to(stream, f"{root}/out", f"{root}/checkpoint")])
+
+    def start():
+        stream = windows.alerts(event_stream(spark, root), "value", 80, 100)
+        return runners.append_to(stream.select("event_id", "user_id", "value", "alert_severity"), f"{root}/out", f"{root}/checkpoint")
+
+    feed_slices(event_rows(spark, sf), root, "event_id", start)
     return spark.read.parquet(f"{root}/out")
 
 
@@ -187,15 +212,15 @@ REQUEST_SQL = """q AS (SELECT event_id % 4000 AS request_id, ts AS seen_at, even
 OUTCOMES = ["click", "error", "purchase", "signup", "view"]
 
 
-def request_stream(spark, sf, root, publish=None):
+def request_sink(spark, root, publish=None):
     schema = spark.createDataFrame([], REQUEST_SCHEMA).schema
     rules = [dq.Rule("key", F.col("request_id").isNull()), dq.Rule("outcome", ~F.col("outcome").isin(*OUTCOMES))]
     return UpsertSink(spark, f"{root}/silver", schema, ["request_id"], ["seen_at", "event_id"], rules, publish)
 
 
-def run_requests(spark, root, sink):
-    stream = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    runners.await_all([runners.run_batches(stream, sink, f"{root}/checkpoint")])
+def start_requests(spark, root, sink, checkpoint="checkpoint"):
+    stream = runners.table_stream(spark, f"{root}/landing", REQUEST_SCHEMA)
+    return runners.run_batches(stream, sink, f"{root}/{checkpoint}")
 
 
 @query(
@@ -205,29 +230,28 @@ def run_requests(spark, root, sink):
 def stream_dq_upsert(spark, sf):
     """Split, quarantine, dedup, upsert, publish, log; the last published aggregate."""
     root = fresh_dir(spark, "upsert")
-    stage(requests(spark, sf), f"{root}/landing", "event_id")
 
     def publish(state, batch_id):
         minutes = F.sum(money("minutes")).cast("double") / F.count("minutes")
         gold = state.groupBy("outcome").agg(F.count("*").alias("requests"), minutes.alias("avg_minutes"))
         gold.write.mode("overwrite").parquet(f"{root}/gold/batch={batch_id}")
 
-    sink = request_stream(spark, sf, root, publish)
-    run_requests(spark, root, sink)
+    sink = request_sink(spark, root, publish)
+    feed_slices(requests(spark, sf), root, "event_id", lambda: start_requests(spark, root, sink))
     bad = sink.log.read().agg(F.sum("rows_quarantined")).first()[0]
     return spark.read.parquet(f"{root}/gold/batch={sink.log.last()}").withColumn("quarantined", F.lit(bad).cast("bigint"))
 
 
 @query("stream_upsert_state", f"WITH {REQUEST_SQL} SELECT * FROM cur")
 def stream_upsert_state(spark, sf):
-    """The whole state, read over a compacted base and one later batch."""
+    """The whole state, read over a compacted base and a later batch."""
     root = fresh_dir(spark, "upsert_state")
-    sink = request_stream(spark, sf, root)
+    sink = request_sink(spark, root)
     stage(requests(spark, sf), f"{root}/landing", "event_id", only=range(2))
-    run_requests(spark, root, sink)
+    runners.await_all([start_requests(spark, root, sink)])
     sink.compact()
     stage(requests(spark, sf), f"{root}/landing", "event_id", only=range(2, SLICES))
-    run_requests(spark, root, sink)
+    runners.await_all([start_requests(spark, root, sink)])
     return sink.current()
 
 
@@ -236,15 +260,13 @@ def stream_upsert_state(spark, sf):
     f"WITH {REQUEST_SQL} SELECT COUNT(*) AS rows, CAST(3 AS BIGINT) AS batches, true AS replay_changed_nothing FROM cur",
 )
 def stream_idempotent(spark, sf):
-    """All batches are delivered a second time, with a new checkpoint and the same numbers."""
+    """The input is delivered a second time, under a batch number that is already logged."""
     root = fresh_dir(spark, "idempotent")
-    sink = request_stream(spark, sf, root)
-    stage(requests(spark, sf), f"{root}/landing", "event_id")
-    run_requests(spark, root, sink)
+    sink = request_sink(spark, root)
+    feed_slices(requests(spark, sf), root, "event_id", lambda: start_requests(spark, root, sink))
     before = fresh_dir(spark, "idempotent_before")
     sink.current().write.parquet(before)
-    stream = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    runners.await_all([runners.run_batches(stream, sink, f"{root}/checkpoint_replay")])
+    runners.await_all([start_requests(spark, root, sink, "checkpoint_replay")])
     changed = not sink.current().exceptAll(spark.read.parquet(before)).isEmpty()
     counts = sink.current().agg(F.count("*").alias("rows"))
     batches = sink.log.read().count()
@@ -255,11 +277,13 @@ def stream_idempotent(spark, sf):
 def stream_apply_delta(spark, sf):
     """A change feed as a stream into a stored aggregate."""
     root = fresh_dir(spark, "delta")
-    feed = order_feed(spark, sf)
-    stage(feed, f"{root}/feed", "o_orderkey")
-    stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    feed = stored(order_feed(spark, sf), "order_feed")
     sink = DeltaSink(spark, f"{root}/sink", feed.select("o_orderstatus").schema, money("o_totalprice"))
-    runners.await_all([runners.run_batches(stream, sink, f"{root}/checkpoint")])
+
+    def start():
+        return runners.run_batches(runners.table_stream(spark, f"{root}/landing", feed.schema), sink, f"{root}/checkpoint")
+
+    feed_slices(feed, root, "o_orderkey", start)
     v0, _ = order_versions(spark, sf)
     moved = sink.applied_to(by_status(v0), {"amount": "delta", "n": "row_delta"})
     return moved.withColumn("amount", F.col("amount").cast("double"))
