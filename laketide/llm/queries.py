@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laketide.llm import quality_llr
+from laketide.llm import bwt_dedup, fm_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +28,15 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality_llr.learn_weights(docs, table(spark, sf_dir, "labels"))
     return quality_llr.judge(docs, weights).select("doc_id", "quality.*")
+
+
+@query("op7_fm_index_dedup")
+def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm_dedup.removed(docs, with_text=False).select("doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256")
+
+
+@query("op10_bwt_merge_dedup")
+def op10_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bwt_dedup.removed(docs, with_text=False).select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
