@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from laketide.llm import bwt_dedup, fm_dedup, quality_llr
+from laketide.llm import bwt_dedup, fm_dedup, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.judge(docs, weights).select("doc_id", "quality.*")
 
 
+@query("op5_sketch_near_dedup")
+def op5_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_fm_index_dedup")
 def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
