@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laketide.llm import bwt_dedup, fm_dedup, near_dedup, quality_llr
+from laketide.llm import bpe, bwt_dedup, fm_dedup, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +47,10 @@ def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bwt_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bwt_dedup.removed(docs, with_text=False).select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", "repeats.kept_sha256")
+
+
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text")
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encoded(docs, ranks, public_tokenizers.PATTERN, digest=True).withColumnRenamed("row", "doc_id")
