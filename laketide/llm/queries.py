@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laketide.llm import bpe, bwt_dedup, fm_dedup, near_dedup, quality_llr
+from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text")
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.encoded(docs, ranks, public_tokenizers.PATTERN, digest=True).withColumnRenamed("row", "doc_id")
+
+
+def _sql_shingles(table_name: str, key: str, k: int) -> str:
+    """Distinct word shingles, A-Z lower-cased, in DuckDB."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""SELECT DISTINCT {key}, {gram} AS g FROM (
+        SELECT {key}, w, unnest(range(1, len(w) - {k - 2})) AS i FROM (
+            SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table_name}))"""
+
+
+OP9_SQL = f"""
+WITH d AS ({_sql_shingles("documents", "doc_id", 5)}),
+     b AS ({_sql_shingles("benchmark", "item_id", 5)}),
+     n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, item_shingles, count(*) AS shared, count(*) / item_shingles AS containment
+FROM d JOIN b USING (g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, item_shingles
+HAVING 100 * count(*) >= 80 * item_shingles"""
+
+
+@query("op9_contained_items", OP9_SQL)
+def op9_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.pairs(docs, table(spark, sf_dir, "benchmark"))
