@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, near_dedup, quality_llr
+from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, language_ppm, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,16 @@ HAVING 100 * count(*) >= 80 * item_shingles"""
 def op9_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.pairs(docs, table(spark, sf_dir, "benchmark"))
+
+
+def _remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query("op6_language_ppm")
+def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = language_ppm.learn(docs.where(_remainder(5) != 0))
+    held = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return language_ppm.predict(docs.select("doc_id", "text"), trees).select("doc_id", held.alias("held_out"), "lang_pred", "score")
