@@ -54,6 +54,15 @@ class Sums:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+    def each(self, size: int) -> np.ndarray:
+        """The hashes of all spans of ``size`` entries."""
+        x = (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size]
+        x ^= x >> U(32)
+        x *= U(0xD6E8FEB86659FD93)
+        x ^= x >> U(32)
+        return x
+
+
 def byte_values(buf: np.ndarray) -> np.ndarray:
     return _BYTE[buf]
 

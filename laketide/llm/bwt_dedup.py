@@ -1,13 +1,14 @@
 """Repeated byte strings by merging Burrows-Wheeler transforms.
 
-Texts are UTF-8 bytes. Fragments that may repeat (see ``fragments``) meet in a shard. A shard's
-suffixes are read in blocks of ``STEP`` bytes: the suffix from byte i is the sequence of blocks
-at i, i + STEP, ..., so ``LENGTH / STEP`` blocks are one window and every byte position keeps its
-suffix. Each part of a shard gets its own transform, sorted alone. The transforms are merged by
+Texts are UTF-8 bytes. Fragments that may repeat (see ``fragments``) meet in a shard. A fragment
+is a string of blocks of ``STEP`` bytes, cut both ways from its anchor: equal windows have equal
+anchors, so their blocks are cut alike and they share ``LENGTH / STEP - 1`` whole blocks. Each
+part of a shard gets its own transform over blocks, sorted alone. The transforms are merged by
 refining their interleave: starting from "all of part 0, all of part 1, ...", one stable
 distribution by the preceding block brings the interleave from order by j blocks to order by
-j + 1 blocks. The round in which two neighbours part is their common prefix; suffixes still
-together after ``LENGTH / STEP`` rounds start equal windows. No merged suffix array is sorted.
+j + 1 blocks. The round in which two neighbours part is their common prefix in blocks. No merged
+suffix array is sorted. Suffixes still together at the end are the repeated intervals; inside
+one, the up to ``STEP`` bytes on both sides of the shared blocks tell which windows are equal.
 
 Defined results: null or empty text has 0 bytes and nothing removed; texts shorter than
 ``LENGTH`` bytes lose nothing; repeated rows are copies of each other; null ids are allowed.
@@ -22,14 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.blocks import Sums, byte_values
+from laketide.llm.blocks import Sums, byte_values, mix
 from laketide.llm.common import packed
 from laketide.llm.fragments import covered, intervals, repeated_windows
 
 LENGTH = 400
-STEP = 16
-GRAM = 32
-PART = 1 << 16
+STEP = 40
+GRAM = 96
+PART = 1 << 12
 
 
 def transform(symbols: np.ndarray, follow: np.ndarray, rounds: int) -> np.ndarray:
@@ -92,50 +93,64 @@ def _places(interleave: np.ndarray, offset: np.ndarray, parts: int) -> np.ndarra
     return got
 
 
-def flags_of_shard(pieces: list[bytes], counts: list[int], length: int = LENGTH, step: int = STEP, part: int = PART) -> list[np.ndarray]:
-    """For each piece, which of its first ``counts`` windows occur at another place of the shard."""
-    rounds = length // step
-    hashes, sizes = [], []
-    for p in pieces:
-        values = byte_values(np.frombuffer(p, np.uint8))
-        at = np.arange(max(0, len(values) - step + 1))
-        hashes.append(Sums(values).of(at, at + step))
-        sizes.append(len(at))
-    if not sum(sizes):
-        return [np.zeros(c, dtype=bool) for c in counts]
-    name = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    size = np.array(sizes)
+def flags_of_shard(pieces: list[bytes], counts: list[int], leads: list[int], length: int = LENGTH, step: int = STEP, part: int = PART) -> list[np.ndarray]:
+    """For each piece, which of its first ``counts`` windows occur at another place of the shard.
+
+    Blocks are cut from each piece's anchor, ``leads`` bytes from its front, both ways.
+    """
+    rounds = length // step - 1
+    flags = [np.zeros(c, dtype=bool) for c in counts]
+    phase = np.array([lead % step for lead in leads], dtype=np.int64)
+    bytes_ = np.array([len(p) for p in pieces], dtype=np.int64)
+    size = np.maximum(0, (bytes_ - phase) // step)
+    if not size.sum():
+        return flags
+    sums = Sums(byte_values(np.frombuffer(b"".join(pieces), np.uint8)))
+    origin = np.concatenate(([0], np.cumsum(bytes_)[:-1]))
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     owner = np.repeat(np.arange(len(pieces)), size)
-    place = np.arange(len(name))
-    front = begin[owner] + (place - begin[owner]) % step
-    follow = place + step
-    last = follow >= (begin + size)[owner]
+    local = phase[owner] + (np.arange(len(owner)) - begin[owner]) * step
+    at = origin[owner] + local
+    name = np.unique(sums.of(at, at + step), return_inverse=True)[1]
     group = (begin // part)[owner]
+    bounds = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+    last = np.append(owner[1:] != owner[:-1], True)
+    first = np.append(True, last[:-1])
     before, suffix = [], []
-    for g in np.unique(group):
-        mine = np.flatnonzero(group == g)
-        low = mine[0]
-        ends = mine[last[mine]]
-        ends = ends[np.argsort(-front[ends])]
-        # entries: the suffixes of this part, then one empty suffix for each string
-        n, m = len(mine), len(ends)
-        nxt = np.append(follow[mine] - low, n + np.arange(m))
-        nxt[ends - low] = n + np.arange(m)
-        order = transform(np.append(name[mine], -1 - front[ends]), nxt, rounds)
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        n = high - low
+        ends = np.flatnonzero(last[low:high])
+        m = len(ends)
+        # entries: the suffixes of this part, then the empty suffix of each piece, the last piece's first
+        follow = np.append(np.arange(1, n + 1), n + np.arange(m))
+        follow[ends] = n + m - 1 - np.arange(m)
+        marks = -1 - owner[low + ends]
+        order = transform(np.append(name[low:high], marks[::-1]), follow, rounds)
         inner = order < n
-        at = np.where(inner, order + low, 0)
-        ahead = np.where(at - step >= begin[owner[at]], name[np.maximum(at - step, 0)], -1 - front[at])
-        before.append(np.where(inner, ahead, name[ends[np.maximum(order - n, 0)]]))
-        suffix.append(np.where(inner, at, -1))
+        here = np.where(inner, order + low, low)
+        ahead = np.where(first[here], -1 - owner[here], name[here - 1])
+        before.append(np.where(inner, ahead, name[low + ends[::-1][np.maximum(order - n, 0)]]))
+        suffix.append(np.where(inner, here, -1))
     order, prefix = merge(before, rounds)
     where = np.concatenate(suffix)[order]
-    together = np.zeros(len(where) + 1, dtype=bool)
-    together[: len(where)] = prefix >= rounds
-    together[:-1] |= together[1:]
-    hit = np.zeros(len(name), dtype=bool)
-    hit[where[together[:-1] & (where >= 0)]] = True
-    return [hit[b : b + c] for b, c in zip(begin, counts, strict=True)]
+    # repeated intervals of whole blocks, then the bytes on both sides of them
+    interval = np.cumsum(prefix < rounds)
+    alone = np.bincount(interval, minlength=interval[-1] + 1)[interval] < 2
+    where, interval = where[~alone], interval[~alone]
+    inside = where >= 0
+    where, interval = where[inside], interval[inside].astype(np.uint64)
+    left = np.arange(step)
+    start = local[where][:, None] - left
+    count = np.array(counts, dtype=np.int64)
+    good = (start >= 0) & (start < count[owner[where]][:, None])
+    row, e = np.nonzero(good)
+    begin_at = at[where[row]]
+    middle = begin_at + rounds * step
+    key = mix(interval[row] * np.uint64(step) + e.astype(np.uint64)) + sums.of(begin_at - e, begin_at) * np.uint64(3) + sums.of(middle, middle + step - e) * np.uint64(5)
+    again = np.unique(key, return_inverse=True, return_counts=True)
+    for piece, s in zip(owner[where[row]][hit := again[2][again[1]] > 1].tolist(), start[row, e][hit].tolist(), strict=True):
+        flags[piece][s] = True
+    return flags
 
 
 def removed(docs: DataFrame, length: int = LENGTH, step: int = STEP, gram: int = GRAM, into: str = "repeats", with_text: bool = True, **sizes) -> DataFrame:
@@ -145,8 +160,8 @@ def removed(docs: DataFrame, length: int = LENGTH, step: int = STEP, gram: int =
     row = docs.select(packed(docs).alias("row")).withColumn("mark", F.xxhash64("row.text"))
     keyed = row.select(F.col("row.doc_id").alias("doc_id"), "mark", F.col("row.text").alias("text"))
 
-    def index(pieces, counts):
-        return flags_of_shard(pieces, counts, length, step)
+    def index(pieces, counts, leads):
+        return flags_of_shard(pieces, counts, leads, length, step)
 
     spans = repeated_windows(keyed, "byte", length, gram, index, **sizes)
     joined = row.join(spans, F.col("row.doc_id").eqNullSafe(spans["doc_id"]) & (row["mark"] == spans["mark"]), "left").select("row", "lo", "hi")

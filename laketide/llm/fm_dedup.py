@@ -114,7 +114,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into: str =
     row = docs.select(packed(docs).alias("row")).withColumn("mark", F.xxhash64("row.text"))
     keyed = row.select(F.col("row.doc_id").alias("doc_id"), "mark", F.col("row.text").alias("text"))
 
-    def index(pieces, counts):
+    def index(pieces, counts, leads):
         return flags_of_shard(pieces, counts, length)
 
     spans = repeated_windows(keyed, "word", length, gram, index, **sizes)

@@ -30,10 +30,11 @@ from laketide.llm.blocks import Block, Sums, blocks, byte_values, signed, text_b
 from laketide.llm.common import block_count, stored
 
 HOT = 4096
+HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 SHARD_UNITS = 1 << 20
 
-RUNS = "doc_id long, mark long, anchor long, frag long, start int, n int"
-PIECES = "shard long, anchor long, frag long, n int, hot boolean, piece binary"
+RUNS = "doc_id long, mark long, anchor long, frag long, start int, n int, lead int"
+PIECES = "shard long, anchor long, frag long, n int, lead int, hot boolean, piece binary"
 FOUND = "anchor long, frag long, lo int, hi int"
 
 
@@ -45,6 +46,17 @@ def unit_values(block: Block, unit: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return hashes, at[:-1], at[1:]
 
 
+_reverse = np.zeros(0, dtype=np.uint64)
+
+
+def _backwards(n: int) -> np.ndarray:
+    """Falling numbers, so that the smaller of two keys with equal hashes is the one further right."""
+    global _reverse
+    if len(_reverse) < n:
+        _reverse = LOW - np.arange(max(n, 1 << 16), dtype=np.uint64)
+    return _reverse[:n]
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` consecutive entries, by doubling."""
     done = 1
@@ -56,41 +68,39 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(block: Block, unit: str, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Text number, anchor hash, fragment hash, first window and number of windows of every run."""
+    """Text number, anchor hash, fragment hash, first window, number of windows and distance to the anchor of every run."""
     values, begin, end = unit_values(block, unit)
     none = np.zeros(0, dtype=np.int64)
     if len(values) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     sums = Sums(values)
-    places = np.arange(len(values) - gram + 1)
-    grams = sums.of(places, places + gram)
-    keys = (grams >> np.uint64(32) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - places.astype(np.uint64))
+    grams = sums.each(gram)
+    keys = (grams & HIGH) | _backwards(len(grams))
     best = sliding_min(keys, length - gram + 1)
-    at = np.int64(0xFFFFFFFF) - (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    windows = np.arange(len(at))
-    text = np.searchsorted(begin, windows, side="right") - 1
-    inside = (text >= 0) & (windows + length <= end[np.maximum(text, 0)])
+    at = np.int64(0xFFFFFFFF) - (best & LOW).view(np.int64)
+    text = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(values))))[: len(at)]
+    inside = np.arange(length, length + len(at)) <= np.repeat(end, np.diff(np.append(begin, len(values))))[: len(at)]
     change = np.ones(len(at), dtype=bool)
     change[1:] = (at[1:] != at[:-1]) | ~inside[:-1] | (text[1:] != text[:-1])
     first = np.flatnonzero(inside & change)
     if not len(first):
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     stop = np.ones(len(at), dtype=bool)
     stop[:-1] = change[1:] | ~inside[1:]
     last = np.flatnonzero(inside & stop)
-    return text[first], signed(grams[at[first]]), signed(sums.of(first, last + length)), first - begin[text[first]], last - first + 1
+    return text[first], signed(grams[at[first]]), signed(sums.of(first, last + length)), first - begin[text[first]], last - first + 1, at[first] - first
 
 
 def _emit_runs(unit: str, length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches):
         for batch in batches:
             ids, marks = batch.column(0), batch.column(1)
-            for block in blocks(text_bytes(batch.column(2))):
-                text, anchor, frag, start, n = runs_of(block, unit, length, gram)
+            for block in blocks(text_bytes(batch.column(2)), 1 << 17):
+                text, anchor, frag, start, n, lead = runs_of(block, unit, length, gram)
                 row = pa.array(text + block.first)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), marks.take(row), pa.array(anchor), pa.array(frag), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "mark", "anchor", "frag", "start", "n"],
+                    [ids.take(row), marks.take(row), pa.array(anchor), pa.array(frag), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(lead.astype(np.int32))],
+                    names=["doc_id", "mark", "anchor", "frag", "start", "n", "lead"],
                 )
 
     return work
@@ -110,14 +120,14 @@ def _emit_pieces(unit: str, length: int, shards: int):
         for batch in batches:
             texts = text_bytes(batch.column(0))
             rows = batch.column(1).to_pylist()
-            out: dict[str, list] = {k: [] for k in ("shard", "anchor", "frag", "n", "hot", "piece")}
+            out: dict[str, list] = {k: [] for k in ("shard", "anchor", "frag", "n", "lead", "hot", "piece")}
             held = 0
             for text, wanted in zip(texts, rows, strict=True):
                 units = text if unit == "byte" else word_hashes(Block(0, [text]))[0].tobytes()
                 for w in wanted:
                     piece = units[w["start"] * width : (w["start"] + w["n"] + length - 1) * width]
                     held += len(piece)
-                    for k, v in (("shard", w["anchor"] % shards), ("anchor", w["anchor"]), ("frag", w["frag"]), ("n", w["n"]), ("hot", w["hot"]), ("piece", piece)):
+                    for k, v in (("shard", w["anchor"] % shards), ("anchor", w["anchor"]), ("frag", w["frag"]), ("n", w["n"]), ("lead", w["lead"]), ("hot", w["hot"]), ("piece", piece)):
                         out[k].append(v)
                 if held > 1 << 23:
                     yield _pieces(out)
@@ -128,7 +138,7 @@ def _emit_pieces(unit: str, length: int, shards: int):
 
 
 def _pieces(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
@@ -155,14 +165,14 @@ def intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index: Callable, shard_units: int = SHARD_UNITS, hot: int = HOT) -> DataFrame:
     """Per document (``doc_id``, ``mark``) the ranges of window places (arrays ``lo``, ``hi``) whose window starts anywhere else too.
 
-    ``docs`` has ``doc_id``, ``mark`` (hash of the text) and ``text``. ``index(pieces, flags)`` gets the
-    fragments of a shard as (piece, number of windows) and gives a flag array for each fragment.
+    ``docs`` has ``doc_id``, ``mark`` (hash of the text) and ``text``. ``index(pieces, counts, leads)`` gets the
+    fragments of a shard, their numbers of windows and the distances to their anchors and gives a flag array for each fragment.
     """
     runs = stored(docs.select("doc_id", "mark", "text").mapInArrow(_emit_runs(unit, length, gram), RUNS), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("frag").alias("a"), F.max("frag").alias("b")).where("c > 1")
     shared = stored(runs.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "shared")
     frags = shared.groupBy("anchor", "frag").agg(
-        F.count("*").alias("copies"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "start", "n")]
+        F.count("*").alias("copies"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "start", "n", "lead")]
     )
     frags = stored(frags, "frags")
     counts = frags.where("mixed").groupBy("anchor").agg(F.count("*").alias("k"))
@@ -171,18 +181,18 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index:
         frags.where("mixed")
         .join(counts.where(F.col("k") > hot), "anchor", "left")
         .groupBy("doc_id", "mark")
-        .agg(F.collect_list(F.struct("anchor", "frag", "start", "n", F.col("k").isNotNull().alias("hot"))).alias("rows"))
+        .agg(F.collect_list(F.struct("anchor", "frag", "start", "n", "lead", F.col("k").isNotNull().alias("hot"))).alias("rows"))
     )
     one = docs.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "text")
     texts = wanted.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
     pieces = stored(texts.select("text", "rows").mapInArrow(_emit_pieces(unit, length, shards), PIECES), "pieces")
 
     def search(table: pa.Table) -> pa.Table:
-        rows = zip(*(table.column(c).to_pylist() for c in ("anchor", "frag", "n", "piece")), strict=True)
-        once = {(a, f): (n, p) for a, f, n, p in rows}  # a repeated row of documents has sent it twice
-        n, piece = [v[0] for v in once.values()], [v[1] for v in once.values()]
+        rows = zip(*(table.column(c).to_pylist() for c in ("anchor", "frag", "n", "lead", "piece")), strict=True)
+        once = {(a, f): (n, lead, p) for a, f, n, lead, p in rows}  # a repeated row of documents has sent it twice
+        n, lead, piece = ([v[i] for v in once.values()] for i in range(3))
         out: tuple[list, list, list, list] = ([], [], [], [])
-        for (a, f), flags in zip(once, index(piece, n), strict=True):
+        for (a, f), flags in zip(once, index(piece, n, lead), strict=True):
             for lo, hi in zip(*intervals(flags), strict=True):
                 for column, v in zip(out, (a, f, lo, hi), strict=True):
                     column.append(int(v))
