@@ -170,7 +170,9 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index:
     """
     runs = stored(docs.select("doc_id", "mark", "text").mapInArrow(_emit_runs(unit, length, gram), RUNS), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("frag").alias("a"), F.max("frag").alias("b")).where("c > 1")
-    shared = stored(runs.join(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchor"), "shared")
+    # stored first: a join right above the aggregate could not split the rows of a hot anchor
+    anchors = stored(anchors.select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "anchors")
+    shared = stored(runs.join(anchors, "anchor"), "shared")
     frags = shared.groupBy("anchor", "frag").agg(
         F.count("*").alias("copies"), F.first("mixed").alias("mixed"), *[F.first(c).alias(c) for c in ("doc_id", "mark", "start", "n", "lead")]
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, language_ppm, near_dedup, quality_llr
+from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, language_ppm, lm_trie, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = language_ppm.learn(docs.where(_remainder(5) != 0))
     held = F.coalesce(_remainder(5) == 0, F.lit(False))
     return language_ppm.predict(docs.select("doc_id", "text"), trees).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_elias_fano_lm")
+def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "doc_id", "text")
+    return lm_trie.train_and_score(docs, _remainder(10) != 0).withColumnRenamed("row", "doc_id")
