@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laketide.llm import bpe, bwt_dedup, decontaminate, fm_dedup, language_ppm, lm_trie, near_dedup, quality_llr
+from laketide.llm import bpe, bwt_dedup, chat_collapse, decontaminate, fm_dedup, language_ppm, licences, lm_trie, near_dedup, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,31 @@ def op6_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "doc_id", "text")
     return lm_trie.train_and_score(docs, _remainder(10) != 0).withColumnRenamed("row", "doc_id")
+
+
+OP2_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+     m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i,
+                  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line FROM t),
+     r AS (SELECT conv_id, i, string_agg(turn || ':' || line, '') OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM m),
+     s AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id),
+     w AS (SELECT r.conv_id, n, prefix FROM r JOIN s ON r.conv_id = s.conv_id AND r.i = s.n),
+     k AS (SELECT min(conv_id) AS conv_id, n FROM w
+           WHERE NOT EXISTS (SELECT 1 FROM r JOIN s ON r.conv_id = s.conv_id WHERE r.i < s.n AND r.prefix = w.prefix)
+           GROUP BY prefix, n)
+SELECT k.conv_id, CAST(floor(turn / 256) AS BIGINT) AS part, n AS n_turns, string_agg(line, '' ORDER BY i) AS rendered
+FROM k JOIN m ON k.conv_id = m.conv_id GROUP BY 1, 2, 3"""
+
+
+@query("op2_chat_collapse", OP2_SQL)
+def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_collapse.render(table(spark, sf_dir, "conversations"))
+
+
+@query("op8_licence_scan")
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # the table has no paths: a source is a tree whose folders hold 100 and 10 neighbouring ids
+    deep = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 10).cast("string"), F.col("doc_id").cast("string"))
+    docs = docs.select("doc_id", "text", deep.alias("path"))
+    return licences.scan(docs, licences.learn(docs)).select("doc_id", "path", "licence.*")
