@@ -1,11 +1,18 @@
-"""A corpus pipeline over ``documents``: stages of the text operators, one after the other."""
+"""A corpus pipeline over ``documents``: stages of the text operators, one after the other.
+
+Each stage takes (spark, docs, sf_dir), works on every row it gets and returns the columns of
+documents, but for the last, which returns the encoded documents. ``n_chars`` follows the text
+where a stage cuts text away.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from laketide.llm import quality_llr
-from laketide.llm.common import table
+from laketide.llm import bpe, bwt_dedup, decontaminate, near_dedup, quality_llr
+from laketide.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,12 +21,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_llr.judge(docs, weights, into="__quality").where("__quality.kept").drop("__quality")
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_dedup.representatives(docs)
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 400 bytes that start elsewhere too go, as does a character cut in two."""
+    cut = bwt_dedup.removed(docs, into="__repeats")
+    changed = F.col("__repeats.n_removed") > 0
+    text = F.when(changed, F.col("__repeats.kept_text")).otherwise(F.col("text"))
+    out = cut.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token ids, with the digests of the ids and of the decoded bytes."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encoded(docs.select(F.col("doc_id").alias("row"), "text"), ranks, public_tokenizers.PATTERN, digest=True).withColumnRenamed("row", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_substrings", repeated_substrings),
+    ("benchmark_items", benchmark_items),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The stages hash with Spark's functions and merge tokens; tests compare them with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each result is stored and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -154,7 +154,7 @@ def flags_of_shard(pieces: list[bytes], counts: list[int], leads: list[int], len
 
 
 def removed(docs: DataFrame, length: int = LENGTH, step: int = STEP, gram: int = GRAM, into: str = "repeats", with_text: bool = True, **sizes) -> DataFrame:
-    """Every row of ``docs`` with a struct: byte counts, removed runs, the hash of what remains and, if wanted, the remaining bytes."""
+    """Every row of ``docs`` with a struct: byte counts, removed runs, the hash of what remains and, if wanted, that text (a character cut in two is left out)."""
     if length % step:
         raise ValueError("length must be a multiple of step")
     row = docs.select(packed(docs).alias("row")).withColumn("mark", F.xxhash64("row.text"))
@@ -173,8 +173,8 @@ def removed(docs: DataFrame, length: int = LENGTH, step: int = STEP, gram: int =
             flags = covered(a, b, len(raw), length)
             kept = raw if flags is None else np.frombuffer(raw, np.uint8)[~flags].tobytes()
             spans = 0 if flags is None else len(intervals(flags)[0])
-            rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+            rows.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
-    kind = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
+    kind = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"
     return joined.withColumn(into, F.pandas_udf(cut, kind)(F.col("row.text"), F.col("lo"), F.col("hi"))).select("row.*", into)

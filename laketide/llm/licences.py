@@ -123,8 +123,11 @@ def learn(docs: DataFrame, templates: dict[str, str] | None = None, cosine: floa
     return Templates(templates, docs.count(), {r["w"]: r["n"] for r in got}, cosine)
 
 
-def scan(docs: DataFrame, model: Templates, path: str = "path", into: str = "licence") -> DataFrame:
-    """Every row of ``docs`` (``text`` and a path) with a struct: own and inherited licence, cosine, governing directory."""
+def scan(docs: DataFrame, model: Templates, path: str = "path", into: str = "licence", any_speaks: bool = False) -> DataFrame:
+    """Every row of ``docs`` (``text`` and a path) with a struct: own and inherited licence, cosine, governing directory.
+
+    With ``any_speaks`` every licence that is found speaks for its directory.
+    """
     row = docs.select(packed(docs).alias("row"), F.col(path).alias("path"))
     text = F.coalesce(F.col("row.text"), F.lit(""))
 
@@ -138,9 +141,8 @@ def scan(docs: DataFrame, model: Templates, path: str = "path", into: str = "lic
     row = row.withColumn("hit", hit).withColumn("hit", F.when(-F.col("hit.far") >= model.cosine, F.col("hit")))
     head = F.when(F.col("hit").isNotNull() & F.rlike(first, F.lit(model.pattern)), model.best(first))
     name = F.element_at(F.split("path", "/"), -1)
-    row = row.withColumn("speaks", F.col("hit").isNotNull() & (F.rlike(name, F.lit(FILE_NAME)) | F.coalesce(-head["far"] >= model.cosine, F.lit(False))))
+    row = row.withColumn("speaks", F.col("hit").isNotNull() & (F.rlike(name, F.lit(FILE_NAME)) | F.coalesce(-head["far"] >= model.cosine, F.lit(False)) | F.lit(any_speaks)))
     row = row.withColumn("dir", F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")))
-    row = row.withColumn("__id", F.xxhash64("path", "row.text"))
     spoken = row.where("speaks AND dir IS NOT NULL").groupBy("dir").agg(F.min("hit").alias("h"))
     spoken = stored(spoken.select(F.col("dir").alias("at"), F.col("h.name").alias("inherited")), "licence-dirs")
     dirs = row.where("dir IS NOT NULL").select("dir").distinct()

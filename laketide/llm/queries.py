@@ -122,7 +122,8 @@ def op2_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_licence_scan")
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    # the table has no paths: a source is a tree whose folders hold 100 and 10 neighbouring ids
+    # the table has no paths and no file names: a source is a tree whose folders hold 100 and 10
+    # neighbouring ids, and every licence found speaks for its folder
     deep = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 10).cast("string"), F.col("doc_id").cast("string"))
     docs = docs.select("doc_id", "text", deep.alias("path"))
-    return licences.scan(docs, licences.learn(docs)).select("doc_id", "path", "licence.*")
+    return licences.scan(docs, licences.learn(docs), any_speaks=True).select("doc_id", "path", "licence.*")
