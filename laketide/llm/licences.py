@@ -138,7 +138,9 @@ def scan(docs: DataFrame, model: Templates, path: str = "path", into: str = "lic
 
     first = F.element_at(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), 1)
     hit = F.when(F.rlike(text, F.lit(model.pattern)), own(text))
-    row = row.withColumn("hit", hit).withColumn("hit", F.when(-F.col("hit.far") >= model.cosine, F.col("hit")))
+    # exploded arrays of one: filters stay above, so a text is compared once
+    row = row.select("*", F.explode(F.array(hit)).alias("hit"))
+    row = row.select("row", "path", F.explode(F.array(F.when(-F.col("hit.far") >= model.cosine, F.col("hit")))).alias("hit"))
     head = F.when(F.col("hit").isNotNull() & F.rlike(first, F.lit(model.pattern)), model.best(first))
     name = F.element_at(F.split("path", "/"), -1)
     row = row.withColumn("speaks", F.col("hit").isNotNull() & (F.rlike(name, F.lit(FILE_NAME)) | F.coalesce(-head["far"] >= model.cosine, F.lit(False)) | F.lit(any_speaks)))

@@ -103,8 +103,9 @@ def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, i
     df = df.withColumn("repeat", F.when(F.col("distinct") == F.size("windows"), 0).otherwise(_repeated(F.col("windows"))))
     df = df.withColumn("llr", F.coalesce(F.aggregate("grams", F.lit(0.0), lambda a, b: a + table[b]) / F.nullif(F.size("grams"), F.lit(0)), F.lit(0.0)))
     failed = (F.col("n") < MIN_WORDS) | (100 * F.col("repeat").cast("long") > MAX_REPEAT_PERCENT * F.col("n").cast("long"))
-    return df.select(
-        "row.*",
+    # exploding an array of one keeps later filters above all this: pushed below, they would
+    # take the place of the stored words and cut the text again for every word
+    verdict = F.explode(F.array(
         F.struct(
             F.col("n").cast("long").alias("n_words"),
             F.col("chars").cast("long").alias("word_chars"),
@@ -114,5 +115,6 @@ def judge(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, i
             failed.alias("base_failed"),
             (~failed & (F.col("llr") >= threshold)).alias("kept"),
             F.col("llr"),
-        ).alias(into),
-    )
+        )
+    ))
+    return df.select("row", verdict.alias(into)).select("row.*", into)
