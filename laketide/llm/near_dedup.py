@@ -11,11 +11,12 @@ sketch of n elements costs about n + T log T instead of n * T.
 Documents with equal sets are one node, the one with the smallest id. Nodes that agree in a whole
 band share a bucket. Links are found without all pairs of a bucket:
 
-* in a round, every node of a bucket is compared with one member, drawn by a hash; linked nodes
-  become one component, and buckets inside one component are finished;
-* rounds go on while the pairs left between components outnumber the documents (groups of near
-  copies collapse here);
-* then every remaining pair of one bucket and different components is compared.
+* shingles that no other candidate has bound every similarity from above: near copies with many
+  changes of their own leave before any comparison, and others meet few partners;
+* in a round, every node of a bucket is compared with one member, at first the one with the
+  fewest shingles of its own; linked nodes become one component, and buckets inside one component
+  are finished, so groups of near copies collapse here;
+* then every pair of one bucket and different components that the bound allows is compared.
 
 A pair with the similarity of 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7. Every
 link is confirmed on the full sets.
@@ -29,19 +30,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, blocks, mix, shingles, signed, text_bytes, word_hashes
-from laketide.llm.common import packed, stored
+from laketide.llm.common import packed, ship_code, stored
 from laketide.llm.components import components
 
 SHINGLE = 4
 BANDS = 40
 ROWS = 5
 PERCENT = 80
-STAR_ROUNDS = 6
-PAIRS_PER_NODE = 2
+STAR_ROUNDS = 2
+PAIRS_PER_NODE = 4
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> list[np.ndarray]:
@@ -67,8 +68,9 @@ def sketches(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
         return out
     items = np.concatenate([sets[i] for i in live])
     owner = np.repeat(live, [len(sets[i]) for i in live])
+    salts = mix(np.arange(1, 2 * t + 1, dtype=U))
     for r in range(2 * t):
-        h = mix(items ^ (U(r + 1) * U(0xA0761D6478BD642F)))
+        h = mix(items ^ salts[r])
         offer = (U(r) << U(40)) | (h & U((1 << 40) - 1))
         place = ((h >> U(40)) * U(t) >> U(24)).astype(np.int64) if r < t else np.full(len(items), r - t)
         np.minimum.at(flat, owner * t + place, offer)
@@ -102,6 +104,33 @@ def _emit_sketches(bands: int, rows: int, k: int):
     return work
 
 
+def _bounds(texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """``node``, ``n`` (shingles) and ``a`` (those that another candidate has too) of the nodes that may have a link.
+
+    Two nodes share at most min(a, a') shingles. Near copies with too many changes of their own
+    so drop out, or meet only a few others, without being compared.
+    """
+
+    def work(batches):
+        for batch in batches:
+            for block in blocks(text_bytes(batch.column(1), lower=True)):
+                sets = shingle_sets(block, k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
+
+    grams = texts.mapInArrow(work, "node long, grams array<long>")
+    one = grams.select("node", F.explode("grams").alias("gram"))
+    shared = one.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
+    have = one.join(shared, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("a"))
+    size = grams.groupBy("node").agg(F.min(F.size("grams")).cast("long").alias("n"))
+    return size.join(have, "node").where(100 * F.col("a") >= percent * F.col("n"))
+
+
+def _possible(percent: int) -> Column:
+    """Whether nodes (n, a) and (bn, ba) can reach the similarity: the intersection is at most the smaller of a and ba."""
+    most = F.least("a", "ba")
+    return 100 * most >= percent * (F.col("n") + F.col("bn") - most)
+
+
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -139,6 +168,7 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int =
 
 def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (``doc_id`` is the component's)."""
+    ship_code(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
     sketched = stored(plain.mapInArrow(_emit_sketches(bands, rows, k), kind), "sketch")
@@ -156,33 +186,33 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     close = members.select("node").distinct()
     texts = stored(plain.join(close.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
 
+    bounds = stored(_bounds(texts, percent, k), "bounds")
+    members = members.join(bounds, "node")
     links = stored(same.where("a <> b"), "links")
-    roots, turn = None, 0
-    while True:
-        named = members if roots is None else members.join(roots, "node", "left")
-        named = named.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        mixed = named.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("sq")).where("k > 1")
+    roots = stored(components(links), "roots")
+    for turn in range(STAR_ROUNDS + 1):
+        named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        per_root = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+        mixed = per_root.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
         mixed = stored(mixed, "mixed")
-        left = mixed.agg(F.sum((F.col("n").cast("double") * F.col("n") - F.col("sq")) / 2).alias("p")).first()["p"] or 0
+        left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("p")).first()["p"] or 0
         if not left:
             break
+        last = turn == STAR_ROUNDS or turn > 0 and left <= PAIRS_PER_NODE * total
         open_ = named.join(mixed.select("key"), "key")
-        if turn < STAR_ROUNDS and left > PAIRS_PER_NODE * max(total, 1):
-            draw = F.xxhash64("node", F.lit(turn))
-            heads = open_.groupBy("key").agg(F.min_by("node", draw).alias("h"), F.min_by("root", draw).alias("hr"))
-            pairs = open_.join(heads, "key").where("root <> hr").select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+        if last:
+            other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("bn"), F.col("a").alias("ba"))
+            pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _possible(percent)).select(F.col("node").alias("a"), "b").distinct()
         else:
-            other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-            pairs = open_.join(other, "key").where("node < b AND root <> other").select(F.col("node").alias("a"), "b").distinct()
-            turn = None
+            # first the member with the smallest share of shingles of its own, then others
+            draw = F.struct(F.when(F.lit(turn == 0), 1 - F.col("a") / F.col("n")).otherwise(0.0), F.xxhash64("node", F.lit(turn)))
+            heads = open_.groupBy("key").agg(*[F.min_by(c, draw).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"))])
+            pairs = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         found = stored(similar(pairs, texts, percent, k), "found")
         links = stored(links.unionAll(found), "links")
         roots = stored(components(links), "roots")
-        if turn is None:
+        if last:
             break
-        turn += 1
-    if roots is None:
-        roots = stored(components(links), "roots")
 
     named = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
