@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, blocks, mix, shingles, signed, text_bytes, word_hashes
-from laketide.llm.common import packed, stored
+from laketide.llm.common import packed, ship_code, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -52,17 +52,34 @@ def size_class(n: int) -> int:
     return n.bit_length() - 1
 
 
-def window_keys(grams: np.ndarray, size_classes: list[int]) -> np.ndarray:
-    """The keys of all windows of a document, for every size class."""
-    found = []
-    for i in range(MINIMA):
+def window_keys(grams: np.ndarray, sizes: np.ndarray, size_classes: list[int], field: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Document numbers and keys of the windows of several documents, those in ``field`` if it is given.
+
+    ``grams`` holds the shingles of all documents one after the other, ``sizes`` of each.
+    """
+    owners, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U)]
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
+    cuts = []
+    for j in size_classes if len(grams) else ():
+        u = (2 << j) - 1
+        parts = -(-sizes // u)
+        owner = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        follows = np.append(owner[1:] == owner[:-1], False)  # a part and the next are a window
+        cuts.append((j, begin[owner] + number * u, follows, np.flatnonzero(follows | (number == 0)), owner))
+    for i in range(MINIMA if cuts else 0):
         values = grams * _MULTIPLY[i]
-        for j in size_classes:
-            u = (2 << j) - 1
-            parts = np.minimum.reduceat(values, np.arange(0, len(values), u))
-            windows = np.minimum(parts[:-1], parts[1:]) if len(parts) > 1 else parts
-            found.append(_keys(windows, i, j))
-    return np.concatenate(found) if found else np.zeros(0, dtype=U)
+        for j, starts, follows, windows, owner in cuts:
+            parts = np.minimum.reduceat(values, starts)
+            best = np.where(follows, np.minimum(parts, np.append(parts[1:], U(0))), parts)[windows]
+            keys = _keys(best, i, j)
+            of = owner[windows]
+            if field is not None:
+                inside = _in_field(field, keys)
+                keys, of = keys[inside], of[inside]
+            owners.append(of)
+            found.append(keys)
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def _emit_items(k: int):
@@ -104,17 +121,16 @@ def _emit_hits(k: int, size_classes: list[int], key_field: np.ndarray, gram_fiel
         for batch in batches:
             ids, marks, all_keys, all_grams = [], [], [], []
             for block in blocks(text_bytes(batch.column(2), lower=True)):
-                for i, grams in enumerate(_sets(block, k)):
-                    if not len(grams):
-                        continue
-                    keys = window_keys(grams, size_classes)
-                    keys = keys[_in_field(key_field, keys)]
-                    if not len(keys):
-                        continue
-                    grams = np.unique(grams[_in_field(gram_field, grams)])
+                sets = _sets(block, k)
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                owner, keys = window_keys(np.concatenate(sets), sizes, size_classes, key_field)
+                order = np.argsort(owner, kind="stable")
+                owner, keys = owner[order], keys[order]
+                for i in np.unique(owner).tolist():
+                    grams = np.unique(sets[i][_in_field(gram_field, sets[i])])
                     ids.append(batch.column(0)[block.first + i].as_py())
                     marks.append(batch.column(1)[block.first + i].as_py())
-                    all_keys.append(signed(np.unique(keys)))
+                    all_keys.append(signed(np.unique(keys[slice(*np.searchsorted(owner, [i, i + 1]))])))
                     all_grams.append(signed(grams))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(all_keys, pa.list_(pa.int64())), pa.array(all_grams, pa.list_(pa.int64()))],
@@ -126,6 +142,7 @@ def _emit_hits(k: int, size_classes: list[int], key_field: np.ndarray, gram_fiel
 
 def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``mark`` (hash of the text), ``item_id``, ``item_shingles`` and ``shared`` of every document that contains an item."""
+    ship_code(docs.sparkSession)
     kind = "item_id long, item_shingles long, size_class int, grams array<long>, keys array<long>"
     known = stored(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_emit_items(k), kind).where("item_shingles > 0"), "items")
     sizes = [r["size_class"] for r in known.select("size_class").distinct().collect()]  # at most 63
