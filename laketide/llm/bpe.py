@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.common import stored
+from laketide.llm.common import ship_code, stored
 
 BLOCK_BYTES = 8 << 20
 SLOTS = 1 << 14
@@ -142,6 +142,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
 
     With ``digest`` instead of ids: their number, the SHA-256 of their decimal list and of the decoded bytes.
     """
+    ship_code(docs.sparkSession)
     blocks = stored(tokenized(docs, pattern, block_bytes), "bpe-blocks")
     listed = blocks.where("refs IS NULL").select("block", F.posexplode("words").alias("place", "word"))
     words = listed.select("word").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import Sums, byte_values, mix
-from laketide.llm.common import packed
+from laketide.llm.common import packed, ship_code
 from laketide.llm.fragments import covered, intervals, repeated_windows
 
 LENGTH = 400
@@ -155,6 +155,7 @@ def flags_of_shard(pieces: list[bytes], counts: list[int], leads: list[int], len
 
 def removed(docs: DataFrame, length: int = LENGTH, step: int = STEP, gram: int = GRAM, into: str = "repeats", with_text: bool = True, **sizes) -> DataFrame:
     """Every row of ``docs`` with a struct: byte counts, removed runs, the hash of what remains and, if wanted, that text (a character cut in two is left out)."""
+    ship_code(docs.sparkSession)
     if length % step:
         raise ValueError("length must be a multiple of step")
     row = docs.select(packed(docs).alias("row")).withColumn("mark", F.xxhash64("row.text"))

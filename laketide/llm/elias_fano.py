@@ -60,7 +60,7 @@ class Trie:
     """Byte strings of up to ``depth`` bytes. Level j holds, in order, the last byte of every prefix of j bytes.
 
     ``pointers[j]`` gives where the children of a level's nodes begin on the next level (a monotone
-    sequence). Two code arrays per level are the payload.
+    sequence). Two arrays of 16-bit codes per level are the payload.
     """
 
     def __init__(self, symbols: list[np.ndarray], codes: list[list[np.ndarray]], pointers: list[EliasFano]):
@@ -73,7 +73,7 @@ class Trie:
         ``payload`` belongs to the node of a string, ``context_payload`` to its parent.
         """
         symbols, codes, pointers, parents = [], [], [], np.zeros(1, dtype=np.uint64)
-        context = np.zeros(1, dtype=np.uint8)
+        context = np.zeros(1, dtype=np.uint16)
         one = depth == 1
         if one.any():
             context[0] = context_payload[one][0]
@@ -82,7 +82,7 @@ class Trie:
         for j in range(1, levels + 1):
             shift = np.uint64(8 * (levels - j))
             level = np.unique(strings[depth >= j] >> shift)
-            own, below = np.zeros(len(level), dtype=np.uint8), np.zeros(len(level), dtype=np.uint8)
+            own, below = np.zeros(len(level), dtype=np.uint16), np.zeros(len(level), dtype=np.uint16)
             here, deeper = depth == j, depth == j + 1
             own[np.searchsorted(level, strings[here] >> shift)] = payload[here]
             below[np.searchsorted(level, strings[deeper] >> shift)] = context_payload[deeper]
@@ -92,14 +92,14 @@ class Trie:
             codes.append([own, below])
             nodes.append(level)
             contexts.append(below)
-        codes.insert(0, [np.zeros(1, np.uint8), contexts[0]])
+        codes.insert(0, [np.zeros(1, np.uint16), contexts[0]])
         return cls(symbols, codes, pointers)
 
     def find(self, strings: np.ndarray, depth: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
         """Payloads of strings of ``depth`` bytes and of their parents; 0 where there is no such node."""
         node = np.zeros(len(strings), dtype=np.int64)
         live = np.ones(len(strings), dtype=bool)
-        own, parent = np.zeros(len(strings), dtype=np.uint8), np.zeros(len(strings), dtype=np.uint8)
+        own, parent = np.zeros(len(strings), dtype=np.uint16), np.zeros(len(strings), dtype=np.uint16)
         for j in range(depth):
             symbol = ((strings >> np.uint64(8 * (levels - 1 - j))) & np.uint64(255)).astype(np.uint8)
             if j == depth - 1:
@@ -153,5 +153,5 @@ class Trie:
             pointers.append(EliasFano(n, bits, low, high, np.frombuffer(take(4 * c).tobytes(), np.uint32)))
         symbols = [take(head[k + j]) for j in range(levels)]
         k += levels
-        codes = [[take(head[k + j]), take(head[k + j])] for j in range(levels + 1)]
+        codes = [[take(2 * head[k + j]).view(np.uint16), take(2 * head[k + j]).view(np.uint16)] for j in range(levels + 1)]
         return cls(symbols, codes, pointers)

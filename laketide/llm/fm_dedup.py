@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.common import packed
+from laketide.llm.common import packed, ship_code
 from laketide.llm.fragments import covered, repeated_windows
 
 LENGTH = 35
@@ -111,6 +111,7 @@ def flags_of_shard(pieces: list[bytes], counts: list[int], length: int = LENGTH)
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, into: str = "repeats", with_text: bool = True, **sizes) -> DataFrame:
     """Every row of ``docs`` with a struct: word counts, the hash of the kept words and, if wanted, those words."""
+    ship_code(docs.sparkSession)
     row = docs.select(packed(docs).alias("row")).withColumn("mark", F.xxhash64("row.text"))
     keyed = row.select(F.col("row.doc_id").alias("doc_id"), "mark", F.col("row.text").alias("text"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import Block, Sums, blocks, byte_values, signed, text_bytes, word_hashes
-from laketide.llm.common import block_count, stored
+from laketide.llm.common import block_count, ship_code, stored
 
 HOT = 4096
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
@@ -168,6 +168,7 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index:
     ``docs`` has ``doc_id``, ``mark`` (hash of the text) and ``text``. ``index(pieces, counts, leads)`` gets the
     fragments of a shard, their numbers of windows and the distances to their anchors and gives a flag array for each fragment.
     """
+    ship_code(docs.sparkSession)
     runs = stored(docs.select("doc_id", "mark", "text").mapInArrow(_emit_runs(unit, length, gram), RUNS), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("frag").alias("a"), F.max("frag").alias("b")).where("c > 1")
     # stored first: a join right above the aggregate could not split the rows of a hot anchor

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import blocks
+from laketide.llm.common import ship_code
 
 ORDER = 3
 SAMPLE_ROWS = 400
@@ -153,6 +154,7 @@ def _distribution(tree: dict, key: tuple[int, ...], size: int, unseen: int) -> n
 
 def learn(docs: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, min_count: int = MIN_COUNT) -> Trees | None:
     """Trees from the rows of ``docs`` (doc_id, text, lang); None if none is labelled."""
+    ship_code(docs.sparkSession)
     counts = sample(docs, rows).select("lang", "text").mapInArrow(_count_contexts(order), "lang string, code long, n long")
     got = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     if not len(got):
@@ -162,6 +164,7 @@ def learn(docs: DataFrame, order: int = ORDER, rows: int = SAMPLE_ROWS, min_coun
 
 def predict(docs: DataFrame, trees: Trees | None, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Every row of ``docs`` with the predicted language and its score."""
+    ship_code(docs.sparkSession)
     if trees is None:
         return docs.withColumns({pred: F.lit("und"), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(trees)

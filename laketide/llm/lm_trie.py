@@ -4,7 +4,7 @@ The model predicts the bytes of a text one by one from up to ``ORDER - 1`` bytes
 (A-Z lower-cased) each followed by a blank, then an end mark. Probabilities are interpolated as
 by Witten and Bell: a context with T training symbols, D of them different, gives
 c / (T + D) + D / (T + D) * (probability after the context without its first byte), and below
-the empty context every one of 257 symbols is equally likely. Both numbers are kept as 8-bit
+the empty context every one of 257 symbols is equally likely. Both numbers are kept as 16-bit
 codes of their logarithms. A token's probability is the mean of that of its spelling and of its
 share in the word counts, so frequent words need not be spelled out.
 
@@ -12,7 +12,7 @@ All texts are counted; nothing is pruned. Documents are dealt into blocks of bou
 hash. A block sends its distinct n-grams, with their counts over training documents, and its
 distinct words to shards, all successors of a context to one. A shard adds up what it gets
 (several levels if there are many blocks), writes its n-grams as a trie of packed levels, maps it
-into memory, and answers every block in the order asked: two bytes per n-gram, a count per word.
+into memory, and answers every block in the order asked: four bytes per n-gram, a count per word.
 Blocks then score their documents. So what is shuffled is distinct n-grams per block, not tokens.
 
 Defined results: null and empty texts are the end mark alone. With no training text every
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, mix, text_bytes, word_hashes
-from laketide.llm.common import block_count, stored
+from laketide.llm.common import block_count, ship_code, stored
 from laketide.llm.elias_fano import Trie
 
 ORDER = 6
@@ -38,20 +38,21 @@ FAN_IN = 256
 START, END = 254, 255  # never bytes of UTF-8
 END_WORD = U(0)
 _DECADES = 9.0
-_VALUE = np.concatenate(([0.0], 10.0 ** (-_DECADES * np.arange(255) / 254)))  # code 0: none; 1: probability 1
+_STEPS = 65534
+_VALUE = np.concatenate(([0.0], 10.0 ** (-_DECADES * np.arange(_STEPS + 1) / _STEPS)))  # code 0: none; 1: probability 1
 
 
 def _code(p: np.ndarray) -> np.ndarray:
-    """The 8-bit code of probabilities, on a logarithmic scale."""
-    out = np.zeros(len(p), dtype=np.uint8)
+    """The 16-bit code of probabilities, on a logarithmic scale."""
+    out = np.zeros(len(p), dtype=np.uint16)
     some = p > 0
-    out[some] = 1 + np.clip(np.rint(-np.log10(p[some]) * 254 / _DECADES), 0, 254).astype(np.uint8)
+    out[some] = 1 + np.clip(np.rint(-np.log10(p[some]) * _STEPS / _DECADES), 0, _STEPS).astype(np.uint16)
     return out
 
 
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of the same weight together: sorted numbers then compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
 def _unplanes(raw: bytes, kind) -> np.ndarray:  # noqa: ANN001
@@ -217,7 +218,7 @@ def _answer(order: int):
         for shard, block, grams, words in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "grams", "words")), strict=True):
             keys = _unplanes(grams, U)
             strings, depth = keys >> U(8), (keys & U(255)).astype(np.int64)
-            own, parent = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.uint8)
+            own, parent = np.zeros(len(keys), dtype=np.uint16), np.zeros(len(keys), dtype=np.uint16)
             for k in range(1, order + 1):
                 mine = np.flatnonzero(depth == k)
                 if trie is not None and len(mine):
@@ -227,7 +228,7 @@ def _answer(order: int):
             if len(known):
                 at = np.minimum(np.searchsorted(known, w), len(known) - 1)
                 n = np.where(known[at] == w, counts[at], 0)
-            rows.append((shard, block, own.tobytes(), parent.tobytes(), _planes(n)))
+            rows.append((shard, block, _planes(own), _planes(parent), _planes(n)))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "of", "own", "parent", "word_counts"])
@@ -244,9 +245,9 @@ def _score(order: int, shards: int, tokens: int, types: int):
         block = Grams(texts, order)
         levels, _, (gram_order, _), words, (word_order, _) = _asked(block, shards)
         answers = answers.sort_by("shard")
-        own, parent = np.empty(len(gram_order), np.uint8), np.empty(len(gram_order), np.uint8)
-        own[gram_order] = np.frombuffer(b"".join(answers.column("own").to_pylist()), np.uint8)
-        parent[gram_order] = np.frombuffer(b"".join(answers.column("parent").to_pylist()), np.uint8)
+        own, parent = np.empty(len(gram_order), np.uint16), np.empty(len(gram_order), np.uint16)
+        own[gram_order] = np.concatenate([_unplanes(c, np.uint16) for c in answers.column("own").to_pylist()])
+        parent[gram_order] = np.concatenate([_unplanes(c, np.uint16) for c in answers.column("parent").to_pylist()])
         counts = np.empty(len(words), np.int64)
         counts[word_order] = np.concatenate([_unplanes(c, np.int64) for c in answers.column("word_counts").to_pylist()])
         # from the empty context up: an unseen context passes everything on
@@ -287,6 +288,7 @@ def train_and_score(docs: DataFrame, train: Column, order: int = ORDER, block_by
 
     ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
     """
+    ship_code(docs.sparkSession)
     if not 2 <= order <= 7:
         raise ValueError("an n-gram and its length share eight bytes")
     blocks = block_count(docs, F.octet_length("text") + 8, block_bytes)
