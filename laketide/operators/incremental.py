@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from laketide.operators.sets import two_way_difference
 from laketide.sources.writers import exists
 
-LOG_SCHEMA = "run_id string, load_type string, rows_loaded bigint, high_mark bigint, loaded_at timestamp_ntz"
+LOG_SCHEMA = "run_id string, load_type string, rows_loaded bigint, high_mark bigint, loaded_at timestamp_ntz, number bigint"
 
 
 class LoadMismatch(RuntimeError):
@@ -41,10 +41,11 @@ class IncrementalTable:
         return self.spark.read.parquet(*[f"{self.path}/runs/run={r}" for r in runs])
 
     def _live_runs(self) -> list:
-        """Log rows (one per run, so a bounded list) from the last full load on."""
-        rows = self.log().orderBy("loaded_at", "run_id").collect()
-        full = [i for i, r in enumerate(rows) if r["load_type"] == "full"]
-        return rows[full[-1] :] if full else rows
+        """Log rows from the last full load on, in the order they were written. Runs are numbered,
+        as two may have the same time; only the rows since the last full load are fetched."""
+        log = self.log()
+        full = log.where("load_type = 'full'").agg(F.max("number").alias("n")).first()["n"]
+        return log.where(F.col("number") >= F.lit(full or 0)).orderBy("number").collect()
 
     def _write(self, df: DataFrame, run_id: str, load_type: str, mark: str, at: datetime, floor: int | None) -> int:
         seen = Observation()
@@ -54,7 +55,8 @@ class IncrementalTable:
         stored = self.spark.read.schema(df.schema).parquet(f"{self.path}/runs/run={run_id}").count()
         if stored != rows:
             raise LoadMismatch(f"run {run_id}: {rows} rows read, {stored} stored")
-        entry = [(run_id, load_type, rows, high if high is not None else floor, at)]
+        number = (self.log().agg(F.max("number").alias("n")).first()["n"] or 0) + 1
+        entry = [(run_id, load_type, rows, high if high is not None else floor, at, number)]
         self.spark.createDataFrame(entry, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return rows
 

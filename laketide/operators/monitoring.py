@@ -73,9 +73,10 @@ def slowest_jobs(runs: DataFrame, jobs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def recent_failures(runs: DataFrame, jobs: DataFrame, n: int = 50) -> DataFrame:
-    """The newest n failed runs with their job."""
-    bad = runs.where(F.col("state").isin(*FAILURE_STATES)).orderBy(F.desc("started_at"), "run_id").limit(n)
-    return bad.join(jobs.select("job_id", F.col("name").alias("job_name"), "owner"), "job_id")
+    """The newest n failed runs of known jobs; runs of unknown jobs take no place."""
+    bad = runs.where(F.col("state").isin(*FAILURE_STATES))
+    named = bad.join(jobs.select("job_id", F.col("name").alias("job_name"), "owner"), "job_id")
+    return named.orderBy(F.desc("started_at"), "run_id").limit(n)
 
 
 def health_class(total: Column, failures: Column) -> Column:

@@ -30,6 +30,10 @@ class BatchRejected(RuntimeError):
     """Raised by a gate before anything is published."""
 
 
+class ExpectationFailed(RuntimeError):
+    """A row breaks an expectation that must hold for all."""
+
+
 # ---- rules from declarations ---------------------------------------------------------
 
 
@@ -183,12 +187,15 @@ def batch_metrics(df: DataFrame, rules: Sequence[Rule], null_policy: str = "fail
 
 
 def expectations(df: DataFrame, warn: Sequence[Rule] = (), drop: Sequence[Rule] = (), fail: Sequence[Rule] = ()) -> DataFrame:
-    """Keep-with-warning, drop and fail expectations on one frame. A row that breaks a
-    ``fail`` rule raises when it is read; a check that cannot tell counts as broken."""
+    """Keep-with-warning, drop and fail expectations on one frame. A check that cannot tell
+    counts as broken. ``fail`` rules are counted over all rows first, in one aggregate: as a
+    filter they could be passed over for rows that a ``drop`` rule removes."""
     out = df
-    for r in fail:
-        broken = F.coalesce(r.fails, F.lit(True))
-        out = out.where(F.when(broken, F.raise_error(F.lit(f"expectation {r.name} failed")).cast("boolean")).otherwise(F.lit(True)))
+    if fail:
+        counts = df.agg(*[F.count_if(F.coalesce(r.fails, F.lit(True))).alias(f"r{i}") for i, r in enumerate(fail)]).first()
+        broken = [f"expectation {r.name} failed for {counts[i]} rows" for i, r in enumerate(fail) if counts[i]]
+        if broken:
+            raise ExpectationFailed("; ".join(broken))
     for r in drop:
         out = out.where(~F.coalesce(r.fails, F.lit(True)))
     return annotate(out, list(warn), "warnings") if warn else out

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.functions.scalars import row_fingerprint
-from laketide.operators.changes import unmatched
-from laketide.operators.joins import broadcast_if_small
+from laketide.operators.changes import one_row_per_key, unmatched
+from laketide.sources.writers import stored
 
 
 def initial(rows: DataFrame, valid_from: Column) -> DataFrame:
@@ -25,14 +25,16 @@ def initial(rows: DataFrame, valid_from: Column) -> DataFrame:
     )
 
 
-def _apply(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], differs: Column, at: Column) -> DataFrame:
+def _apply(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], differs: Column, at: Column, dedup_by: Sequence[str] | None) -> DataFrame:
     """``differs`` compares ``t.`` (current version) and ``s.`` (incoming row).
 
+    Several changes for one key are refused unless ``dedup_by`` tells which is the newest. They
+    are stored once, as the pairs and the new keys both read them.
     History is never joined: only current rows meet the changes, in one left join from the
     dimension side, so changes measured to be small are broadcast and the dimension is not
     shuffled.
     """
-    changes = broadcast_if_small(changes)
+    changes = one_row_per_key(stored(changes, "scd_changes"), keys, dedup_by)
     on = reduce(lambda a, b: a & b, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys])
     history, current = dim.where(~F.col("is_current")), dim.where(F.col("is_current"))
     pairs = current.alias("t").join(changes.select("*", F.lit(True).alias("__hit")).alias("s"), on, "left")
@@ -74,20 +76,20 @@ def _apply(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Seq
     return history.unionByName(versions).unionByName(first.select(*dim.columns))
 
 
-def merge_by_values(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: Column) -> DataFrame:
+def merge_by_values(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: Column, dedup_by: Sequence[str] | None = None) -> DataFrame:
     """A new version when a tracked column differs; NULL differs from a value."""
     differs = reduce(lambda a, b: a | b, [~F.col(f"t.{c}").eqNullSafe(F.col(f"s.{c}")) for c in tracked])
-    return _apply(dim, changes, keys, tracked, differs, at)
+    return _apply(dim, changes, keys, tracked, differs, at, dedup_by)
 
 
 def with_hash(rows: DataFrame, tracked: Sequence[str], name: str = "row_hash") -> DataFrame:
     return rows.withColumn(name, row_fingerprint(tracked))
 
 
-def merge_by_hash(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: Column, name: str = "row_hash") -> DataFrame:
+def merge_by_hash(dim: DataFrame, changes: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: Column, name: str = "row_hash", dedup_by: Sequence[str] | None = None) -> DataFrame:
     """Same, but decided by one stored fingerprint of the tracked columns."""
     hashed = with_hash(changes, tracked, name)
-    return _apply(dim, hashed, keys, [*tracked, name], F.col(f"t.{name}") != F.col(f"s.{name}"), at)
+    return _apply(dim, hashed, keys, [*tracked, name], F.col(f"t.{name}") != F.col(f"s.{name}"), at, dedup_by)
 
 
 def as_of(dim: DataFrame, at: Column) -> DataFrame:

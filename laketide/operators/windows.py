@@ -9,6 +9,7 @@ the order, such as the ordering minute, or a struct of day and id range.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -87,20 +88,39 @@ def prefix_sums(
     inclusive: bool = True,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Running sums along ``order`` within ``keys``; exclusive ones leave the row itself out."""
+    """Running sums along ``order`` within ``keys``; exclusive ones leave the row itself out.
+
+    Rows, columns and types are the same whether or not a key is hot. ``chunk`` follows the
+    first ordering column, in its direction and with its place for NULLs.
+    """
     keys = list(keys)
+    return _running(df, chunked(df, keys, chunk, hot_rows), keys, order, sums, inclusive)
+
+
+def _direction(order: Sequence[str | Column], column: str) -> Column:
+    """``column`` ordered as the first column of ``order`` is."""
+    first = order[0] if order else ""
+    text = "" if isinstance(first, str) else str(first)
+    down = bool(re.search(r"\bDESC\b", text))
+    nulls_last = "NULLS LAST" in text
+    kinds = {(False, False): F.asc_nulls_first, (False, True): F.asc_nulls_last, (True, False): F.desc_nulls_first, (True, True): F.desc_nulls_last}
+    return kinds[down, nulls_last](column)
+
+
+def _running(df: DataFrame, part: DataFrame | None, keys: list[str], order: Sequence[str | Column], sums: Mapping[str, str | Column], inclusive: bool) -> DataFrame:
+    """``prefix_sums`` with the chunks of ``df`` already found (None: no hot key)."""
     last = Window.currentRow if inclusive else -1
     values = {n: F.expr(v) if isinstance(v, str) else v for n, v in sums.items()}
-    part = chunked(df, keys, chunk, hot_rows)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+    plain = df.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
     if part is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-        return df.withColumns({n: F.coalesce(F.sum(v).over(w), F.lit(0)) for n, v in values.items()})
+        return plain
 
     # one struct for all keys: comparable as a whole even where a key is NULL, and the join
     # below reuses the partitioning of the window above it
     part = part.withColumn("__key", F.struct(*keys) if keys else F.lit(0))
     per_chunk = part.groupBy("__key", "__chunk").agg(*[F.sum(v).alias(f"__s_{n}") for n, v in values.items()])
-    before = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("__key").orderBy(_direction(order, "__chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = per_chunk.select(
         F.col("__key").alias("__carry_key"),
         F.col("__chunk").alias("__carry_chunk"),
@@ -108,14 +128,12 @@ def prefix_sums(
     )
     inside = Window.partitionBy("__key", "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     local = part.withColumns({f"__l_{n}": F.sum(v).over(inside) for n, v in values.items()})
-    # a NULL chunk is either a cold key's only one or the first of a hot key: nothing to carry
-    on = (F.col("__key") == F.col("__carry_key")) & (F.col("__chunk") == F.col("__carry_chunk"))
+    # a NULL chunk is a cold key's only one, or where a hot key's NULLs stand
+    on = (F.col("__key") == F.col("__carry_key")) & F.col("__chunk").eqNullSafe(F.col("__carry_chunk"))
     joined = local.join(carry, on, "left")
     zero = F.lit(0)
-    return joined.select(
-        *[F.col(c) for c in df.columns if c not in values],
-        *[(F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero)).alias(n) for n in values],
-    )
+    total = {n: (F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero)).cast(plain.schema[n].dataType) for n in values}
+    return joined.select(*[total[c].alias(c) if c in total else F.col(c) for c in plain.columns])
 
 
 def bounded_frame(
@@ -136,13 +154,15 @@ def bounded_frame(
     with ``prefix_sums`` and cut into blocks; each block also gets the few rows of its
     neighbours that the frame reaches, and gives them back after the window ran.
     """
-    if (hot_keys(df, keys, hot_rows) is None) if keys else df.count() <= hot_rows:
+    keys = list(keys)
+    part = chunked(df, keys, chunk, hot_rows)
+    if part is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: make(w) for n, make in columns.items()})
 
     block_rows = max(block_rows, before, after, 1)
     ones = {"__n": F.lit(1).cast("bigint")}
-    numbered = prefix_sums(df, keys, order, ones, chunk, inclusive=False, hot_rows=hot_rows)
+    numbered = _running(df, part, keys, order, ones, inclusive=False)
     home = F.floor(F.col("__n") / block_rows)
     at = F.col("__n") % block_rows
     targets = F.array_compact(

@@ -296,18 +296,15 @@ def topn_orders(spark, sf):
 
 @query(
     "severity_sorted",
-    """SELECT event_id, severity, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, event_id) AS place
-    FROM (SELECT event_id, CASE WHEN value > 300 THEN 'critical' WHEN value > 200 THEN 'warning' ELSE 'info' END AS severity
-          FROM events WHERE event_type = 'error') ORDER BY place LIMIT 50""",
+    """SELECT event_id, severity FROM (SELECT event_id, CASE WHEN value > 300 THEN 'critical' WHEN value > 200 THEN 'warning' ELSE 'info' END AS severity
+      FROM events WHERE event_type = 'error') ORDER BY CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 ELSE 3 END, event_id""",
 )
 def severity_sorted(spark, sf):
-    from laketide.operators.windows import top_n_ranked
-
+    """All open alerts (errors), the most severe first; a range-partitioned sort."""
     v = F.col("value")
     severity = F.when(v > 300, "critical").when(v > 200, "warning").otherwise("info")
     open_alerts = table(spark, sf, "events").where(F.col("event_type") == "error").select("event_id", severity.alias("severity"))
-    ranked = top_n_ranked(open_alerts, [severity_rank(F.col("severity")), F.col("event_id")], 50, "place")
-    return ranked.withColumn("place", F.col("place").cast("bigint"))
+    return open_alerts.orderBy(severity_rank(F.col("severity")), "event_id")
 
 
 @query(

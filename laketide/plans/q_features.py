@@ -11,6 +11,7 @@ from laketide.operators.aggregates import exact_quantiles, unpivot_row
 from laketide.operators.joins import join_null_safe
 from laketide.operators.windows import top_n_ranked, with_group_stats
 from laketide.plans.fixtures import SQL_D, as_of, declarations
+from laketide.sources.writers import stored
 from laketide.plans.registry import query, sql_mean, sql_total, table
 
 # ---- building --------------------------------------------------------------------------------
@@ -206,14 +207,16 @@ def document_features(spark, sf):
     )
 
 
-def trained(spark, sf, trees=20, depth=5):
+def trained(spark, sf):
+    """The labelled rows of the stratified test split, and the model of the others."""
     rows = document_features(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    return rows, model.train_forest(rows, DOCUMENT_FEATURES, "quality", trees, depth)
+    rows = stored(features.stratified_split(rows, "doc_id", "quality"), "labelled")
+    return rows.where("split = 'test'"), model.train_forest(rows.where("split = 'train'"), DOCUMENT_FEATURES, "quality")
 
 
 @query("rf_train_score")
 def rf_train_score(spark, sf):
-    """Feature importances, with the metrics of the model on its labelled rows."""
+    """Feature importances, with the metrics of the model on the rows held out from it."""
     rows, forest = trained(spark, sf)
     scored = model.score(rows, forest, DOCUMENT_FEATURES, "v1", as_of())
     metrics = model.classification_metrics(scored, "quality", "prediction").select("precision", "recall", "f1", "accuracy")
@@ -259,12 +262,19 @@ def model_auc(spark, sf):
     return model.auc(rows, "quality", "n_chars")
 
 
+@query("review_queue", "SELECT event_id, value / 400 AS score FROM events WHERE value / 400 > 0.4")
+def review_queue(spark, sf):
+    """Every row over the risk limit."""
+    scored = table(spark, sf, "events").select("event_id", (F.col("value") / 400).alias("score"))
+    return model.review_queue(scored, 0.4)
+
+
 @query(
-    "review_queue",
+    "review_queue_top",
     """SELECT event_id, value / 400 AS score, row_number() OVER (ORDER BY value / 400 DESC, event_id) AS place FROM events WHERE value / 400 > 0.4 ORDER BY place LIMIT 25""",
 )
-def review_queue(spark, sf):
-    """Rows over the risk limit, the 25 most risky first."""
+def review_queue_top(spark, sf):
+    """A report on the queue: its 25 most risky rows with their place."""
     scored = table(spark, sf, "events").select("event_id", (F.col("value") / 400).alias("score"))
     queue = top_n_ranked(model.review_queue(scored, 0.4), [F.desc("score"), F.col("event_id")], 25, "place")
     return queue.withColumn("place", F.col("place").cast("bigint"))

@@ -51,8 +51,8 @@ def slowest_jobs(spark, sf):
 
 @query(
     "recent_failures",
-    f"""WITH {SQL_R}, {SQL_J}, f AS (SELECT * FROM r WHERE started_at >= {NOW} - INTERVAL 24 HOUR AND state IN ('FAILED', 'TIMEDOUT', 'ERROR') ORDER BY started_at DESC, run_id LIMIT 50)
-    SELECT name AS job_name, owner, run_id, started_at, state, duration_s / 60 AS duration_min FROM f JOIN j USING (job_id)""",
+    f"""WITH {SQL_R}, {SQL_J}, f AS (SELECT * FROM r JOIN j USING (job_id) WHERE started_at >= {NOW} - INTERVAL 24 HOUR AND state IN ('FAILED', 'TIMEDOUT', 'ERROR') ORDER BY started_at DESC, run_id LIMIT 50)
+    SELECT name AS job_name, owner, run_id, started_at, state, duration_s / 60 AS duration_min FROM f""",
 )
 def recent_failures(spark, sf):
     bad = mon.recent_failures(mon.since(runs(spark, sf), as_of(), hours=24), jobs(spark, sf))

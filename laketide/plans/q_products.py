@@ -80,26 +80,26 @@ def gold_payments(spark, sf):
 
 # ---- one row per taxpayer -------------------------------------------------------------------------
 
-AGGREGATES_SQL = f"""tax AS (SELECT o_custkey AS id, COUNT(*) AS declarations, {sql_total('o_totalprice')} AS tax_paid, CAST(MAX(year(o_orderdate)) AS INTEGER) AS last_year FROM orders WHERE o_custkey % 6 <> 1 GROUP BY 1),
-  social AS (SELECT o_custkey AS id, {sql_total('o_totalprice')} AS contributions FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 4 <> 2 GROUP BY 1),
+AGGREGATES_SQL = f"""tax AS (SELECT o_custkey AS id, COUNT(*) AS declarations, {sql_total('o_totalprice')} AS tax_paid, CAST(MAX(year(o_orderdate)) AS INTEGER) AS last_year FROM orders GROUP BY 1),
+  social AS (SELECT o_custkey AS id, {sql_total('o_totalprice')} AS contributions FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
   services AS (SELECT user_id AS id, COUNT(*) AS service_events, {sql_mean('value')} AS avg_minutes FROM events GROUP BY 1),
-  bills AS (SELECT o_custkey AS id, COUNT(*) AS invoices, {sql_total('l_extendedprice')} AS invoiced FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 5 <> 3 GROUP BY 1)"""
+  bills AS (SELECT o_custkey AS id, COUNT(*) AS invoices, {sql_total('l_extendedprice')} AS invoiced FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"""
 
 
 def taxpayer_aggregates(spark, sf):
     """Four aggregates per taxpayer. Invoice lines are summed per order before the join."""
     o = table(spark, sf, "orders")
-    tax = o.where("o_custkey % 6 <> 1").groupBy(F.col("o_custkey").alias("id")).agg(
+    tax = o.groupBy(F.col("o_custkey").alias("id")).agg(
         F.count("*").alias("declarations"), total("o_totalprice").alias("tax_paid"), F.max(F.year("o_orderdate")).alias("last_year")
     )
-    social = o.where("o_orderpriority = '1-URGENT' AND o_custkey % 4 <> 2").groupBy(F.col("o_custkey").alias("id")).agg(
+    social = o.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("id")).agg(
         total("o_totalprice").alias("contributions")
     )
     services = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(
         F.count("*").alias("service_events"), mean("value").alias("avg_minutes")
     )
     per_order = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum(money("l_extendedprice")).alias("net"))
-    owners = o.where("o_custkey % 5 <> 3").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    owners = o.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
     bills = per_order.join(owners, "l_orderkey").groupBy("id").agg(
         F.sum("n").alias("invoices"), F.sum("net").cast("double").alias("invoiced")
     )

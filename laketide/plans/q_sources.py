@@ -198,7 +198,7 @@ def write_append(spark, sf):
 def partitioned_write_prune(spark, sf):
     path = fresh_dir(spark, "partitioned")
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    writers.overwrite(rows.repartition("o_orderstatus"), path, ["o_orderstatus"])
+    writers.overwrite(writers.clustered(rows, ["o_orderstatus"]), path, ["o_orderstatus"])
     return spark.read.parquet(path).where("o_orderstatus = 'P' AND o_totalprice > 1000")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -43,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SHARED_DIR, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {SHARED_DIR} to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="run-laketide-", dir="/tmp")
     spark.conf.set(SHARED_DIR, own)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,11 +35,35 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
-def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def clustered(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of a partition together, for few files, but a large partition over several tasks:
+    adaptive execution splits a rebalanced shuffle by size."""
+    return df.hint("rebalance", *columns) if columns else df
+
+
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str], values: Sequence[Mapping[str, object]] = ()) -> None:
     """Replace exactly the partitions that ``df`` contains, so a repeated load of a day
-    leaves one copy of it. Rows are clustered by partition first: few files per partition."""
-    clustered = df.repartition(*partition_by) if partition_by else df
-    clustered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    leaves one copy of it.
+
+    ``values`` names partitions that the load is about (a mapping from every partition column
+    to its value): one that got no row is emptied, so a day that lost all its rows is gone."""
+    wanted = [{c: v[c] for c in partition_by} for v in values]
+    filled = set()
+    for v in wanted:
+        if not df.where(reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(x)) for c, x in v.items()])).isEmpty():
+            filled.add(tuple(v.values()))
+    clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+
+    spark = df.sparkSession
+    for v in wanted:
+        if tuple(v.values()) not in filled:
+            folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *[f"{c}={_folder(x)}" for c, x in v.items()]]))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _folder(value: object) -> str:
+    """A value as it stands in a partition folder's name."""
+    return "__HIVE_DEFAULT_PARTITION__" if value is None else quote(str(value), safe=" -_.,;+()@&~!$")
 
 
 def create_empty_like(df: DataFrame, path: str) -> None:

@@ -1,8 +1,11 @@
 """Micro-batch sinks with exactly-once results on plain Parquet.
 
-Each batch writes its own ``batch=<id>`` folder with overwrite and is logged afterwards. A
-replay of a batch that died replaces its folder; a batch that is logged is skipped. Current
-rows are the newest batch's row per key, so a batch costs as much as the batch, not as the
+A sink numbers its batches. Each writes its own ``batch=<number>`` folder with overwrite and is
+logged afterwards, with the id of the streaming query and the query's own batch number. A
+replay of a batch that died gets the same number and replaces its folder; a batch that its
+query has logged is skipped. A query with a new checkpoint has a new id and counts from 0
+again: its batches are new work, which an upsert takes without harm if they bring known rows.
+Current rows are the newest row per key, so a batch costs as much as the batch, not as the
 table; ``compact`` folds old batches into one base.
 """
 
@@ -10,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +22,12 @@ from laketide.operators import quality as dq
 from laketide.operators.windows import latest_per_key
 from laketide.sources.writers import exists
 
-LOG_SCHEMA = "batch_id bigint, rows_in bigint, rows_good bigint, rows_quarantined bigint"
+LOG_SCHEMA = "batch_id bigint, rows_in bigint, rows_good bigint, rows_quarantined bigint, query_id string, number bigint"
+
+
+def query_of(batch: DataFrame) -> str:
+    """The id of the streaming query that runs the current batch; empty outside of one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
 class BatchFolder:
@@ -46,7 +54,8 @@ class BatchLog:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._written: int | None = None
+        self._seen: dict[str, int] | None = None
+        self._number = -1
 
     def read(self) -> DataFrame:
         if not exists(self.spark, self.path):
@@ -54,17 +63,23 @@ class BatchLog:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
 
     def last(self) -> int | None:
-        return self.read().agg(F.max("batch_id")).first()[0]
-
-    def seen(self, batch_id: int) -> bool:
-        if self._written is None:
-            self._written = self.last()
-        return self._written is not None and batch_id <= self._written
-
-    def add(self, batch_id: int, rows_in: int, good: int, bad: int) -> None:
-        row = self.spark.createDataFrame([(batch_id, rows_in, good, bad)], LOG_SCHEMA)
+        """The number of the last logged batch."""
+        return self.read().agg(F.max("number")).first()[0]
+
+    def begin(self, batch: DataFrame, batch_id: int) -> int | None:
+        """The number for a batch, or None if its query has logged it."""
+        if self._seen is None:
+            # one row for each query that ever fed this sink
+            self._seen = {r["query_id"]: r["b"] for r in self.read().groupBy("query_id").agg(F.max("batch_id").alias("b")).collect()}
+            last = self.last()
+            self._number = -1 if last is None else last
+        return None if batch_id <= self._seen.get(query_of(batch), -1) else self._number + 1
+
+    def add(self, batch: DataFrame, batch_id: int, number: int, rows_in: int, good: int, bad: int) -> None:
+        row = self.spark.createDataFrame([(batch_id, rows_in, good, bad, query_of(batch), number)], LOG_SCHEMA)
         row.coalesce(1).write.mode("append").parquet(self.path)
-        self._written = batch_id
+        self._seen[query_of(batch)] = batch_id
+        self._number = number
 
 
 class KeyedState:
@@ -72,6 +87,7 @@ class KeyedState:
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.order: list[str] = []
         self.rows = BatchFolder(spark, f"{self.path}/rows", schema)
         self.log = BatchLog(spark, f"{self.path}/log")
 
@@ -83,13 +99,14 @@ class KeyedState:
         return self.spark.read.schema(self.rows.schema).parquet(f"{self.path}/base/upto={upto}"), upto
 
     def current(self, upto: int | None = None) -> DataFrame:
-        """The newest batch's row of every key, up to the last logged (or a given) batch."""
+        """The newest row of every key, up to the last logged (or a given) batch: by ``order``, then
+        by batch."""
         last = self.log.last() if upto is None else upto
         base, held = self._base()
         rows = self.rows.read(last, after=held)
         if base is not None:
             rows = base.withColumn("batch", F.lit(held).cast("bigint")).unionByName(rows)
-        return latest_per_key(rows, self.keys, ["batch"]).drop("batch")
+        return latest_per_key(rows, self.keys, [*self.order, "batch"]).drop("batch")
 
     def compact(self) -> None:
         """Write the current state as a new base; the batches in it are no longer read."""
@@ -102,7 +119,11 @@ class KeyedState:
 
 
 class UpsertSink(KeyedState):
-    """Quality split, quarantine, in-batch dedup, upsert, optional publishing, batch log."""
+    """Quality split, quarantine, in-batch dedup, upsert, optional publishing, batch log.
+
+    With ``newest_wins`` a late row does not replace a newer one of an earlier batch; without it
+    the last batch wins, as in a plain upsert.
+    """
 
     def __init__(
         self,
@@ -113,24 +134,27 @@ class UpsertSink(KeyedState):
         newest_by: Sequence[str],
         rules: Sequence[dq.Rule] = (),
         publish: Callable[[DataFrame, int], None] | None = None,
+        newest_wins: bool = True,
     ):
         super().__init__(spark, path, schema, keys)
+        self.order = list(newest_by) if newest_wins else []
         self.newest_by, self.rules, self.publish = list(newest_by), list(rules), publish
         self.quarantine = BatchFolder(spark, f"{self.path}/quarantine", schema)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if self.log.seen(batch_id):
+        number = self.log.begin(batch, batch_id)
+        if number is None:
             return
         marked = batch.withColumn("__bad", dq.bad_mask(self.rules, "fail")).persist()
         try:
             counts = marked.agg(F.count("*").alias("n"), F.count_if("__bad").alias("bad")).first()
             good = marked.where("NOT __bad").drop("__bad")
             if counts["bad"]:
-                self.quarantine.write(marked.where("__bad").drop("__bad"), batch_id)
-            self.rows.write(latest_per_key(good, self.keys, self.newest_by), batch_id)
+                self.quarantine.write(marked.where("__bad").drop("__bad"), number)
+            self.rows.write(latest_per_key(good, self.keys, self.newest_by), number)
             if self.publish is not None:
-                self.publish(self.current(batch_id), batch_id)
-            self.log.add(batch_id, counts["n"], counts["n"] - counts["bad"], counts["bad"])
+                self.publish(self.current(number), number)
+            self.log.add(batch, batch_id, number, counts["n"], counts["n"] - counts["bad"], counts["bad"])
         finally:
             marked.unpersist()
 
@@ -140,10 +164,12 @@ class GroupSink(KeyedState):
     changed, the newest row of a group counts."""
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if self.log.seen(batch_id):
+        number = self.log.begin(batch, batch_id)
+        if number is None:
             return
-        self.rows.write(batch, batch_id)
-        self.log.add(batch_id, 0, 0, 0)
+        seen = Observation()
+        self.rows.write(batch.observe(seen, F.count(F.lit(1)).alias("n")), number)
+        self.log.add(batch, batch_id, number, seen.get["n"], seen.get["n"], 0)
 
 
 class DeltaSink:
@@ -157,11 +183,13 @@ class DeltaSink:
         self.log = BatchLog(spark, f"{path}/log")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if self.log.seen(batch_id):
+        number = self.log.begin(batch, batch_id)
+        if number is None:
             return
-        net = changes.net_change(batch, self.keys, self.measure)
-        self.deltas.write(net.withColumn("delta", F.col("delta").cast(self.delta_type)), batch_id)
-        self.log.add(batch_id, 0, 0, 0)
+        seen = Observation()
+        net = changes.net_change(batch.observe(seen, F.count(F.lit(1)).alias("n")), self.keys, self.measure)
+        self.deltas.write(net.withColumn("delta", F.col("delta").cast(self.delta_type)), number)
+        self.log.add(batch, batch_id, number, seen.get["n"], seen.get["n"], 0)
 
     def applied_to(self, aggregate: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
         """The aggregate after all logged batches; ``pairs`` maps its columns to ``delta`` and

@@ -179,3 +179,26 @@ def test_empty_commits_and_loads(spark):
     some = spark.createDataFrame([(1, "a")], "id int, status string")
     assert changes.merge(some, empty, ["id"]).count() == 1 and changes.merge(empty, some, ["id"]).count() == 1
     assert changes.change_feed(empty, some, ["id"]).first()._change_type == "insert"
+
+
+def test_scd_refuses_or_dedups_several_changes_of_one_key(spark):
+    dim = scd.initial(spark.createDataFrame([(1, "a")], "k int, v string"), F.lit("2024-01-01").cast("timestamp_ntz"))
+    changes_ = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "x", 1), (2, "y", 2)], "k int, v string, t int")
+    at = F.lit("2024-02-01").cast("timestamp_ntz")
+    with pytest.raises(changes.DuplicateSourceKey):
+        scd.merge_by_values(dim, changes_, ["k"], ["v"], at)
+    out = scd.merge_by_values(dim, changes_, ["k"], ["v"], at, dedup_by=["t"])
+    assert sorted((r.k, r.v, r.version, r.is_current) for r in out.collect()) == [(1, "a", 1, False), (1, "c", 2, True), (2, "y", 1, True)]
+
+
+def test_runs_with_equal_times_count_in_their_order(spark):
+    from datetime import datetime
+
+    from laketide.operators.incremental import IncrementalTable
+    from laketide.session import fresh_dir
+
+    table = IncrementalTable(spark, fresh_dir(spark, "equal_times"))
+    at = datetime(2024, 1, 1)
+    table.full_load(spark.range(50).toDF("id"), "r9", "id", at)
+    table.incremental_load(spark.range(100).toDF("id"), "r10", "id", at)
+    assert table.read().count() == 100

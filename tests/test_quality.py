@@ -118,3 +118,9 @@ def test_scalar_helpers(spark):
     assert [r.r for r in got] == ["SHORT", None, "NULL"]
     pair = spark.createDataFrame([("a", None), (None, "a")], "x string, y string").select(row_fingerprint(["x", "y"]).alias("h"))
     assert pair.distinct().count() == 2
+
+
+def test_a_fail_rule_is_not_hidden_by_a_drop_rule(spark):
+    batch = spark.createDataFrame([(None, -1.0), (1, 2.0)], "id int, amount double")
+    with pytest.raises(dq.ExpectationFailed):
+        dq.expectations(batch, drop=[dq.Rule("id", F.col("id").isNull())], fail=[dq.Rule("amount", F.col("amount") < 0)]).collect()

@@ -207,3 +207,26 @@ def test_run_log_reports(spark):
     assert monitoring.recent_failures(runs, jobs).count() == 2
     empty = monitoring.success_summary(runs.where("1 = 0")).first()
     assert empty.total_runs == 0 and empty.success_rate_pct is None
+
+
+def test_a_reloaded_day_without_rows_is_emptied(spark):
+    path = fresh_dir(spark, "empty_day")
+    days = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "day int, v string")
+    writers.replace_partitions(days, path, ["day"])
+    writers.replace_partitions(days.where("false"), path, ["day"], values=[{"day": 1}])
+    assert [tuple(r) for r in spark.read.parquet(path).select("day", "v").collect()] == [(2, "c")]
+
+
+def test_a_large_partition_is_written_by_several_tasks(spark):
+    path = fresh_dir(spark, "rebalanced")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100k")
+    try:
+        rows = spark.range(0, 300_000, numPartitions=8).select(F.when(F.col("id") % 10 == 0, 2).otherwise(1).alias("day"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+        writers.replace_partitions(rows, path, ["day"])
+    finally:
+        spark.conf.set(size, before)
+    files = spark.read.parquet(path).select("day", F.input_file_name().alias("f")).distinct().groupBy("day").count()
+    assert {r["day"]: r["count"] for r in files.collect()}[1] > 1
+    assert spark.read.parquet(path).count() == 300_000

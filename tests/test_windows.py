@@ -104,3 +104,15 @@ def test_buckets_count_the_bounds_below(spark, n):
     got = [(r.v, r.b) for r in df.select("v", bucket_by_bounds("v", bounds).alias("b")).collect() if r.v != float("inf")]
     assert got == [(v, sum(b <= v for b in bounds)) for v in values if v != float("inf")]
     assert spark.createDataFrame([(None,)], "v double").select(bucket_by_bounds("v", bounds)).first()[0] == 0
+
+
+@pytest.mark.parametrize("order", ["id", "-id", "id DESC NULLS FIRST", "id ASC NULLS LAST"])
+def test_both_paths_agree_in_rows_types_and_columns(spark, order):
+    """A sum that replaces a column, decimals, NULLs in the order, both directions."""
+    rows = [("a", i if i % 7 else None, i, str(i)) for i in range(60)] + [("b", 1, 5, "x"), (None, 2, 6, None)]
+    df = spark.createDataFrame(rows, "k string, id int, v int, s string").select("k", "id", F.col("v").cast("decimal(18,2)").alias("v"), "s")
+    by = {"id": F.col("id").asc(), "-id": F.col("id").desc(), "id DESC NULLS FIRST": F.col("id").desc_nulls_first(), "id ASC NULLS LAST": F.col("id").asc_nulls_last()}[order]
+    chunk = F.floor(F.col("id") / 10)
+    got = [prefix_sums(df, ["k"], [by, F.col("s")], {"v": F.col("v"), "n": F.lit(1)}, chunk, True, hot) for hot in (1, 10**6)]
+    assert got[0].schema == got[1].schema or got[0].dtypes == got[1].dtypes
+    assert sorted(map(repr, got[0].collect())) == sorted(map(repr, got[1].collect()))
