@@ -83,8 +83,10 @@ def temporal_split(df: DataFrame, at: str, cutoff: Column, drop: Sequence[str] =
 
 def stratified_split(df: DataFrame, key: str, label: str, train_pct: int = 80) -> DataFrame:
     """Add ``split``. The hash of (label, key) is uniform within each class, so every class is
-    divided alike and a row always lands on the same side."""
-    bucket = F.pmod(F.xxhash64(label, key), F.lit(100))
+    divided alike and a row always lands on the same side. SHA-256 of ``label|key`` as text, so
+    other systems find the same split; NULLs count as empty text."""
+    text = F.concat_ws("|", F.coalesce(F.col(label).cast("string"), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    bucket = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("bigint") % 100
     return df.withColumn("split", F.when(bucket < train_pct, "train").otherwise("test"))
 
 

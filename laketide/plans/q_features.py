@@ -174,7 +174,12 @@ def profile_by_outcome(spark, sf):
     return join_null_safe(simple, median, ["o_orderstatus"])
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    """WITH b AS (SELECT o_orderstatus, CAST('0x' || substr(sha256(o_orderstatus || '|' || o_orderkey), 1, 8) AS BIGINT) % 100 AS bucket FROM orders)
+    SELECT o_orderstatus, COUNT(*) AS rows, COUNT(*) FILTER (WHERE bucket < 80) AS train_rows, CAST(COUNT(*) FILTER (WHERE bucket < 80) AS DOUBLE) * 100.0::DOUBLE / COUNT(*) AS train_pct
+    FROM b GROUP BY 1""",
+)
 def stratified_split(spark, sf):
     """Rows and train share per class."""
     rows = features.stratified_split(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
@@ -235,6 +240,18 @@ def batch_scoring(spark, sf):
     return scored.select("doc_id", "score", "prediction", "model_version", "input_hash", "scored_at")
 
 
+@query(
+    "batch_scoring_audit",
+    "SELECT doc_id, 'v1' AS model_version, 64 AS hash_length, true AS score_in_bounds, true AS prediction_follows_score FROM documents",
+)
+def batch_scoring_audit(spark, sf):
+    """Every document is scored once, by the stated model, with a score between 0 and 1 that the prediction follows."""
+    s = batch_scoring(spark, sf)
+    bounds = F.col("score").between(0, 1)
+    follows = (F.col("prediction") == F.when(F.col("score") > 0.5, 1.0).otherwise(0.0)) | (F.abs(F.col("score") - 0.5) < 1e-9)
+    return s.select("doc_id", "model_version", F.length("input_hash").alias("hash_length"), bounds.alias("score_in_bounds"), follows.alias("prediction_follows_score"))
+
+
 METRIC_SQL = "x AS (SELECT quality AS y, CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS p, n_chars FROM labels JOIN documents USING (doc_id))"
 
 
