@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import blocks
@@ -47,16 +47,14 @@ def simplified(buf: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, rows: int = SAMPLE_ROWS, languages: int = SAMPLE_LANGUAGES) -> DataFrame:
     """Labelled documents to learn from: ``rows`` of each of at most ``languages`` languages (the most frequent)."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    often = known.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(languages).select("lang")
-    names = [r["lang"] for r in often.collect()]
-    if not names:
-        return known.limit(0)
-    # a global top-k for each language never gathers a language in one task
-    parts = [known.where(F.col("lang") == n).orderBy(F.xxhash64("doc_id", "text")).limit(rows) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    often = known.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(languages).collect()
+    # rows that cannot be among the first are left in the scan: about twice as many as needed go on
+    cuts = [(r["lang"], min(1.0, 2 * (rows + 50) / r["c"])) for r in often]
+    cut = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, cut double"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    some = known.select("doc_id", "text", "lang", place.alias("place")).join(cut, "lang").where(F.col("place") < F.col("cut") * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
+    return some.withColumn("rank", rank).where(F.col("rank") <= rows).select("doc_id", "text", "lang")
 
 
 def _count_contexts(order: int):

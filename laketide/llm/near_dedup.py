@@ -16,9 +16,11 @@ band share a bucket. Links are found without all pairs of a bucket:
 * in a round, every node of a bucket is compared with one member, at first the one with the
   fewest shingles of its own; linked nodes become one component, and buckets inside one component
   are finished, so groups of near copies collapse here;
-* then every pair of one bucket and different components that the bound allows is compared.
+* then every pair of different components that the bound allows meets in the first band it
+  shares; its sketches are compared, and if they agree nearly enough, the full sets.
 
-A pair with the similarity of 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7. Every
+A pair with the similarity of 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7, and its sketches look too different
+about as rarely. Every
 link is confirmed on the full sets.
 
 Defined results: null or empty text has no shingles, no links and is kept. Rows of one id are one
@@ -96,9 +98,11 @@ def _emit_sketches(bands: int, rows: int, k: int):
                 both = np.array(sums, dtype=U).reshape(-1, 2)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(signed(keys.reshape(-1))))
+                low = (mix(got) & U(255)).astype(np.uint8).view(np.int8).reshape(-1)
+                digits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands * rows), pa.array(low))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, len(sets)), pa.array(n), pa.array(signed(both[:, 0].copy())), pa.array(signed(both[:, 1].copy())), lists],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+                    [batch.column(0).slice(block.first, len(sets)), pa.array(n), pa.array(signed(both[:, 0].copy())), pa.array(signed(both[:, 1].copy())), lists, digits],
+                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "digits"],
                 )
 
     return work
@@ -115,14 +119,13 @@ def _bounds(texts: DataFrame, percent: int, k: int) -> DataFrame:
         for batch in batches:
             for block in blocks(text_bytes(batch.column(1), lower=True)):
                 sets = shingle_sets(block, k)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
+                size = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), size, pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["node", "n", "grams"])
 
-    grams = texts.mapInArrow(work, "node long, grams array<long>")
-    one = grams.select("node", F.explode("grams").alias("gram"))
+    one = texts.mapInArrow(work, "node long, n long, grams array<long>").select("node", "n", F.explode("grams").alias("gram"))
     shared = one.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
-    have = one.join(shared, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("a"))
-    size = grams.groupBy("node").agg(F.min(F.size("grams")).cast("long").alias("n"))
-    return size.join(have, "node").where(100 * F.col("a") >= percent * F.col("n"))
+    have = one.join(shared, "gram", "left_semi").groupBy("node").agg(F.min("n").alias("n"), F.count("*").alias("a"))
+    return have.where(100 * F.col("a") >= percent * F.col("n"))
 
 
 def _possible(percent: int) -> Column:
@@ -131,6 +134,20 @@ def _possible(percent: int) -> Column:
     return 100 * most >= percent * (F.col("n") + F.col("bn") - most)
 
 
+def _alike(coordinates: int, percent: int) -> Column:
+    """Whether two sketches agree in so many coordinates (one byte kept of each) as a pair of the
+    wanted similarity does but for 5.5 standard deviations."""
+    p = percent / 100
+    least = int(coordinates * p - 5.5 * (coordinates * p * (1 - p)) ** 0.5)
+    return F.size(F.filter(F.zip_with("digits", "bdigits", lambda x, y: x == y), lambda same: same)) >= least
+
+
+def _first_meeting() -> Column:
+    """Whether this bucket is the first band that two nodes share: they meet once, not in every band."""
+    at = F.array_position(F.zip_with("bands", "bbands", lambda x, y: x == y), True)
+    return F.get("bands", (at - 1).cast("int")) == F.col("key")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -170,7 +187,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     """One row for every row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (``doc_id`` is the component's)."""
     ship_code(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, digits array<tinyint>"
     sketched = stored(plain.mapInArrow(_emit_sketches(bands, rows, k), kind), "sketch")
     sets = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     sets = stored(sets, "sets")
@@ -189,7 +206,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     bounds = stored(_bounds(texts, percent, k), "bounds")
     members = members.join(bounds, "node")
     links = stored(same.where("a <> b"), "links")
-    roots = stored(components(links), "roots")
+    none = docs.sparkSession.createDataFrame([], "node long, root long")
+    roots = none if links.isEmpty() else stored(components(links), "roots")
     for turn in range(STAR_ROUNDS + 1):
         named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
@@ -201,15 +219,17 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
         last = turn == STAR_ROUNDS or turn > 0 and left <= PAIRS_PER_NODE * total
         open_ = named.join(mixed.select("key"), "key")
         if last:
-            other = open_.select("key", F.col("node").alias("b"), F.col("root").alias("other"), F.col("n").alias("bn"), F.col("a").alias("ba"))
-            pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _possible(percent)).select(F.col("node").alias("a"), "b").distinct()
+            open_ = open_.join(nodes.select(F.col("doc_id").alias("node"), "bands", "digits"), "node")
+            other = open_.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("bands", "bbands"), ("digits", "bdigits"))])
+            likely = _possible(percent) & _alike(bands * rows, percent) & _first_meeting()
+            pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely).select(F.col("node").alias("a"), "b").distinct()
         else:
             # first the member with the smallest share of shingles of its own, then others
             draw = F.struct(F.when(F.lit(turn == 0), 1 - F.col("a") / F.col("n")).otherwise(0.0), F.xxhash64("node", F.lit(turn)))
             heads = open_.groupBy("key").agg(*[F.min_by(c, draw).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"))])
             pairs = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         found = stored(similar(pairs, texts, percent, k), "found")
-        links = stored(links.unionAll(found), "links")
+        links = links.unionAll(found)
         roots = stored(components(links), "roots")
         if last:
             break
