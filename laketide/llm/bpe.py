@@ -7,10 +7,12 @@ smallest rank and looks up the two new neighbours. Bytes are carried as characte
 number (ISO 8859-1), so pieces are strings and can be keys. The rank map is a literal: an array
 of small maps picked by CRC-32, since a Spark map is searched from its front.
 
-``tokenized`` cuts the texts once. It writes blocks: the distinct words of a few documents, and
-each document as places in that list. Only lists of words are joined with the encodings, and
-blocks meet their encodings again to give every document its ids. Blocks are bounded by bytes of
-text (a longer text is a block alone), so nothing grows with the corpus but the number of rows.
+``tokenized`` cuts the texts once. It writes blocks: the distinct words of some documents, dealt
+to shards by a hash, and each document as numbers of its block's words. A shard gathers the
+words of all blocks, each is encoded once, and every block gets back the ids of its words in the
+order it sent them; then its documents get theirs. Blocks are bounded by bytes of text (a longer
+text is a block alone), so nothing grows with the corpus but the number of rows. Lists travel
+packed and compressed.
 
 Defined results: null and empty texts have no tokens; ids and repeated rows are passed through.
 A word of n bytes takes n steps over at most n pieces.
@@ -28,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.common import ship_code, stored
+from laketide.llm.common import block_count, ship_code, stored
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 SLOTS = 1 << 14
 
 
@@ -86,11 +88,34 @@ def encode(word: Column, ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
     return F.transform(F.array(rank_literal(ranks, slots)), within)[0]
 
 
-TOKENIZED = "block long, row long, refs binary, words array<string>"
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed planes of equal weight."""
+    return zlib.compress(np.ascontiguousarray(x, dtype=np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
-def tokenized(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``docs`` (``row``, ``text``): one row with the distinct words (``refs`` null), and one per document."""
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32)
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    size = np.fromiter(map(len, words), np.int32, len(words))
+    return zlib.compress(len(words).to_bytes(4, "little") + size.tobytes() + b"".join(words), 1)
+
+
+def _unpack_words(raw: bytes) -> list[bytes]:
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, np.int32, n, 4)) + 4 + 4 * n).tolist()
+    return [raw[i:j] for i, j in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
+
+
+TOKENIZED = "block long, row long, refs binary, shard int, words binary, ids binary"
+
+
+def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks of ``docs`` (``row``, ``text``): a row for each document, its words as numbers of the
+    block (frequent words have small ones), and a row for each shard with the block's words and
+    their numbers."""
 
     def work(batches):
         import regex
@@ -101,20 +126,31 @@ def tokenized(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) ->
 
         def flush(held):
             nonlocal number
-            words: dict[str, int] = {}
-            ids, refs = [], []
-            for row, text in held:
-                ids.append(row)
-                refs.append(np.array([words.setdefault(w, len(words)) for w in find(text)], dtype=np.int32).tobytes())
             number += 1
+            words: dict[str, int] = {}
+            refs = [np.array([words.setdefault(w, len(words)) for w in find(text)], dtype=np.int32) for _, text in held]
+            often = np.bincount(np.concatenate(refs), minlength=len(words))
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(words), dtype=np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            raw = [w.encode() for w in words]
+            dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(shards)]
+            for i in order.tolist():
+                listed, ids = dealt[zlib.crc32(raw[i]) % shards]
+                listed.append(raw[i])
+                ids.append(int(rank[i]))
+            some = [s for s, (listed, _) in enumerate(dealt) if listed]
+            n, m = len(held), len(some)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number] * (len(ids) + 1), pa.int64()),
-                    pa.array([*ids, None], pa.int64()),
-                    pa.array([*refs, None], pa.binary()),
-                    pa.array([None] * len(ids) + [list(words)], pa.list_(pa.string())),
+                    pa.array([number] * (n + m), pa.int64()),
+                    pa.array([row for row, _ in held] + [None] * m, pa.int64()),
+                    pa.array([_pack(rank[r]) for r in refs] + [None] * m, pa.binary()),
+                    pa.array([None] * n + some, pa.int32()),
+                    pa.array([None] * n + [_pack_words(dealt[s][0]) for s in some], pa.binary()),
+                    pa.array([None] * n + [_pack(np.array(dealt[s][1])) for s in some], pa.binary()),
                 ],
-                names=["block", "row", "refs", "words"],
+                names=["block", "row", "refs", "shard", "words", "ids"],
             )
 
         held, size = [], 0
@@ -132,6 +168,30 @@ def tokenized(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) ->
     return docs.select("row", "text").mapInArrow(work, TOKENIZED)
 
 
+def _distinct_words(table: pa.Table) -> pa.Table:
+    """The words of a shard, once each."""
+    words: set[bytes] = set()
+    for raw in table.column("words").to_pylist():
+        words.update(_unpack_words(raw))
+    listed = pa.array(sorted(words), pa.binary()).cast(pa.string())
+    return pa.table([pa.array([table.column("shard")[0].as_py()] * len(listed), pa.int32()), listed], names=["at", "word"])
+
+
+def _answer(lists: pa.Table, known: pa.Table) -> pa.Table:
+    """The token ids of every block's words, in the block's order."""
+    codes = known.column("codes").combine_chunks()
+    flat, ends = codes.flatten().to_numpy(), codes.offsets.to_numpy()
+    ends = ends - ends[0]
+    place = {w: i for i, w in enumerate(known.column("word").cast(pa.binary()).to_pylist())}
+    sizes, tokens = [], []
+    for raw in lists.column("words").to_pylist():
+        at = np.array([place[w] for w in _unpack_words(raw)], dtype=np.int64)
+        count = ends[at + 1] - ends[at]
+        sizes.append(_pack(count))
+        tokens.append(_pack(flat[np.repeat(ends[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]))
+    return pa.table([lists.column("block"), lists.column("ids"), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["of", "ids", "sizes", "tokens"])
+
+
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     """The bytes of a sequence of token ids."""
     return b"".join(map(pieces.__getitem__, ids.tolist()))
@@ -143,29 +203,28 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     With ``digest`` instead of ids: their number, the SHA-256 of their decimal list and of the decoded bytes.
     """
     ship_code(docs.sparkSession)
-    blocks = stored(tokenized(docs, pattern, block_bytes), "bpe-blocks")
-    listed = blocks.where("refs IS NULL").select("block", F.posexplode("words").alias("place", "word"))
-    words = listed.select("word").distinct()
-    codes = stored(words.select("word", encode(F.col("word"), ranks).alias("codes")), "bpe-words")
-    found = listed.join(codes, "word").select(F.col("block").alias("of"), "place", "codes")
-    texts = blocks.where("refs IS NOT NULL").select("block", "row", "refs")
+    shards = block_count(docs, F.octet_length("text"), block_bytes)
+    blocks = stored(tokenized(docs, pattern, shards, block_bytes), "bpe-blocks")
+    lists = blocks.where("shard IS NOT NULL").select("shard", "block", "words", "ids")
+    words = lists.select("shard", "words").groupBy("shard").applyInArrow(_distinct_words, "at int, word string")
+    codes = stored(words.select("at", "word", encode(F.col("word"), ranks).alias("codes")), "bpe-words")
+    found = lists.groupBy("shard").cogroup(codes.groupBy("at")).applyInArrow(_answer, "of long, ids binary, sizes binary, tokens binary")
+    texts = blocks.where("shard IS NULL").select("block", "row", "refs")
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [str(i) for i in range(len(pieces))]
-        place = right.column("place").to_numpy()
-        codes = right.column("codes").combine_chunks()
-        starts, flat = codes.offsets.to_numpy(), codes.flatten().to_numpy()
-        starts = starts - starts[0] if len(starts) else starts
-        count = np.zeros(len(place), dtype=np.int64)
-        first = np.zeros(len(place), dtype=np.int64)
-        count[place], first[place] = np.diff(starts), starts[:-1]
+        parts = [[_unpack(x) for x in right.column(c).to_pylist()] for c in ("ids", "sizes", "tokens")]
+        ids_, sizes_, flat = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts)
+        count = np.zeros(len(ids_), dtype=np.int64)
+        first = np.zeros(len(ids_), dtype=np.int64)
+        count[ids_], first[ids_] = sizes_, np.cumsum(sizes_) - sizes_
         rows = left.column("row")
         ids, sizes, shas, backs = [], [], [], []
         for refs in left.column("refs").to_pylist():
-            r = np.frombuffer(refs, np.int32)
+            r = _unpack(refs)
             c = count[r]
             total = int(c.sum())
             at = np.repeat(first[r] - np.concatenate(([0], np.cumsum(c)[:-1])) if len(r) else first[r], c) + np.arange(total)
