@@ -25,10 +25,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.blocks import U, Block, mix, text_bytes, word_hashes
+from laketide.llm.blocks import U, Block, blocks, mix, text_bytes, word_hashes
 from laketide.llm.common import block_count, ship_code, stored
 from laketide.llm.elias_fano import Trie
 
@@ -60,8 +61,17 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:  # noqa: ANN001
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
+SLICE_BYTES = 1 << 20
+
+
+def _slices(texts: list[bytes], order: int):
+    """Numbers of first texts, and the n-grams of about ``SLICE_BYTES`` of a block, so that working arrays stay small."""
+    for part in blocks(texts, SLICE_BYTES):
+        yield part.first, Grams(part.texts, order)
+
+
 class Grams:
-    """The n-grams and words of a block's texts."""
+    """The n-grams and words of some texts."""
 
     def __init__(self, texts: list[bytes], order: int):
         self.order = order
@@ -87,13 +97,14 @@ class Grams:
         inner[self.word_places[1:] - 1] = False
         self.words[inner] = hashes
 
-    def distinct(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order from the highest down: its n-grams, and for each n-gram of the next higher order its place among them."""
-        levels = [(np.unique(self.codes), np.zeros(0, dtype=np.int64))]
-        for k in range(self.order - 1, 0, -1):
-            low, place = np.unique(levels[-1][0] & U((1 << (8 * k)) - 1), return_inverse=True)
-            levels.append((low, place))
-        return levels
+
+def _levels(top: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each order from the highest down: its distinct n-grams, and for each of the next higher order its place among them."""
+    levels = [(top, np.zeros(0, dtype=np.int64))]
+    for k in range(order - 1, 0, -1):
+        low, place = np.unique(levels[-1][0] & U((1 << (8 * k)) - 1), return_inverse=True)
+        levels.append((low, place))
+    return levels
 
 
 def _keys(levels: list[tuple[np.ndarray, np.ndarray]], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +123,10 @@ def _deal(place: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _asked(block: Grams, shards: int):
-    levels = block.distinct()
-    keys, contexts = _keys(levels, block.order)
-    words = np.unique(block.words)
-    return levels, keys, _deal(contexts, shards), words, _deal(words, shards)
+def _asked(top: np.ndarray, words: np.ndarray, order: int, shards: int):
+    levels = _levels(top, order)
+    keys, contexts = _keys(levels, order)
+    return levels, keys, _deal(contexts, shards), _deal(words, shards)
 
 
 def _counts(of: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -134,14 +144,18 @@ def _emit(order: int, shards: int):
     def work(table: pa.Table) -> pa.Table:
         texts = text_bytes(table.column("text").combine_chunks(), lower=True)
         train = np.array(table.column("train").to_pylist(), dtype=bool)
-        every = Grams(texts, order)
-        levels, keys, (gram_order, gram_at), words, (word_order, word_at) = _asked(every, shards)
-        learned = np.repeat(train, np.diff(every.places))
-        counts = [_counts(levels[0][0], every.codes[learned])]
+        grams, listed = [], []
+        for first, part in _slices(texts, order):
+            use = train[first : first + len(part.places) - 1]
+            top, words = np.unique(part.codes), np.unique(part.words)
+            grams.append((top, _counts(top, part.codes[np.repeat(use, np.diff(part.places))])))
+            listed.append((words, _counts(words, part.words[np.repeat(use, np.diff(part.word_places))])))
+        (top, learned), (words, word_counts) = _add_up(grams), _add_up(listed)
+        levels, keys, (gram_order, gram_at), (word_order, word_at) = _asked(top, words, order, shards)
+        counts = [learned]
         for low, place in levels[1:]:
             counts.append(np.bincount(place, weights=counts[-1], minlength=len(low)).astype(np.int64))
-        gram_counts = np.concatenate(counts)[gram_order]
-        word_counts = _counts(words, every.words[np.repeat(train, np.diff(every.word_places))])[word_order]
+        gram_counts, word_counts = np.concatenate(counts)[gram_order], word_counts[word_order]
         keys, words = keys[gram_order], words[word_order]
         block = table.column("block")[0].as_py()
         rows = []
@@ -242,8 +256,9 @@ SCORES = "row long, held_out boolean, n_tokens long, n_known long, base_score do
 def _score(order: int, shards: int, tokens: int, types: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = text_bytes(docs.column("text").combine_chunks(), lower=True)
-        block = Grams(texts, order)
-        levels, _, (gram_order, _), words, (word_order, _) = _asked(block, shards)
+        tops, listed = zip(*[(np.unique(g.codes), np.unique(g.words)) for _, g in _slices(texts, order)], strict=True)
+        top, words = np.unique(np.concatenate(tops)), np.unique(np.concatenate(listed))
+        levels, _, (gram_order, _), (word_order, _) = _asked(top, words, order, shards)
         answers = answers.sort_by("shard")
         own, parent = np.empty(len(gram_order), np.uint16), np.empty(len(gram_order), np.uint16)
         own[gram_order] = np.concatenate([_unplanes(c, np.uint16) for c in answers.column("own").to_pylist()])
@@ -258,27 +273,23 @@ def _score(order: int, shards: int, tokens: int, types: int):
             below = p[levels[i + 1][1]] if i + 1 < len(levels) else p
             p = _VALUE[own[part]] + np.where(parent[part] > 0, _VALUE[parent[part]], 1.0) * below
         bits = np.log10(p)
-        place = np.searchsorted(levels[0][0], block.codes)
-        last = block.codes & U(255)
-        ends_word = np.flatnonzero((last == U(32)) | (last == U(END)))
-        spelled = np.add.reduceat(bits[place], np.concatenate(([0], ends_word[:-1] + 1)))
-        n = counts[np.searchsorted(words, block.words)]
-        base = np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
-        # a token is spelled by the trie or drawn from the word counts, at even odds
-        high, low = np.maximum(spelled, base), np.minimum(spelled, base)
-        token = high + np.log10(0.5 + 0.5 * 10.0 ** np.maximum(low - high, -300.0))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for _, block in _slices(texts, order):
+            place = np.searchsorted(top, block.codes)
+            last = block.codes & U(255)
+            ends_word = np.flatnonzero((last == U(32)) | (last == U(END)))
+            spelled = np.add.reduceat(bits[place], np.concatenate(([0], ends_word[:-1] + 1)))
+            n = counts[np.searchsorted(words, block.words)]
+            base = np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
+            # a token is spelled by the trie or drawn from the word counts, at even odds
+            high, low = np.maximum(spelled, base), np.minimum(spelled, base)
+            token = high + np.log10(0.5 + 0.5 * 10.0 ** np.maximum(low - high, -300.0))
+            at = block.word_places[:-1]
+            for o, v in zip(out, (np.diff(block.word_places), np.add.reduceat((n > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(token, at)), strict=True):
+                o.append(v)
         held = pa.compute.invert(docs.column("train"))
-        return pa.table(
-            [
-                docs.column("row"),
-                held,
-                pa.array(np.diff(block.word_places)),
-                pa.array(np.add.reduceat((n > 0).astype(np.int64), block.word_places[:-1])),
-                pa.array(np.add.reduceat(base, block.word_places[:-1])),
-                pa.array(np.add.reduceat(token, block.word_places[:-1])),
-            ],
-            names=["row", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
+        columns = [docs.column("row"), held, *[pa.array(np.concatenate(o)) for o in out]]
+        return pa.table(columns, names=["row", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return work
 
@@ -291,14 +302,14 @@ def train_and_score(docs: DataFrame, train: Column, order: int = ORDER, block_by
     ship_code(docs.sparkSession)
     if not 2 <= order <= 7:
         raise ValueError("an n-gram and its length share eight bytes")
-    blocks = block_count(docs, F.octet_length("text") + 8, block_bytes)
+    parts = block_count(docs, F.octet_length("text") + 8, block_bytes)
     dealt = docs.select(
-        F.pmod(F.xxhash64("row", "text"), F.lit(blocks)).alias("block"), "row", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")
+        F.pmod(F.xxhash64("row", "text"), F.lit(parts)).alias("block"), "row", F.coalesce(train, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text")
     )
-    shards = blocks
+    shards = parts
     sent = stored(dealt.groupBy("block").applyInArrow(_emit(order, shards), SENT), "lm-sent")
     sums = sent
-    ways = blocks
+    ways = parts
     while ways > fan_in:
         ways = -(-ways // fan_in)
         part = F.pmod(F.xxhash64("block"), F.lit(ways)).alias("part")
