@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from laketide.llm import bpe, bwt_dedup, decontaminate, near_dedup, quality_llr
 from laketide.llm.common import stored, table
 
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the word rules or the likelihood ratio go."""
@@ -22,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dedup.representatives(docs)
+    """One document of each group of near duplicates stays; shingles of ``SHINGLE`` words, one more than op5's contract has."""
+    return near_dedup.representatives(docs, k=SHINGLE)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
