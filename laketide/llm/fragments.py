@@ -117,7 +117,15 @@ def _emit_pieces(unit: str, length: int, shards: int):
     width = 1 if unit == "byte" else 8
 
     def work(batches):
+        sent: set[tuple[int | None, int]] = set()  # rows of one id and text would send the same pieces
         for batch in batches:
+            keys = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
+            new = []
+            for i, key in enumerate(keys):
+                if key not in sent:
+                    sent.add(key)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             texts = text_bytes(batch.column(0))
             rows = batch.column(1).to_pylist()
             out: dict[str, list] = {k: [] for k in ("shard", "anchor", "frag", "n", "lead", "hot", "piece")}
@@ -188,11 +196,11 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index:
     )
     one = docs.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "text")
     texts = wanted.join(one, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
-    pieces = stored(texts.select("text", "rows").mapInArrow(_emit_pieces(unit, length, shards), PIECES), "pieces")
+    pieces = stored(texts.select("text", "rows", "d", "m").mapInArrow(_emit_pieces(unit, length, shards), PIECES), "pieces")
 
     def search(table: pa.Table) -> pa.Table:
         rows = zip(*(table.column(c).to_pylist() for c in ("anchor", "frag", "n", "lead", "piece")), strict=True)
-        once = {(a, f): (n, lead, p) for a, f, n, lead, p in rows}  # a repeated row of documents has sent it twice
+        once = {(a, f): (n, lead, p) for a, f, n, lead, p in rows}  # a row repeated in several tasks was sent by each
         n, lead, piece = ([v[i] for v in once.values()] for i in range(3))
         out: tuple[list, list, list, list] = ([], [], [], [])
         for (a, f), flags in zip(once, index(piece, n, lead), strict=True):
@@ -207,8 +215,10 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, gram: int, index:
     warm = windows.join(again, ["anchor", "window"]).select("anchor", "frag", F.col("at").alias("lo"), (F.col("at") + 1).alias("hi"))
     copied = frags.where("copies > 1").select("anchor", "frag", F.lit(0).alias("lo"), F.col("n").alias("hi"))
     found = cool.unionByName(warm).unionByName(copied)
+    # rows of one id and text have the same places; taken once, a list is no longer than the text's own windows
+    places = shared.select("doc_id", "mark", "anchor", "frag", "start").distinct()
     return (
-        shared.join(found, ["anchor", "frag"])
+        places.join(found, ["anchor", "frag"])
         .groupBy("doc_id", "mark")
         .agg(F.collect_list(F.col("start") + F.col("lo")).alias("lo"), F.collect_list(F.col("start") + F.col("hi")).alias("hi"))
     )
