@@ -5,8 +5,11 @@ The model predicts the bytes of a text one by one from up to ``ORDER - 1`` bytes
 by Witten and Bell: a context with T training symbols, D of them different, gives
 c / (T + D) + D / (T + D) * (probability after the context without its first byte), and below
 the empty context every one of 257 symbols is equally likely. Both numbers are kept as 16-bit
-codes of their logarithms. A token's probability is the mean of that of its spelling and of its
-share in the word counts, so frequent words need not be spelled out.
+codes of their logarithms, rounded down. A token's probability is the mean of that of its spelling
+and of its share in the word counts, so frequent words need not be spelled out. The word counts
+reserve a share for all unseen words together; an unseen word gets that share times the probability
+of its spelling. So the probabilities of all tokens that can follow a text sum to at most 1.
+``base_score``, the baseline beside it, gives each single unseen word the reserved share.
 
 All texts are counted; nothing is pruned. Documents are dealt into blocks of bounded size by a
 hash. A block sends its distinct n-grams, with their counts over training documents, and its
@@ -44,10 +47,10 @@ _VALUE = np.concatenate(([0.0], 10.0 ** (-_DECADES * np.arange(_STEPS + 1) / _ST
 
 
 def _code(p: np.ndarray) -> np.ndarray:
-    """The 16-bit code of probabilities, on a logarithmic scale."""
+    """The 16-bit code of probabilities, on a logarithmic scale, rounded down so that sums stay below 1."""
     out = np.zeros(len(p), dtype=np.uint16)
     some = p > 0
-    out[some] = 1 + np.clip(np.rint(-np.log10(p[some]) * _STEPS / _DECADES), 0, _STEPS).astype(np.uint16)
+    out[some] = 1 + np.clip(np.ceil(-np.log10(p[some]) * _STEPS / _DECADES), 0, _STEPS).astype(np.uint16)
     return out
 
 
@@ -281,8 +284,9 @@ def _score(order: int, shards: int, tokens: int, types: int):
             spelled = np.add.reduceat(bits[place], np.concatenate(([0], ends_word[:-1] + 1)))
             n = counts[np.searchsorted(words, block.words)]
             base = np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
-            # a token is spelled by the trie or drawn from the word counts, at even odds
-            high, low = np.maximum(spelled, base), np.minimum(spelled, base)
+            # a token is spelled by the trie or drawn from the word counts, at even odds; all unseen words share what is left there
+            drawn = np.where(n > 0, base, base + spelled)
+            high, low = np.maximum(spelled, drawn), np.minimum(spelled, drawn)
             token = high + np.log10(0.5 + 0.5 * 10.0 ** np.maximum(low - high, -300.0))
             at = block.word_places[:-1]
             for o, v in zip(out, (np.diff(block.word_places), np.add.reduceat((n > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(token, at)), strict=True):
