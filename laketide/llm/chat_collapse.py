@@ -12,7 +12,8 @@ rendering comes in parts of ``CHUNK`` turns; ordinary conversations are one part
 
 Defined results: repeated turn rows count once; several rows for one turn number are ordered by
 role and text and belong to the prefix together; rows without a conversation id form one
-conversation; an empty table gives no rows.
+conversation, in parts of ``CHUNK`` rows however few turn numbers they share; an empty table gives
+no rows. With an id a part is ``turn // CHUNK``, as the SQL has it, with all rows of these turns.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laketide.llm.common import stored
+from laketide.llm.common import block_count, stored
 
 CHUNK = 256
+RANGE_ROWS = 1 << 16
+LINE = ("turn", "role", "text")
 
 
 def turns_of(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -66,12 +69,34 @@ def maximal(turns: DataFrame) -> DataFrame:
     return kept.groupBy("n", "x", "y").agg(F.min("conv_id").alias("conv_id")).select("conv_id", F.col("n").alias("n_turns"))
 
 
+def _by_rows(turns: DataFrame, n_turns: int, chunk: int) -> DataFrame:
+    """The rows of the conversation without an id, ``chunk`` of them in a part, in the order of their lines.
+
+    Ranges of the order are numbered each by itself, then the sizes of the ranges before are added.
+    """
+    ranges = block_count(turns, F.lit(1), RANGE_ROWS)
+    order = [F.asc_nulls_first("turn"), F.asc("role"), F.asc("text")]
+    # stored: the bounds of the ranges are drawn from a sample
+    dealt = stored(turns.select("conv_id", *LINE).repartitionByRange(ranges, *order).withColumn("range", F.spark_partition_id()), "lone")
+    sizes = {r["range"]: r["n"] for r in dealt.groupBy("range").agg(F.count("*").alias("n")).collect()}
+    before, at = [], 0
+    for i in range(ranges):
+        before.append(at)
+        at += sizes.get(i, 0)
+    number = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1 + F.get(F.array(*[F.lit(b).cast("long") for b in before]), F.col("range"))
+    return dealt.select("conv_id", F.floor(number / chunk).cast("long").alias("part"), F.lit(n_turns).cast("long").alias("n_turns"), *LINE)
+
+
 def render(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``conv_id``, ``part``, ``n_turns`` (of the whole conversation) and ``rendered`` of every maximal conversation."""
     turns = stored(turns_of(conversations, chunk), "turns")
-    kept = maximal(turns).withColumnRenamed("conv_id", "c")
+    kept = stored(maximal(turns).withColumnRenamed("conv_id", "c"), "kept")
+    rows = turns.where("conv_id IS NOT NULL").join(kept, F.col("conv_id") == F.col("c")).select("conv_id", "part", "n_turns", *LINE)
+    lone = kept.where("c IS NULL").first()
+    if lone is not None:
+        rows = rows.unionByName(_by_rows(turns.where("conv_id IS NULL"), lone["n_turns"], chunk))
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
     # turn numbers, roles and texts order the lines; the struct sorts by its fields
-    rows = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", "part", "n_turns", F.struct("turn", "role", "text", line.alias("line")).alias("t"))
+    rows = rows.select("conv_id", "part", "n_turns", F.struct(*LINE, line.alias("line")).alias("t"))
     parts = rows.groupBy("conv_id", "part", "n_turns").agg(F.sort_array(F.collect_list("t")).alias("t"))
     return parts.select("conv_id", "part", "n_turns", F.array_join(F.transform("t", lambda x: x["line"]), "").alias("rendered"))
