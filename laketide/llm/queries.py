@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from laketide.llm import bpe, bwt_dedup, chat_collapse, decontaminate, fm_dedup, language_ppm, licences, lm_trie, near_dedup, quality_llr
+from laketide.llm import backtrack_bpe, blas_ranking, bpe, bwt_dedup, chat_collapse, decontaminate, fm_dedup, language_ppm, licences, lm_trie, near_dedup, phrase_mining, quality_llr
 from laketide.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,61 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     deep = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string"), F.floor(F.col("doc_id") / 10).cast("string"), F.col("doc_id").cast("string"))
     docs = docs.select("doc_id", "text", deep.alias("path"))
     return licences.scan(docs, licences.learn(docs), any_speaks=True).select("doc_id", "path", "licence.*")
+
+
+@query("op11_backtrack_bpe")
+def op11_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = backtrack_bpe.read_model(public_tokenizers.path("word_bpe_49k.json"))
+    return backtrack_bpe.digests(docs, model).select("doc_id", "tokens.*")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sql_terms(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, {_sql_terms("text")} AS w FROM documents),
+     c AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+     q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS repeats FROM (SELECT item_id, unnest({_sql_terms("text")}) AS term FROM benchmark) GROUP BY 1, 2),
+     v AS (SELECT DISTINCT term FROM q),
+     t AS (SELECT doc_id, term, len(w) AS n, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) JOIN v USING (term) GROUP BY ALL),
+     f AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM t, c GROUP BY term, big_n),
+     i AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))) AS impact FROM t JOIN f USING (term), c),
+     s AS (SELECT item_id, doc_id, CAST(sum(repeats * impact) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY 1, 2 HAVING sum(repeats * impact) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s QUALIFY rank <= 10"""
+
+
+@query("op12_blas_ranking", OP12_SQL)
+def op12_blas_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blas_ranking.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = f"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+         SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+     s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
+     f AS (SELECT lang, phrase, size, CAST(count(*) AS BIGINT) AS a FROM (
+         SELECT lang, k AS size, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM s, (SELECT unnest(range(1, 5)) AS k) WHERE i + k - 1 <= len(w))
+         GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+     n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+     c AS (SELECT lang, phrase, size, a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+     inside AS (SELECT lang, phrase, max(a) AS held FROM (
+         SELECT lang, a, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, a, w, size, unnest(range(1, size + 1)) AS i FROM c), (SELECT unnest([2, 3]) AS k) WHERE k < size AND i + k - 1 <= size)
+         GROUP BY 1, 2),
+     cut AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+     scored AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, CAST((2000000 * CAST(cut.a AS HUGEINT)) // (x.a + y.a) AS BIGINT) AS score
+         FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest),
+     worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM worst JOIN n USING (lang) LEFT JOIN inside USING (lang, phrase)
+WHERE held IS NULL OR 100 * held < 80 * a QUALIFY rank <= 2000"""
+
+
+@query("op13_phrase_mining", OP13_SQL)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
