@@ -29,7 +29,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from laketide.llm.blocks import Sums, blocks, byte_values, mix, text_bytes
+from laketide.llm.blocks import text_bytes
 from laketide.llm.common import ship_code, stored
 
 LONGEST = 4
@@ -40,50 +40,81 @@ SAMPLE_SHARE = 8
 LOWERED = 0.55
 #: Bits of the map of proposals.
 BITS = 1 << 26
-#: Distinct hashes a task combines before it passes them on, and bytes of text handled at once.
-COMBINED = 1 << 20
-BLOCK_BYTES = 2 << 20
-
-_PIECE_ENDS = np.zeros(256, dtype=bool)
-_PIECE_ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
-_BREAKS = _PIECE_ENDS.copy()
-_BREAKS[[32, 9]] = True
+#: Distinct hashes a task combines before it passes them on, and what it handles at once.
+COMBINED = 1 << 19
+BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 512
+
+#: 0 in a word, 1 between words, 2 between pieces.
+_KINDS = bytes(2 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 1 if chr(b) in " \t" else 0 for b in range(256))
 _U = np.uint64
 
 
-class Words:
-    """The words of a block of texts, and the hashes of all phrases by length."""
+def _step(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The hash of a sequence with one more entry."""
+    h = (h ^ more) * _U(0x9E3779B97F4A7C15)
+    h ^= h >> _U(29)
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(32)
+    return h
 
-    def __init__(self, block, langs: list[bytes]):
-        buf = block.buf.copy()
-        buf[block.end] = 10  # a text ends a piece
-        self.buf = buf
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], (~_BREAKS[buf]).view(np.int8), [0]))))
+
+class Words:
+    """The words of some lower-cased texts, their hashes and which of them are neighbours."""
+
+    def __init__(self, texts: list[bytes], langs: list[bytes]):
+        self.raw = b"\n".join([*texts, b"\0" * 8])  # the end of a text ends a piece
+        size = len(self.raw) - 8
+        kind = np.frombuffer(self.raw.translate(_KINDS), dtype=np.uint8)[:size]
+        inside = np.concatenate(([False], kind == 0, [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
-        ends = np.concatenate(([0], np.cumsum(_PIECE_ENDS[buf])))
-        self.piece = ends[self.start]
-        kinds = sorted(set(langs))
-        seed = np.array([int.from_bytes(hashlib.sha256(k).digest()[:8], "little") for k in kinds], dtype=_U)
-        number = {k: i for i, k in enumerate(kinds)}
-        text = np.searchsorted(block.begin, self.start, side="right") - 1
-        self.kinds = kinds
-        self.lang = np.array([number[k] for k in langs], dtype=np.int64)[text]
-        own = Sums(byte_values(buf)).of(self.start, self.end)
-        self.hash = [mix(own + seed[self.lang])]
-        for n in range(2, LONGEST + 1):
-            before = self.hash[-1]
-            m = max(len(own) - n + 1, 0)
-            self.hash.append(mix(before[:m] * _U(0x9E3779B97F4A7C15) + own[n - 1 : n - 1 + m] + _U(n)))
-
-    def backward(self) -> np.ndarray:
-        """Another hash of every word, from its last byte to its first."""
-        size = len(self.buf)
-        return Sums(byte_values(self.buf[::-1])).of(size - self.end, size - self.start)
-
-    def whole(self, n: int) -> np.ndarray:
-        """Places where ``n`` words stand in one piece."""
-        m = max(len(self.piece) - n + 1, 0)
-        return self.piece[:m] == self.piece[n - 1 : n - 1 + m]
+        # words i and i + 1 are neighbours if nothing but blanks is between them
+        self.linked = kind[self.end] == 1
+        gap = np.append(self.start[1:], self.start[-1:]) - self.end
+        at, done = np.flatnonzero(gap > 1), 1
+        while len(at):
+            self.linked[at] &= kind[self.end[at] + done] == 1
+            done += 1
+            at = at[gap[at] > done]
+        self.linked[-1:] = False
+        begin = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        per_text = np.diff(np.searchsorted(self.start, begin))
+        self.kinds = sorted(set(langs))
+        number = {k: i for i, k in enumerate(self.kinds)}
+        self.lang = np.repeat(np.array([number[k] for k in langs], dtype=np.int64), per_text)
+        self.own = self._hashes(_U(0x243F6A8885A308D3))
+        seed = np.array([int.from_bytes(hashlib.sha256(k).digest()[:8], "little") for k in self.kinds], dtype=_U)
+        self.first = _step(self.own, seed[self.lang])
+
+    def _hashes(self, seed: np.uint64) -> np.ndarray:
+        """Words by eight bytes at a time; only the longer ones have further steps."""
+        eights = np.ndarray(len(self.raw) - 7, dtype="<u8", buffer=self.raw, strides=(1,))
+        size = self.end - self.start
+        h = size.astype(_U) + seed
+        at, done = np.arange(len(size)), 0
+        while len(at):
+            left = np.minimum(size[at] - done, 8).astype(_U)
+            part = eights[self.start[at] + done] << (_U(64) - _U(8) * left)
+            h[at] = _step(h[at], part)
+            done += 8
+            at = at[size[at] > done]
+        return h
+
+    def opened(self, known: Proposals | None, longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length the places and hashes of the phrases whose first and last n-1 words are proposed."""
+        out = [(np.arange(len(self.first)), self.first)]
+        for n in range(2, longest + 1):
+            at, h = out[-1]
+            if known is None or len(at) < 2:
+                out.append((at[:0], h[:0]))
+                continue
+            inside = known.has(h)
+            both = inside[:-1] & inside[1:]
+            both &= self.linked[at[:-1]] if n == 2 else at[1:] == at[:-1] + 1
+            some = np.flatnonzero(both)
+            out.append((at[some], _step(h[some], self.own[at[some] + n - 1])))
+        return out
 
 
 def _bit(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -119,15 +150,6 @@ def bit_map(hashes: DataFrame, bits: int) -> Proposals:
     return Proposals(bits, raw)
 
 
-def _opened(words: Words, n: int, known: Proposals | None) -> np.ndarray:
-    """Places of phrases of ``n`` words whose first and last n-1 words are proposed."""
-    whole = words.whole(n)
-    if n == 1 or known is None:
-        return whole & (n == 1)
-    inside = known.has(words.hash[n - 2])
-    return whole & inside[: len(whole)] & inside[1 : len(whole) + 1]
-
-
 class Combiner:
     """Sums by hash, passed on when there are many."""
 
@@ -158,12 +180,18 @@ class Combiner:
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
-    """Blocks of lower-cased texts; the columns are ``lang``, never null, and ``text``."""
+    """Some lower-cased texts at a time; the columns are ``lang``, never null, and ``text``."""
     for batch in batches:
-        langs = [x.encode() for x in batch.column(0).to_pylist()]
-        texts = text_bytes(batch.column(1), lower=True)
-        for block in blocks(texts, BLOCK_BYTES):
-            yield Words(block, langs[block.first : block.first + len(block.texts)])
+        for low in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(low, BLOCK_ROWS)
+            langs, texts = [x.encode() for x in part.column(0).to_pylist()], text_bytes(part.column(1), lower=True)
+            first, size = 0, 0
+            for i, text in enumerate(texts):
+                if size and size + len(text) > BLOCK_BYTES:
+                    yield Words(texts[first:i], langs[first:i])
+                    first, size = i, 0
+                size += len(text)
+            yield Words(texts[first:], langs[first:])
 
 
 def _counts(docs: DataFrame, levels: list[int], known: Broadcast | None, done: Broadcast | None = None) -> DataFrame:
@@ -177,11 +205,13 @@ def _counts(docs: DataFrame, levels: list[int], known: Broadcast | None, done: B
             yield pa.RecordBatch.from_arrays([pa.array(got[0].view(np.int64)), pa.array(got[1].astype(np.int64))], names=["h", "n"])
 
         for words in _blocks_of(batches):
-            for n in levels:
-                here = _opened(words, n, now)
-                if old is not None:
-                    here &= ~_opened(words, n, old)
-                if (got := combiner.add(words.hash[n - 1][here])) is not None:
+            before = words.opened(old, levels[-1]) if old is not None else None
+            for n, (at, hashes) in enumerate(words.opened(now, levels[-1]), 1):
+                if n not in levels:
+                    continue
+                if before is not None:
+                    hashes = hashes[~np.isin(at, before[n - 1][0], assume_unique=True)]
+                if (got := combiner.add(hashes)) is not None:
                     yield from out(got)
         if (got := combiner.rest()) is not None:
             yield from out(got)
@@ -231,7 +261,7 @@ def _texts(docs: DataFrame, found: Broadcast, longest: int) -> DataFrame:
     """``lang``, ``phrase``, ``n`` of the phrases in ``found``, exactly; the null phrase has all words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, held, seen = found.value.has, {}, 0
+        has, held = found.value.has, {}
 
         def out():
             keys = list(held)
@@ -241,28 +271,28 @@ def _texts(docs: DataFrame, found: Broadcast, longest: int) -> DataFrame:
             )
 
         for words in _blocks_of(batches):
+            other = words._hashes(_U(0x13198A2E03707344))
             for kind, n in enumerate(np.bincount(words.lang, minlength=len(words.kinds)).tolist()):
                 if n:
                     key = (words.kinds[kind], None)
                     held[key] = held.get(key, 0) + n
-            raw, backward = words.buf.tobytes(), words.backward()
-            for n in range(1, longest + 1):
-                at = np.flatnonzero(words.whole(n))
-                at = at[has(words.hash[n - 1][at])]
+            for n, (at, hashes) in enumerate(words.opened(found.value, longest), 1):
+                inside = has(hashes)
+                at, hashes = at[inside], hashes[inside]
                 if not len(at):
                     continue
-                _, first, inverse, counts = np.unique(words.hash[n - 1][at], return_index=True, return_inverse=True, return_counts=True)
-                # the second hash tells texts apart that share the first
+                _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                # another hash tells phrases apart that share the first
                 alone = words.lang[at].astype(_U)
                 for j in range(n):
-                    alone = mix(alone + backward[at + j])
+                    alone = _step(alone, other[at + j])
                 same = alone == alone[first][inverse]
                 if not same.all():
                     clash = np.unique(inverse[~same])
                     single = np.flatnonzero(np.isin(inverse, clash))
                     first, counts = np.concatenate((np.delete(first, clash), single)), np.concatenate((np.delete(counts, clash), np.ones(len(single), dtype=counts.dtype)))
                 for i, c in zip(at[first].tolist(), counts.tolist(), strict=True):
-                    text = raw[words.start[i] : words.end[i + n - 1]]
+                    text = words.raw[words.start[i] : words.end[i + n - 1]]
                     key = (words.kinds[words.lang[i]], text if n == 1 else b" ".join(text.split()))
                     held[key] = held.get(key, 0) + c
             if len(held) > COMBINED // 4:
