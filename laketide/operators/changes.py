@@ -8,14 +8,17 @@ join is shuffled and adaptive execution can split a skewed target.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from laketide.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS, is_small, row_bytes
 from laketide.operators.windows import latest_per_key
+from laketide.sources.evolution import common_schema, fit_to
 from laketide.sources.writers import stored
 
 
@@ -23,6 +26,10 @@ class DuplicateSourceKey(ValueError):
     """Several source rows claim the same target row."""
 
 
+class UnknownColumns(ValueError):
+    """The source brings columns that the target lacks and nobody said what to do with them."""
+
+
 def one_row_per_key(source: DataFrame, keys: Sequence[str], dedup_by: Sequence[str] | None) -> DataFrame:
     """The source with unique keys, hinted for a broadcast when it is small.
 
@@ -61,6 +68,8 @@ def merge(
     when_matched: str | None = None,
     delete_when: str | None = None,
     dedup_by: Sequence[str] | None = None,
+    evolve: bool = False,
+    ignore: Sequence[str] = (),
 ) -> DataFrame:
     """New state of ``target`` after merging ``source``.
 
@@ -69,8 +78,23 @@ def merge(
     * ``when_matched``: SQL condition for an update, with ``t.`` and ``s.`` prefixes.
     * ``delete_when``: SQL condition on source columns (``s.``) that removes the matched
       target row and keeps an unmatched source row out.
+    * ``evolve``: columns that only the source has are added, and types are widened to the common
+      type of both sides, at any depth; a struct is taken whole. Without it such columns are
+      refused, unless ``ignore`` names them or a condition uses them (``s.op``).
     """
     keys = list(keys)
+    known = {c.lower() for c in target.columns}
+    used = f"{when_matched or ''} {delete_when or ''}"
+    ignore = [*ignore, *[c for c in source.columns if c.lower() not in known and re.search(rf"\bs\.`?{re.escape(c)}\b", used)]]
+    unknown = [c for c in source.columns if c.lower() not in known and c not in ignore]
+    if evolve:
+        grown = common_schema(target.schema, source.drop(*ignore).schema)
+        target = fit_to(target, grown)
+        named = {c.lower() for c in source.columns}
+        aside = [f for f in source.schema.fields if f.name in ignore and f.name.lower() not in {g.name.lower() for g in grown.fields}]
+        source = fit_to(source, T.StructType([*[f for f in grown.fields if f.name.lower() in named], *aside]))
+    elif unknown:
+        raise UnknownColumns(f"the target lacks {unknown}; pass evolve=True to add them or name them in ignore")
     source = one_row_per_key(source, keys, dedup_by)
     shared = [c for c in target.columns if c in source.columns]
     update = [c for c in shared if c not in keys] if update is None else list(update)
@@ -117,28 +141,55 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
-def change_feed(before: DataFrame, after: DataFrame, keys: Sequence[str], version: int | None = None) -> DataFrame:
-    """Row changes between two snapshots: insert, delete, update_preimage, update_postimage.
-
-    Keys must be unique in each snapshot. Unchanged rows are dropped right after the join.
-    """
-    keys, columns = list(keys), before.columns
-    a = before.select(F.struct(*columns).alias("b"), *[F.col(k).alias(f"__k_{k}") for k in keys])
-    z = after.select(F.struct(*columns).alias("a"), *[F.col(k).alias(f"__k_{k}") for k in keys])
-    pairs = a.join(z, [f"__k_{k}" for k in keys], "full_outer").where(~F.col("b").eqNullSafe(F.col("a")))
+def _images() -> Column:
+    """The change rows of a pair of images, ``b`` before and ``a`` after."""
 
     def image(kind: str, row: str) -> Column:
         return F.struct(F.lit(kind).alias("_change_type"), F.col(row).alias("row"))
 
-    images = (
+    return (
         F.when(F.col("b").isNull(), F.array(image("insert", "a")))
         .when(F.col("a").isNull(), F.array(image("delete", "b")))
         .otherwise(F.array(image("update_preimage", "b"), image("update_postimage", "a")))
     )
-    feed = pairs.select(F.explode(images).alias("c")).select("c._change_type", "c.row.*")
+
+
+def change_feed(before: DataFrame, after: DataFrame, keys: Sequence[str], version: int | None = None) -> DataFrame:
+    """Row changes between two snapshots: insert, delete, update_preimage, update_postimage.
+
+    Keys must be unique in each snapshot; NULL is a key like any other. Both sides are read in
+    their common schema, so a new column or a wider type of ``after`` is part of the feed.
+    Unchanged rows are dropped right after the join.
+    """
+    keys, schema = list(keys), common_schema(before.schema, after.schema)
+    columns = schema.names
+    a = fit_to(before, schema).select(F.struct(*columns).alias("b"), *[F.col(k).alias(f"__b_{k}") for k in keys])
+    z = fit_to(after, schema).select(F.struct(*columns).alias("a"), *[F.col(k).alias(f"__a_{k}") for k in keys])
+    same = reduce(lambda x, y: x & y, [F.col(f"__b_{k}").eqNullSafe(F.col(f"__a_{k}")) for k in keys])
+    pairs = a.join(z, same, "full_outer").where(~F.col("b").eqNullSafe(F.col("a")))
+
+    feed = pairs.select(F.explode(_images()).alias("c")).select("c._change_type", "c.row.*")
     return feed if version is None else feed.withColumn("_commit_version", F.lit(version))
 
 
+def net_feed(feed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The changes of several commits composed: at most one change of a key, from its row before the
+    first commit to its row after the last. ``feed`` has ``_commit_version`` and ``_commit_timestamp``;
+    the result has those of the key's last commit. What was undone on the way is no change."""
+    keys = list(keys)
+    meta = ["_change_type", "_commit_version", "_commit_timestamp"]
+    columns = [c for c in feed.columns if c not in meta]
+    new = F.col("_change_type").isin("insert", "update_postimage")
+    event = F.struct(new.alias("new"), F.struct(*columns).alias("row"), "_commit_version", "_commit_timestamp")
+    place = F.struct("_commit_version", new.alias("new"))  # the old image of a commit before its new one
+    ends = feed.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.min_by(event, place).alias("first"), F.max_by(event, place).alias("last"))
+    before = F.when(~F.col("first.new"), F.col("first.row"))
+    after = F.when(F.col("last.new"), F.col("last.row"))
+    moved = ends.select(before.alias("b"), after.alias("a"), "last._commit_version", "last._commit_timestamp").where(~F.col("b").eqNullSafe(F.col("a")))
+
+    return moved.select(F.explode(_images()).alias("c"), "_commit_version", "_commit_timestamp").select("c._change_type", "c.row.*", "_commit_version", "_commit_timestamp")
+
+
 def net_change(feed: DataFrame, keys: Sequence[str], measure: Column, name: str = "delta") -> DataFrame:
     """Signed sum per group: new images count plus, old images minus."""
     sign = F.when(F.col("_change_type").isin("insert", "update_postimage"), F.lit(1)).otherwise(F.lit(-1))

@@ -4,6 +4,7 @@ from laketide.plans import (  # noqa: F401
     q_basics,
     q_changes,
     q_features,
+    q_growth,
     q_monitoring,
     q_privacy,
     q_products,

@@ -63,7 +63,7 @@ class Medallion:
         if self.silver.latest_version() is None:
             state = changes.one_row_per_key(fresh, self.keys, self.newest_by)
         else:
-            state = changes.merge(self.silver.read(), fresh, self.keys, dedup_by=self.newest_by)
+            state = changes.merge(self.silver.read(), fresh, self.keys, dedup_by=self.newest_by, evolve=True)
         self.silver.commit(state, "MERGE", at)
         self.gold.commit(self.publish(self.silver.read()), "PUBLISH", at)
         self._record(run_id, "SUCCESS", counts, None, at)

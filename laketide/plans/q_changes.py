@@ -57,7 +57,7 @@ HIT = "s.o_orderkey IS NOT NULL"
 
 @query("merge_upsert_all", merge_sql(HIT))
 def merge_upsert_all(spark, sf):
-    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"])
+    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"], ignore=["op"])
 
 
 @query("merge_partial", merge_sql(HIT, {"o_totalprice": "NULL", "o_orderdate": "NULL"}))
@@ -71,12 +71,12 @@ def merge_partial(spark, sf):
 @query("merge_if_newer", merge_sql(f"({HIT} AND s.o_orderdate > t.o_orderdate)"))
 def merge_if_newer(spark, sf):
     newer = "s.o_orderdate > t.o_orderdate"
-    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"], when_matched=newer)
+    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"], when_matched=newer, ignore=["op"])
 
 
 @query("merge_cdc_ops", merge_sql(HIT, where="s.op IS NULL OR s.op <> 'DELETE'"))
 def merge_cdc_ops(spark, sf):
-    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"], delete_when="s.op = 'DELETE'")
+    return changes.merge(target_rows(spark, sf), source_rows(spark, sf), ["o_orderkey"], delete_when="s.op = 'DELETE'", ignore=["op"])
 
 
 @query(

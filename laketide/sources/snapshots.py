@@ -1,24 +1,29 @@
 """Versioned tables as plain folders: ``version=N`` Parquet plus one history row per commit.
 
 A version counts only once its history row is written, so a commit that died half-way is
-invisible and its folder is overwritten by the next one. One writer at a time.
+invisible and its folder is overwritten by the next one. One writer at a time. A table with keys
+also stores the row changes of every commit, so a feed over a range of versions reads changes only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from laketide.operators import changes
+from laketide.sources.evolution import GrowingTable
 from laketide.sources.writers import exists
 
 HISTORY_SCHEMA = "version int, committed_at timestamp_ntz, operation string, rows_written bigint"
 
 
 class SnapshotTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ()):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+        self.feed = GrowingTable(spark, f"{self.path}/changes", ["_commit_version"])
 
     def _history_path(self) -> str:
         return f"{self.path}/history"
@@ -38,6 +43,11 @@ class SnapshotTable:
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
         counted.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        if self.keys:
+            after = self.spark.read.parquet(f"{self.path}/version={version}")
+            before = after.where("false") if last is None else self.read(last)
+            moved = changes.change_feed(before, after, self.keys, version)
+            self.feed.append(moved.withColumn("_commit_timestamp", F.lit(at).cast("timestamp_ntz")), overwrite_partitions=True)
         row = [(version, at, operation, seen.get["rows"])]
         self.spark.createDataFrame(row, HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(self._history_path())
         return version
@@ -59,3 +69,21 @@ class SnapshotTable:
     def restore(self, version: int, at: datetime) -> int:
         """Make an old version the newest one; history stays complete."""
         return self.commit(self.read(version), f"RESTORE {version}", at)
+
+    def changes_between(self, first: int, last: int | None = None, net: bool = False) -> DataFrame:
+        """Row changes of the commits ``first`` to ``last``, both included, with ``_commit_version`` and
+        ``_commit_timestamp``; ``net`` composes them to one change of a key. Rows have the common
+        schema of the versions in which changes were stored."""
+        newest = self.latest_version()
+        last = newest if last is None else last
+        if not self.keys or newest is None or not 0 <= first <= last <= newest:
+            raise ValueError(f"no changes {first} to {last} of {self.path}")
+        rows = self.feed.read().where(F.col("_commit_version").between(first, last))
+        return changes.net_feed(rows, self.keys) if net else rows
+
+    def changes_since(self, at: datetime, net: bool = False) -> DataFrame:
+        """Row changes of all commits after a time."""
+        later = self.history().where(F.col("committed_at") > F.lit(at).cast("timestamp_ntz")).agg(F.min("version")).first()[0]
+        if later is None:
+            return self.feed.read().where("false")
+        return self.changes_between(later, net=net)
