@@ -21,6 +21,7 @@ task.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,8 +85,8 @@ class Words:
         number = {k: i for i, k in enumerate(self.kinds)}
         self.lang = np.repeat(np.array([number[k] for k in langs], dtype=np.int64), per_text)
         self.own = self._hashes(_U(0x243F6A8885A308D3))
-        seed = np.array([int.from_bytes(hashlib.sha256(k).digest()[:8], "little") for k in self.kinds], dtype=_U)
-        self.first = _step(self.own, seed[self.lang])
+        self.seed = np.array([int.from_bytes(hashlib.sha256(k).digest()[:8], "little") for k in self.kinds], dtype=_U)
+        self.first = _step(self.own, self.seed[self.lang])
 
     def _hashes(self, seed: np.uint64) -> np.ndarray:
         """Words by eight bytes at a time; only the longer ones have further steps."""
@@ -257,48 +258,81 @@ def frequent(docs: DataFrame, support: int, share: int, bits: int) -> Proposals:
         known, done = grown, known
 
 
+class Gathered:
+    """Phrases of a task with their counts. The numbers lie in sorted arrays, the text of a phrase is
+    cut out once; two hashes from different seeds tell phrases apart."""
+
+    def __init__(self):
+        self.hash, self.other, self.count = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64)
+        self.text = np.zeros(0, dtype=object)
+        self.new: list[tuple] = []
+        self.waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.hash) + self.waiting
+
+    def add(self, hashes: np.ndarray, other: np.ndarray, text_of) -> None:
+        """Occurrences; ``text_of`` gives the key of one by its number."""
+        order = np.lexsort((other, hashes))
+        h, o = hashes[order], other[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))))
+        count = np.diff(np.append(first, len(h)))
+        h, o, some = h[first], o[first], order[first]
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        known = (self.hash[at] == h) & (self.other[at] == o) if len(self.hash) else np.zeros(len(h), dtype=bool)
+        self.count[at[known]] += count[known]
+        text = np.empty(int((~known).sum()), dtype=object)
+        text[:] = [text_of(i) for i in some[~known].tolist()]
+        self.new.append((h[~known], o[~known], count[~known], text))
+        self.waiting += len(text)
+        if self.waiting > max(1 << 16, len(self.hash) // 4):
+            self._settle()
+
+    def _settle(self) -> None:
+        h, o, count, text = (np.concatenate(x) for x in zip((self.hash, self.other, self.count, self.text), *self.new, strict=True))
+        order = np.lexsort((o, h))
+        h, o, count = h[order], o[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))) if len(h) else np.zeros(0, np.int64)
+        self.hash, self.other, self.text = h[first], o[first], text[order[first]]
+        self.count = np.add.reduceat(count, first) if len(first) else count
+        self.new, self.waiting = [], 0
+
+    def rows(self) -> pa.RecordBatch:
+        self._settle()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([t[0] for t in self.text], pa.binary()).cast(pa.string()), pa.array([t[1] for t in self.text], pa.binary()).cast(pa.string()), pa.array(self.count, pa.int64())],
+            names=["lang", "phrase", "n"],
+        )
+
+
 def _texts(docs: DataFrame, found: Broadcast, longest: int) -> DataFrame:
     """``lang``, ``phrase``, ``n`` of the phrases in ``found``, exactly; the null phrase has all words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has, held = found.value.has, {}
-
-        def out():
-            keys = list(held)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())],
-                names=["lang", "phrase", "n"],
-            )
-
+        has, held, totals = found.value.has, Gathered(), Counter()
         for words in _blocks_of(batches):
             other = words._hashes(_U(0x13198A2E03707344))
-            for kind, n in enumerate(np.bincount(words.lang, minlength=len(words.kinds)).tolist()):
-                if n:
-                    key = (words.kinds[kind], None)
-                    held[key] = held.get(key, 0) + n
+            totals.update(dict(zip(words.kinds, np.bincount(words.lang, minlength=len(words.kinds)).tolist(), strict=True)))
             for n, (at, hashes) in enumerate(words.opened(found.value, longest), 1):
                 inside = has(hashes)
                 at, hashes = at[inside], hashes[inside]
                 if not len(at):
                     continue
-                _, first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                # another hash tells phrases apart that share the first
-                alone = words.lang[at].astype(_U)
+                alone = words.seed[words.lang[at]]
                 for j in range(n):
                     alone = _step(alone, other[at + j])
-                same = alone == alone[first][inverse]
-                if not same.all():
-                    clash = np.unique(inverse[~same])
-                    single = np.flatnonzero(np.isin(inverse, clash))
-                    first, counts = np.concatenate((np.delete(first, clash), single)), np.concatenate((np.delete(counts, clash), np.ones(len(single), dtype=counts.dtype)))
-                for i, c in zip(at[first].tolist(), counts.tolist(), strict=True):
-                    text = words.raw[words.start[i] : words.end[i + n - 1]]
-                    key = (words.kinds[words.lang[i]], text if n == 1 else b" ".join(text.split()))
-                    held[key] = held.get(key, 0) + c
-            if len(held) > COMBINED // 4:
-                yield from out()
-                held.clear()
-        yield from out()
+
+                def text_of(i: int, at=at, n=n, words=words) -> tuple[bytes, bytes]:
+                    text = words.raw[words.start[at[i]] : words.end[at[i] + n - 1]]
+                    return words.kinds[words.lang[at[i]]], text if n == 1 else b" ".join(text.split())
+
+                held.add(hashes, alone, text_of)
+            if len(held) > 2 * COMBINED:
+                yield held.rows()
+                held = Gathered()
+        yield held.rows()
+        some = [(k, n) for k, n in totals.items() if n]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.binary()).cast(pa.string()), pa.nulls(len(some), pa.string()), pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "n"])
 
     return docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
