@@ -80,22 +80,22 @@ def merge(
       target row and keeps an unmatched source row out.
     * ``evolve``: columns that only the source has are added, and types are widened to the common
       type of both sides, at any depth; a struct is taken whole. Without it such columns are
-      refused, unless ``ignore`` names them or a condition uses them (``s.op``).
+      refused, unless ``ignore`` names them or a condition (``s.op``) or ``dedup_by`` uses them.
     """
     keys = list(keys)
     known = {c.lower() for c in target.columns}
     used = f"{when_matched or ''} {delete_when or ''}"
-    ignore = [*ignore, *[c for c in source.columns if c.lower() not in known and re.search(rf"\bs\.`?{re.escape(c)}\b", used)]]
-    unknown = [c for c in source.columns if c.lower() not in known and c not in ignore]
+    ignore = [*ignore, *(dedup_by or []), *[c for c in source.columns if c.lower() not in known and re.search(rf"\bs\.`?{re.escape(c)}\b", used)]]
+    unknown = [c for c in source.columns if c.lower() not in known and c not in ignore]  # refused below
     if evolve:
-        grown = common_schema(target.schema, source.drop(*ignore).schema)
+        grown = common_schema(target.schema, source.drop(*[c for c in ignore if c.lower() not in known]).schema)
         target = fit_to(target, grown)
         named = {c.lower() for c in source.columns}
-        aside = [f for f in source.schema.fields if f.name in ignore and f.name.lower() not in {g.name.lower() for g in grown.fields}]
+        aside = [f for f in source.schema.fields if f.name in set(ignore) - set(keys) and f.name.lower() not in {g.name.lower() for g in grown.fields}]
         source = fit_to(source, T.StructType([*[f for f in grown.fields if f.name.lower() in named], *aside]))
-    elif unknown:
-        raise UnknownColumns(f"the target lacks {unknown}; pass evolve=True to add them or name them in ignore")
     source = one_row_per_key(source, keys, dedup_by)
+    if unknown and not evolve:
+        raise UnknownColumns(f"the target lacks {unknown}; pass evolve=True to add them or name them in ignore")
     shared = [c for c in target.columns if c in source.columns]
     update = [c for c in shared if c not in keys] if update is None else list(update)
     insert = shared if insert is None else list(insert)
