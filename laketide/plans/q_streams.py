@@ -14,7 +14,7 @@ from laketide.session import fresh_dir
 from laketide.sources.evolution import read_merged
 from laketide.sources.writers import stored
 from laketide.streaming import runners, windows
-from laketide.streaming.batches import DeltaSink, GroupSink, UpsertSink
+from laketide.streaming.batches import DeltaSink, GroupSink, GroupTotals, UpsertSink
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 SLICES = 3
@@ -212,10 +212,10 @@ REQUEST_SQL = """q AS (SELECT event_id % 4000 AS request_id, ts AS seen_at, even
 OUTCOMES = ["click", "error", "purchase", "signup", "view"]
 
 
-def request_sink(spark, root, publish=None):
+def request_sink(spark, root, publish=None, gold=None, buckets=0):
     schema = spark.createDataFrame([], REQUEST_SCHEMA).schema
     rules = [dq.Rule("key", F.col("request_id").isNull()), dq.Rule("outcome", ~F.col("outcome").isin(*OUTCOMES))]
-    return UpsertSink(spark, f"{root}/silver", schema, ["request_id"], ["seen_at", "event_id"], rules, publish)
+    return UpsertSink(spark, f"{root}/silver", schema, ["request_id"], ["seen_at", "event_id"], rules, publish, gold=gold, buckets=buckets)
 
 
 def start_requests(spark, root, sink, checkpoint="checkpoint"):
@@ -228,18 +228,48 @@ def start_requests(spark, root, sink, checkpoint="checkpoint"):
     f"""WITH {REQUEST_SQL} SELECT outcome, COUNT(*) AS requests, {sql_mean('minutes')} AS avg_minutes, (SELECT COUNT(*) FROM q WHERE outcome = '???') AS quarantined FROM cur GROUP BY 1""",
 )
 def stream_dq_upsert(spark, sf):
-    """Split, quarantine, dedup, upsert, publish, log; the last published aggregate."""
+    """Split, quarantine, dedup, upsert, gold by retraction, log."""
     root = fresh_dir(spark, "upsert")
-
-    def publish(state, batch_id):
-        minutes = F.sum(money("minutes")).cast("double") / F.count("minutes")
-        gold = state.groupBy("outcome").agg(F.count("*").alias("requests"), minutes.alias("avg_minutes"))
-        gold.write.mode("overwrite").parquet(f"{root}/gold/batch={batch_id}")
-
-    sink = request_sink(spark, root, publish)
+    gold = request_gold(spark, root, {"outcome": F.col("outcome")})
+    sink = request_sink(spark, root, gold=gold, buckets=8)
     feed_slices(requests(spark, sf), root, "event_id", lambda: start_requests(spark, root, sink))
     bad = sink.log.read().agg(F.sum("rows_quarantined")).first()[0]
-    return spark.read.parquet(f"{root}/gold/batch={sink.log.last()}").withColumn("quarantined", F.lit(bad).cast("bigint"))
+    mean = F.col("minutes").cast("double") / F.col("minutes_n")
+    return gold.current(sink.log.last()).select("outcome", F.col("rows").alias("requests"), mean.alias("avg_minutes"), F.lit(bad).cast("bigint").alias("quarantined"))
+
+
+def request_gold(spark, root, groups, extremes=None):
+    schema = spark.createDataFrame([], REQUEST_SCHEMA).schema
+    return GroupTotals(spark, f"{root}/gold", schema, groups, {"minutes": money("minutes")}, extremes, buckets=8)
+
+
+@query(
+    "stream_gold_retraction",
+    f"""WITH {REQUEST_SQL} SELECT outcome, request_id % 97 AS office, COUNT(*) AS requests, {sql_total('minutes')} AS minutes, MIN(minutes) AS shortest, MAX(minutes) AS longest,
+    MIN(seen_at) AS first_seen, MAX(seen_at) AS last_seen FROM cur GROUP BY 1, 2""",
+)
+def stream_gold_retraction(spark, sf):
+    """Totals and extremes of many groups while rows move between them; compacted on the way."""
+    root = fresh_dir(spark, "retraction")
+    extremes = {"span": F.col("minutes"), "seen": F.col("seen_at")}
+    gold = request_gold(spark, root, {"outcome": F.col("outcome"), "office": F.col("request_id") % 97}, extremes)
+    sink = request_sink(spark, root, gold=gold, buckets=8)
+    stage(requests(spark, sf), f"{root}/landing", "event_id", only=range(2))
+    runners.await_all([start_requests(spark, root, sink)])
+    sink.compact()
+    gold.compact(sink.log.last())
+    stage(requests(spark, sf), f"{root}/landing", "event_id", only=range(2, SLICES))
+    runners.await_all([start_requests(spark, root, sink)])
+    return gold.current(sink.log.last()).select(
+        "outcome",
+        "office",
+        F.col("rows").alias("requests"),
+        F.col("minutes").cast("double").alias("minutes"),
+        F.col("span_min").alias("shortest"),
+        F.col("span_max").alias("longest"),
+        F.col("seen_min").alias("first_seen"),
+        F.col("seen_max").alias("last_seen"),
+    )
 
 
 @query("stream_upsert_state", f"WITH {REQUEST_SQL} SELECT * FROM cur")
