@@ -15,6 +15,8 @@ from laketide.llm import bpe, bwt_dedup, decontaminate, near_dedup, quality_llr
 from laketide.llm.common import stored, table
 
 SHINGLE = 5
+#: Bytes of a repeated string. Passages of 50 words are often shorter than the 400 bytes of op10's contract.
+REPEATED = 200
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 bytes that start elsewhere too go, as does a character cut in two."""
-    cut = bwt_dedup.removed(docs, into="__repeats")
+    """Bytes in strings of ``REPEATED`` bytes that start elsewhere too go, as does a character cut in two."""
+    cut = bwt_dedup.removed(docs, length=REPEATED, into="__repeats")
     changed = F.col("__repeats.n_removed") > 0
     text = F.when(changed, F.col("__repeats.kept_text")).otherwise(F.col("text"))
     out = cut.withColumn("text", text)
