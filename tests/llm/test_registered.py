@@ -51,7 +51,7 @@ def test_pipeline(spark):
     assert len(passed - {i for i, _ in rows}) <= 0.05 * len(passed)  # clean documents stay
     roots = near(rows)
     rows = [r for r in rows if roots[r[0]] == r[0]]
-    removed = cut(rows, lambda t: t.encode(), 400, bytes)
+    removed = cut(rows, lambda t: t.encode(), corpus_pipeline.REPEATED, bytes)
     second = stages["repeated_substrings"](spark, stages["near_duplicates"](spark, left, SF_DIR), SF_DIR)
     got = {r["doc_id"]: r["text"] for r in second.collect()}
     assert second.columns == docs.columns and set(got) == {i for i, _ in rows}
