@@ -21,6 +21,7 @@ task.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import text_bytes
-from laketide.llm.common import ship_code, stored
+from laketide.llm.common import block_count, ship_code, stored
 
 LONGEST = 4
 SUPPORT = 30
@@ -45,6 +46,8 @@ BITS = 1 << 26
 COMBINED = 1 << 19
 BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 512
+#: Bytes of text for each shard of the counts by text.
+SHARD_BYTES = 32 << 20
 
 #: 0 in a word, 1 between words, 2 between pieces.
 _KINDS = bytes(2 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 1 if chr(b) in " \t" else 0 for b in range(256))
@@ -297,16 +300,49 @@ class Gathered:
         self.count = np.add.reduceat(count, first) if len(first) else count
         self.new, self.waiting = [], 0
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self) -> list[tuple[bytes, int]]:
         self._settle()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([t[0] for t in self.text], pa.binary()).cast(pa.string()), pa.array([t[1] for t in self.text], pa.binary()).cast(pa.string()), pa.array(self.count, pa.int64())],
-            names=["lang", "phrase", "n"],
-        )
+        return list(zip(self.text.tolist(), self.count.tolist(), strict=True))
+
+
+#: Bytes that no UTF-8 text holds: between language and phrase, and between entries of a packed list.
+_AFTER_LANG, _AFTER_ENTRY = b"\xff", b"\xfe"
+
+
+def _packed(entries: list[tuple[bytes, int]], shards: int) -> pa.RecordBatch:
+    """Phrases with counts, dealt to shards by their text, one compressed list for each."""
+    dealt: dict[int, tuple[list[bytes], list[int]]] = {}
+    for text, n in entries:
+        texts, counts = dealt.setdefault(zlib.crc32(text) % shards, ([], []))
+        texts.append(text)
+        counts.append(n)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(dealt), pa.int32()),
+            pa.array([zlib.compress(_AFTER_ENTRY.join(texts), 1) for texts, _ in dealt.values()], pa.binary()),
+            pa.array([zlib.compress(np.array(counts, dtype=np.int64).tobytes(), 1) for _, counts in dealt.values()], pa.binary()),
+        ],
+        names=["shard", "texts", "counts"],
+    )
+
+
+def _summed(lists: pa.Table) -> pa.Table:
+    """The phrases of one shard, each with its sum."""
+    total: Counter[bytes] = Counter()
+    for texts, counts in zip(lists.column("texts"), lists.column("counts"), strict=True):
+        numbers = np.frombuffer(zlib.decompress(counts.as_py()), np.int64).tolist()
+        for text, n in zip(zlib.decompress(texts.as_py()).split(_AFTER_ENTRY), numbers, strict=True):
+            total[text] += n
+    parts = [t.partition(_AFTER_LANG) for t in total]
+    phrase = [p if mark else None for _, mark, p in parts]
+    return pa.table([pa.array([lang for lang, _, _ in parts], pa.binary()).cast(pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "n"])
+
 
+def _texts(docs: DataFrame, found: Broadcast, longest: int, shards: int) -> DataFrame:
+    """``lang``, ``phrase``, ``n`` of the phrases in ``found``, exactly; the null phrase has all words.
 
-def _texts(docs: DataFrame, found: Broadcast, longest: int) -> DataFrame:
-    """``lang``, ``phrase``, ``n`` of the phrases in ``found``, exactly; the null phrase has all words."""
+    Nearly every task meets nearly every frequent phrase, so tasks send packed lists to shards
+    instead of a row for each phrase."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has, held, totals = found.value.has, Gathered(), Counter()
@@ -322,19 +358,18 @@ def _texts(docs: DataFrame, found: Broadcast, longest: int) -> DataFrame:
                 for j in range(n):
                     alone = _step(alone, other[at + j])
 
-                def text_of(i: int, at=at, n=n, words=words) -> tuple[bytes, bytes]:
+                def text_of(i: int, at=at, n=n, words=words) -> bytes:
                     text = words.raw[words.start[at[i]] : words.end[at[i] + n - 1]]
-                    return words.kinds[words.lang[at[i]]], text if n == 1 else b" ".join(text.split())
+                    return words.kinds[words.lang[at[i]]] + _AFTER_LANG + (text if n == 1 else b" ".join(text.split()))
 
                 held.add(hashes, alone, text_of)
             if len(held) > 2 * COMBINED:
-                yield held.rows()
+                yield _packed(held.rows(), shards)
                 held = Gathered()
-        yield held.rows()
-        some = [(k, n) for k, n in totals.items() if n]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.binary()).cast(pa.string()), pa.nulls(len(some), pa.string()), pa.array([n for _, n in some], pa.int64())], names=["lang", "phrase", "n"])
+        yield _packed([*held.rows(), *[(k, n) for k, n in totals.items() if n]], shards)
 
-    return docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    lists = docs.select("lang", "text").mapInArrow(work, "shard int, texts binary, counts binary")
+    return lists.groupBy("shard").applyInArrow(_summed, "lang string, phrase string, n long")
 
 
 def counted(docs: DataFrame, support: int = SUPPORT, share: int = SAMPLE_SHARE, bits: int = BITS) -> DataFrame:
@@ -343,7 +378,8 @@ def counted(docs: DataFrame, support: int = SUPPORT, share: int = SAMPLE_SHARE,
     ship_code(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     found = docs.sparkSession.sparkContext.broadcast(frequent(docs, support, share, bits))
-    return stored(_texts(docs, found, LONGEST).where((F.col("n") >= support) | F.col("phrase").isNull()), "phrases")
+    shards = block_count(docs, F.octet_length("text"), SHARD_BYTES)
+    return stored(_texts(docs, found, LONGEST, shards).where((F.col("n") >= support) | F.col("phrase").isNull()), "phrases")
 
 
 def _part(first: Column, last: Column) -> Column:
