@@ -5,9 +5,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from datetime import datetime
 from functools import partial
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laketide.operators.windows import HOT_ROWS, prefix_sums, range_chunks
@@ -117,11 +119,92 @@ def ks(
     )
 
 
+def value_counts(df: DataFrame, side: Column, features: Sequence[str]) -> DataFrame:
+    """``feature``, ``v``, ``cur``, ``ref``: how often each value stands on both sides, for all features in
+    one scan of ``df``. Counted before the shuffle and stored; all drift measures read this table."""
+    values = F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features]))
+    tagged = df.select(side.cast("int").alias("c"), values).where("v is not null")
+    return stored(tagged.groupBy("feature", "v").agg(F.sum("c").alias("cur"), F.sum(1 - F.col("c")).alias("ref")), "value_counts")
+
+
+def histograms_of(counts: DataFrame, bins: int = BINS) -> DataFrame:
+    """``histograms`` from stored value counts."""
+    ends = counts.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))  # one row per feature
+    placed = counts.join(F.broadcast(ends), "feature").select("feature", equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), "cur", "ref")
+    return placed.groupBy("feature", "bin").agg(F.sum("cur").alias("cur"), F.sum("ref").alias("ref"))
+
+
+def running_counts(counts: DataFrame, chunk_rows: int = 1_000_000) -> DataFrame:
+    """``counts`` with ``cum_cur`` and ``cum_ref``, summed along the values of each feature.
+
+    In two levels: each feature is cut into value ranges of about ``chunk_rows`` distinct values at
+    approximate quantiles of its own, ranges are summed alone, and one row per range is put in
+    order per feature. The ranges change the balance, never a result."""
+    sizes = {r["feature"]: r["n"] for r in counts.groupBy("feature").agg(F.count("*").alias("n")).collect()}  # one row per feature
+    pieces = max([1, *[-(-n // chunk_rows) for n in sizes.values()]])
+    if pieces == 1:
+        chunk = F.lit(0)
+        placed = counts.withColumn("chunk", chunk)
+    else:
+        at = [i / pieces for i in range(1, pieces)]
+        bounds = counts.groupBy("feature").agg(F.percentile_approx("v", F.lit(at), F.lit(10 * pieces)).alias("bounds"))
+        # the bounds that lie below a value, by the largest: an array of a feature is sorted
+        below = F.size(F.filter("bounds", lambda b: b <= F.col("v")))
+        placed = counts.join(F.broadcast(bounds), "feature").withColumn("chunk", below).drop("bounds")
+    inside = Window.partitionBy("feature", "chunk").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("feature").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = placed.groupBy("feature", "chunk").agg(F.sum("cur").alias("c"), F.sum("ref").alias("r"))
+    carry = carry.select("feature", "chunk", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"before_{x}") for x in ("c", "r")])
+    local = placed.withColumns({"in_cur": F.sum("cur").over(inside), "in_ref": F.sum("ref").over(inside)})
+    joined = local.join(carry, ["feature", "chunk"])
+    return joined.select(*counts.columns, (F.col("in_cur") + F.col("before_c")).alias("cum_cur"), (F.col("in_ref") + F.col("before_r")).alias("cum_ref"))
+
+
+def ks_of(counts: DataFrame, decimals: int = 6, chunk_rows: int = 1_000_000) -> DataFrame:
+    """The Kolmogorov-Smirnov statistic and its asymptotic p-value of all features, from stored value
+    counts. A feature without rows on one side has none (NULL)."""
+    sizes = counts.groupBy("feature").agg(F.sum("cur").alias("m"), F.sum("ref").alias("n"))
+    gap = F.abs(F.try_divide(F.col("cum_cur").cast("double"), F.col("m")) - F.try_divide(F.col("cum_ref").cast("double"), F.col("n")))
+    raw = running_counts(counts, chunk_rows).join(F.broadcast(sizes), "feature").groupBy("feature", "m", "n").agg(F.max(gap).alias("raw"))
+    m, n = F.col("m").cast("double"), F.col("n").cast("double")
+    root = F.sqrt(m * n / (m + n))
+    scaled = F.when((F.col("m") > 0) & (F.col("n") > 0), F.col("raw") * (root + 0.12 + F.lit(0.11) / F.when(root > 0, root)))
+    shown = raw.select("feature", "raw", scaled.alias("s"))
+
+    def term(k: Column) -> Column:
+        sign = F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+        return sign * F.exp(-2.0 * k * k * F.col("s") * F.col("s"))
+
+    series = 2.0 * F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda total, k: total + term(k))
+    p = F.when(F.col("s") < 0.2, F.lit(1.0)).when(F.col("s").isNotNull(), F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+    return shown.select("feature", F.round("raw", decimals).alias("ks_statistic"), F.round(p, decimals).alias("ks_pvalue"))
+
+
 def drift_report(df: DataFrame, side: Column, features: Sequence[str], psi_limit: float = 0.2, p_limit: float = 0.05) -> DataFrame:
-    """PSI, KS and the drift flag per feature."""
-    ks_rows = None
-    for f in features:
-        one = ks(df, side, f)
-        ks_rows = one if ks_rows is None else ks_rows.union(one)
-    report = psi(histograms(df, side, features)).join(ks_rows, "feature")
-    return report.withColumn("drift_detected", (F.col("psi") > psi_limit) | (F.col("ks_pvalue") < p_limit))
+    """PSI, KS and the drift flag per feature, from one scan of ``df``."""
+    counts = value_counts(df, side, features)
+    report = psi(histograms_of(counts)).join(ks_of(counts), "feature")
+    return report.withColumn("drift_detected", F.coalesce((F.col("psi") > psi_limit) | (F.col("ks_pvalue") < p_limit), F.lit(False)))
+
+
+class DriftHistory:
+    """Drift reports of all runs, one folder a run: a run that is repeated replaces its own rows."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def record(self, report: DataFrame, run_id: str, model_version: str, checked_at: datetime) -> None:
+        marked = report.withColumns({"run_id": F.lit(run_id), "model_version": F.lit(model_version), "checked_at": F.lit(checked_at).cast("timestamp_ntz")})
+        marked.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/run={quote(run_id, safe='')}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("mergeSchema", True).parquet(self.path).drop("run")
+
+    def since_drift(self) -> DataFrame:
+        """Per feature the newest run, whether it drifts, and how many runs in a row up to it did."""
+        runs = self.read()
+        newest = runs.groupBy("feature").agg(
+            F.max("checked_at").alias("checked_at"), F.max_by("drift_detected", "checked_at").alias("drift_detected"), F.max(F.when(~F.col("drift_detected"), F.col("checked_at"))).alias("__calm")
+        )
+        later = runs.join(newest.select("feature", "__calm"), "feature").where(F.col("drift_detected") & (F.col("__calm").isNull() | (F.col("checked_at") > F.col("__calm"))))
+        return newest.drop("__calm").join(later.groupBy("feature").agg(F.count("*").alias("runs_in_drift")), "feature", "left").fillna(0, ["runs_in_drift"])

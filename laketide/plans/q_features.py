@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from laketide.operators.windows import top_n_ranked, with_group_stats
 from laketide.plans.fixtures import SQL_D, as_of, declarations
 from laketide.sources.writers import stored
 from laketide.plans.registry import query, sql_mean, sql_total, table
+from laketide.session import fresh_dir
 
 # ---- building --------------------------------------------------------------------------------
 
@@ -302,10 +305,10 @@ def review_queue_top(spark, sf):
 DRIFT_FEATURES = ["o_totalprice", "o_custkey"]
 
 
-def drifted(spark, sf):
+def drifted(spark, sf, since="1999-01-01", raised=1.25):
     """Reference: early orders; current: late orders, with prices raised by a quarter."""
-    late = F.col("o_orderdate") >= F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
-    price = F.when(late, F.col("o_totalprice") * 1.25).otherwise(F.col("o_totalprice"))
+    late = F.col("o_orderdate") >= F.lit(f"{since} 00:00:00").cast("timestamp_ntz")
+    price = F.when(late, F.col("o_totalprice") * raised).otherwise(F.col("o_totalprice"))
     return table(spark, sf, "orders").select(price.alias("o_totalprice"), "o_custkey", late.alias("is_late"))
 
 
@@ -335,8 +338,7 @@ def psi_drift(spark, sf):
 
 @query("ks_drift", f"WITH {DRIFT_BASE}, {KS_SQL} SELECT * FROM ks")
 def ks_drift(spark, sf):
-    df = drifted(spark, sf)
-    return drift.ks(df, F.col("is_late"), "o_totalprice").union(drift.ks(df, F.col("is_late"), "o_custkey"))
+    return drift.ks_of(drift.value_counts(drifted(spark, sf), F.col("is_late"), DRIFT_FEATURES))
 
 
 @query(
@@ -345,3 +347,23 @@ def ks_drift(spark, sf):
 )
 def drift_report(spark, sf):
     return drift.drift_report(drifted(spark, sf), F.col("is_late"), DRIFT_FEATURES)
+
+
+EARLIER_BASE = DRIFT_BASE.replace("1999-01-01", "1997-01-01").replace("* 1.25::DOUBLE", "* 1.0::DOUBLE")
+REPORT_SQL = "SELECT feature, psi, severity, ks_statistic, ks_pvalue, psi > 0.2 OR ks_pvalue < 0.05 AS drift_detected FROM psis JOIN ks USING (feature)"
+
+
+@query(
+    "drift_history",
+    f"""SELECT *, 'run-1' AS run_id, 'v1' AS model_version, TIMESTAMP '2024-03-01 00:00:00' AS checked_at FROM (WITH {EARLIER_BASE}, {PSI_SQL}, {KS_SQL} {REPORT_SQL})
+    UNION ALL SELECT *, 'run-2', 'v2', TIMESTAMP '2024-03-02 00:00:00' FROM (WITH {DRIFT_BASE}, {PSI_SQL}, {KS_SQL} {REPORT_SQL})""",
+)
+def drift_history(spark, sf):
+    """Two checks of a model service, the second one recorded twice."""
+    history = drift.DriftHistory(spark, fresh_dir(spark, "drift_history"))
+    first = drift.drift_report(drifted(spark, sf, "1997-01-01", 1.0), F.col("is_late"), DRIFT_FEATURES)
+    history.record(first, "run-1", "v1", datetime(2024, 3, 1))
+    for _ in range(2):
+        second = drift.drift_report(drifted(spark, sf), F.col("is_late"), DRIFT_FEATURES)
+        history.record(second, "run-2", "v2", datetime(2024, 3, 2))
+    return history.read()

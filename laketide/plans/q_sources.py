@@ -11,7 +11,7 @@ from laketide.plans.fixtures import as_of
 from laketide.plans.q_relational import GOLD_SQL, gold
 from laketide.plans.registry import query, sql_mean, sql_total, table
 from laketide.session import fresh_dir
-from laketide.sources import writers
+from laketide.sources import layout, writers
 from laketide.sources.evolution import add_columns, append_evolving, read_merged, rescue_columns
 from laketide.sources.readers import load_if_missing, load_sources, read_csv, read_json_lines, with_audit
 
@@ -273,6 +273,36 @@ def cluster_layout(spark, sf):
     return wanted.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query(
+    "zorder_layout",
+    """SELECT c.column_name AS column_name, CASE c.column_name WHEN 'l_partkey' THEN (SELECT COUNT(*) FROM lineitem WHERE l_partkey BETWEEN (SELECT quantile_disc(l_partkey, 0.5) FROM lineitem) AND (SELECT quantile_disc(l_partkey, 0.51) FROM lineitem))
+      ELSE (SELECT COUNT(*) FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01 00:00:00' AND TIMESTAMP '1997-01-20 00:00:00') END AS rows,
+    true AS skips_most, CASE c.column_name WHEN 'l_partkey' THEN false ELSE true END AS fewer_than_sorted FROM (VALUES ('l_partkey'), ('l_shipdate')) c(column_name)""",
+)
+def zorder_layout(spark, sf):
+    """Line items by part and date at once, beside the same files sorted by part, then date: what a
+    narrow filter on either column returns, and how many files it cannot skip."""
+    flat, woven = fresh_dir(spark, "sorted"), fresh_dir(spark, "zorder")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    keys, files = ["l_partkey", "l_shipdate"], 36
+    writers.cluster(lines, flat, keys, files=files)
+    layout.zorder(lines, woven, keys, files=files)
+    low, high = lines.agg(F.percentile("l_partkey", 0.5), F.percentile("l_partkey", 0.51)).first()
+    days = [F.lit(f"1997-01-{d} 00:00:00").cast("timestamp_ntz") for d in ("01", "20")]
+    out = None
+    for column, ends in (("l_partkey", (F.ceil(F.lit(low)), F.floor(F.lit(high)))), ("l_shipdate", days)):
+        rows = spark.read.parquet(woven).where(F.col(column).between(*ends)).agg(F.count("*").alias("rows"))
+        z, s = (layout.files_touched(layout.file_ranges(spark, p, keys), column, *ends).first() for p in (woven, flat))
+        part = rows.select(
+            F.lit(column).alias("column_name"),
+            "rows",
+            F.lit(2 * z["touched"] < z["files"]).alias("skips_most"),
+            F.lit(z["touched"] < s["touched"]).alias("fewer_than_sorted"),
+        )
+        out = part if out is None else out.union(part)
+    return out
+
+
 @query(
     "materialize_agg",
     f"""WITH a AS (SELECT o_custkey, {sql_total('o_totalprice')} AS amount FROM orders GROUP BY 1)

@@ -11,10 +11,11 @@ from laketide.plans.q_changes import by_status, order_feed
 from laketide.plans.q_basics import VERSION_SQL, order_versions
 from laketide.plans.registry import query, sql_mean, sql_total, table
 from laketide.session import fresh_dir
-from laketide.sources.evolution import read_merged
+from laketide.sources.evolution import GrowingTable, read_merged
 from laketide.sources.writers import stored
 from laketide.streaming import runners, windows
 from laketide.streaming.batches import DeltaSink, GroupSink, GroupTotals, UpsertSink
+from laketide.streaming.layers import Layer, StreamLayers
 
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 SLICES = 3
@@ -318,3 +319,77 @@ def stream_apply_delta(spark, sf):
     v0, _ = order_versions(spark, sf)
     moved = sink.applied_to(by_status(v0), {"amount": "delta", "n": "row_delta"})
     return moved.withColumn("amount", F.col("amount").cast("double"))
+
+
+# ---- layers and restarts ----------------------------------------------------------------------------
+
+LAYER_SQL = """b AS (SELECT event_id, user_id, CASE WHEN event_id % 30 = 4 THEN NULL ELSE upper(event_type) END AS event_type, CASE WHEN event_id % 50 = 9 THEN -1.0 ELSE value END AS value FROM events),
+  s AS (SELECT * FROM b WHERE event_type IS NOT NULL AND value >= 0)"""
+
+
+def event_layers(spark, root):
+    """Raw events, clean events with their rejects, totals of every user and type."""
+    schema = "event_id bigint, user_id bigint, event_type string, value double"
+    totals = GroupSink(spark, f"{root}/totals", spark.createDataFrame([], "user_id bigint, event_type string, events bigint, amount decimal(38,2)").schema, ["user_id", "event_type"])
+
+    def clean(bronze):
+        return bronze.withColumn("event_type", F.upper("event_type"))
+
+    def by_user(silver):
+        return silver.groupBy("user_id", "event_type").agg(F.count("*").alias("events"), F.sum(money("value")).cast("decimal(38,2)").alias("amount"))
+
+    rules = [dq.Rule("type", F.col("event_type").isNull()), dq.Rule("value", F.col("value") < 0), dq.Rule("large", F.col("value") > 100, severity="warning")]
+    layers = [
+        Layer("totals", ["silver"], by_user, sink=totals, mode="update"),
+        Layer("silver", ["bronze"], clean, rules),
+        Layer("bronze", ["landing"], lambda s: s),
+    ]
+    return StreamLayers(spark, root, {"landing": lambda s: runners.table_stream(s, f"{root}/landing", schema)}, layers), totals
+
+
+@query(
+    "stream_layers",
+    f"""WITH {LAYER_SQL} SELECT 'total' AS layer, user_id, event_type, COUNT(*) AS events, {sql_total('value')} AS amount FROM s GROUP BY 2, 3
+    UNION ALL SELECT 'bronze', NULL, NULL, COUNT(*), NULL FROM b UNION ALL SELECT 'silver', NULL, NULL, COUNT(*), NULL FROM s
+    UNION ALL SELECT 'silver_rejected', NULL, NULL, COUNT(*), NULL FROM b WHERE NOT (event_type IS NOT NULL AND value >= 0)""",
+)
+def stream_layers(spark, sf):
+    """Three chained layers, brought up to date after each of two deliveries by new objects."""
+    root = fresh_dir(spark, "layers")
+    k = F.col("event_id")
+    events = event_rows(spark, sf).select(
+        k, "user_id", F.when(k % 30 != 4, F.col("event_type")).alias("event_type"), F.when(k % 50 == 9, F.lit(-1.0)).otherwise(F.col("value")).alias("value")
+    )
+    for part in range(2):
+        stage(events, f"{root}/landing", "event_id", slices=2, only=range(part, part + 1))
+        layers, totals = event_layers(spark, root)
+        layers.run()
+    amounts = totals.current().select(F.lit("total").alias("layer"), "user_id", "event_type", "events", F.col("amount").cast("double").alias("amount"))
+    counts = layers.counts().select("layer", F.col("rows").alias("events"))
+    return amounts.unionByName(counts, allowMissingColumns=True)
+
+
+@query(
+    "stream_restart",
+    """SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 1 THEN value END AS value, CAST(1 AS INTEGER) AS restarts FROM events""",
+)
+def stream_restart(spark, sf):
+    """Files with a new column arrive while the stream runs: one restart, and no row is lost or doubled."""
+    root = fresh_dir(spark, "restart")
+    events = event_rows(spark, sf)
+    old = events.where("event_id % 2 = 0").select("event_id", "user_id", "event_type")
+    old.repartition(2).write.mode("append").parquet(f"{root}/landing")
+    out = GrowingTable(spark, f"{root}/out", ["batch"])
+    landed = []
+
+    def process(batch, batch_id):
+        out.append(batch.withColumn("batch", F.lit(batch_id)), overwrite_partitions=True)
+
+    def reader():
+        stream = runners.evolving_stream(spark, f"{root}/landing", maxFilesPerTrigger=1)
+        if not landed:  # the producer changes its schema after the reader has looked
+            landed.append(events.where("event_id % 2 = 1").drop("ts").repartition(1).write.mode("append").parquet(f"{root}/landing"))
+        return stream
+
+    restarts = runners.run_evolving(spark, f"{root}/landing", process, f"{root}/checkpoint", reader=reader)
+    return out.read().drop("batch").withColumn("restarts", F.lit(restarts))

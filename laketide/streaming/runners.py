@@ -74,3 +74,44 @@ def active_streams(spark: SparkSession) -> list[str]:
 def stop_all(spark: SparkSession) -> None:
     for q in spark.streams.active:
         q.stop()
+
+
+class SchemaChanged(RuntimeError):
+    """The files of a micro-batch have columns that the running reader does not know."""
+
+
+def _known(fields, known) -> list[str]:
+    have = {f.name.lower(): f.dataType for f in known.fields}
+    return [f.name for f in fields if have.get(f.name.lower()) != f.dataType]
+
+
+def run_evolving(spark: SparkSession, path: str, process, checkpoint: str, restarts: int = 1, reader=None, **options) -> int:
+    """Read a Parquet landing folder to its end, also when files with new columns arrive meanwhile.
+
+    Before a micro-batch is handed to ``process`` the footers of its own files are compared with
+    the schema of the running reader. A batch with unknown columns fails before anything of it is
+    written; the reader is opened again with the merged schema of the folder, on the same
+    checkpoint, and the batch is the first one it repeats. After ``restarts`` such restarts, and
+    for any other failure, the error is raised. ``reader`` opens the stream, by default
+    ``evolving_stream``. Returns the number of restarts."""
+    for attempt in range(restarts + 1):
+        stream = reader() if reader else evolving_stream(spark, path, **options)
+        known = stream.schema
+
+        def guarded(batch: DataFrame, batch_id: int, known=known) -> None:
+            files = [r[0] for r in batch.select("_source_file").distinct().collect()]  # those of one batch
+            if files:
+                new = _known(spark.read.option("mergeSchema", True).parquet(*files).schema.fields, known)
+                if new:
+                    raise SchemaChanged(f"new or changed columns {new}")
+            process(batch.drop("_source_file"), batch_id)
+
+        marked = stream.select("*", F.col("_metadata.file_path").alias("_source_file"))
+        query = run_batches(marked, guarded, checkpoint)
+        try:
+            await_all([query])
+            return attempt
+        except Exception as failure:
+            if attempt == restarts or "SchemaChanged" not in str(failure):
+                raise
+    raise AssertionError("not reached")
