@@ -352,17 +352,18 @@ def table_counts(spark, sf):
     return labelled_counts({n: table(spark, sf, n) for n in ("orders", "lineitem", "events")})
 
 
-VERSION_SQL = """v0 AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 9),
+VERSION_SQL = """v0 AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
     v1 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 12 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
-           FROM orders WHERE o_orderkey % 14 <> 3)"""
+           FROM orders WHERE o_orderkey % 14 <> 3
+           UNION ALL SELECT o_orderkey + 100000000, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 = 9)"""
 
 
 def order_versions(spark, sf):
-    """Two versions of a table: the second updates, deletes and inserts some rows."""
+    """Two versions of all orders: the second updates, deletes and inserts some rows."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     k = F.col("o_orderkey")
     v1 = o.where(k % 14 != 3).withColumn("o_orderstatus", F.when(k % 12 == 1, F.lit("X")).otherwise(F.col("o_orderstatus")))
-    return o.where(k % 10 != 9), v1
+    return o, v1.unionByName(o.where(k % 10 == 9).withColumn("o_orderkey", k + 100000000))
 
 
 @query(

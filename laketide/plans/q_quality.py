@@ -232,7 +232,7 @@ ISO_RE = "'^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"
 
 @query(
     "issue_report",
-    f"""WITH {SQL_D}, known AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS tax_id FROM customer WHERE c_nationkey <> 3)
+    f"""WITH {SQL_D}, known AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS tax_id FROM customer)
     SELECT 'null_id' AS issue, COUNT(CASE WHEN tax_id IS NULL THEN 1 END) AS rows FROM d
     UNION ALL SELECT 'bad_id', COUNT(CASE WHEN NOT regexp_matches(tax_id, {ID_RE}) THEN 1 END) FROM d
     UNION ALL SELECT 'negative_amount', COUNT(CASE WHEN amount < 0 THEN 1 END) FROM d
@@ -261,7 +261,7 @@ def issue_report(spark, sf):
     one = d.agg(*[F.count_if(c).alias(n) for n, c in checks.items()])
     rows = unpivot_row(one, [({"issue": n}, {"rows": n}) for n in checks])
     copies = d.where(F.col("tax_id").isNotNull()).groupBy("tax_id", "filed_on").count().where("count > 1")
-    known = table(spark, sf, "customer").where("c_nationkey <> 3").select(nine_digit_id("c_custkey").alias("tax_id"))
+    known = table(spark, sf, "customer").select(nine_digit_id("c_custkey").alias("tax_id"))
     orphan = d.select("tax_id").join(known, "tax_id", "left_anti")
     for name, df in (("duplicate_key", copies), ("orphan", orphan)):
         rows = rows.union(df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("issue"), "rows"))
@@ -347,7 +347,7 @@ RULE_ROWS = [
     {"rule_id": "DQ004", "rule_type": "business_rule", "rule_expression": "vat <= net * 0.07", "action_on_fail": "reject_batch", "severity": "error"},
     {"rule_id": "DQ006", "rule_type": "referential_integrity", "rule_expression": "issuer EXISTS IN suppliers", "action_on_fail": "alert", "severity": "error"},
 ]
-RULE_ROWS_SQL = f"""{SQL_I}, dup AS (SELECT invoice_id FROM i GROUP BY 1 HAVING COUNT(*) > 1), known AS (SELECT s_suppkey FROM supplier WHERE s_nationkey <> 4)"""
+RULE_ROWS_SQL = f"""{SQL_I}, dup AS (SELECT invoice_id FROM i GROUP BY 1 HAVING COUNT(*) > 1), known AS (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0)"""
 
 
 @query(
@@ -363,8 +363,8 @@ RULE_ROWS_SQL = f"""{SQL_I}, dup AS (SELECT invoice_id FROM i GROUP BY 1 HAVING
       (SELECT COUNT(DISTINCT invoice_id) FROM i WHERE net >= 1000) AS clean_rows, (SELECT COUNT(*) FROM i WHERE NOT (net >= 1000)) AS quarantined_rows FROM f, n""",
 )
 def rule_table_eval(spark, sf):
-    """Rules read as table rows, each with its action."""
-    known = table(spark, sf, "supplier").where("s_nationkey <> 4")
+    """Rules read as table rows, each with its action; an issuer must be a supplier without debts."""
+    known = table(spark, sf, "supplier").where("s_acctbal >= 0")
     raw = invoices(spark, sf)
     flagged, rules = dq.rule_table_rules(raw, RULE_ROWS, {"suppliers": (known, "s_suppkey")})
     good, bad, outcome = dq.apply_rule_actions(raw, flagged, rules, ["invoice_id"], ["issued_at"])

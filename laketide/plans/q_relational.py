@@ -106,10 +106,10 @@ def join_full_outer_chain(spark, sf):
 @query(
     "join_anti_orphans",
     f"""WITH {SQL_D} SELECT declaration_id, tax_id FROM d
-    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE lpad(CAST(c_custkey AS VARCHAR), 9, '0') = d.tax_id AND c_nationkey <> 3)""",
+    WHERE NOT EXISTS (SELECT 1 FROM customer WHERE lpad(CAST(c_custkey AS VARCHAR), 9, '0') = d.tax_id)""",
 )
 def join_anti_orphans(spark, sf):
-    registry = table(spark, sf, "customer").where("c_nationkey <> 3")
+    registry = table(spark, sf, "customer")
     master = registry.select(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("registered"))
     return orphans(declarations(spark, sf), master, "tax_id", "registered").select("declaration_id", "tax_id")
 
@@ -427,6 +427,37 @@ def skew_stats(spark, sf):
     return group_skew(skewed, "hot_key")
 
 
+@query(
+    "salted_balance",
+    "SELECT COUNT(*) AS rows, true AS three_times_smaller, true AS same_totals FROM orders",
+)
+def salted_balance(spark, sf):
+    """The largest partition of a skewed key before and after salting, and the totals of both ways."""
+    o = table(spark, sf, "orders")
+    key = F.when(o.o_orderkey % 10 < 9, F.lit(0).cast("bigint")).otherwise(o.o_custkey)
+    skewed = o.select(key.alias("hot_key"), "o_orderkey", money("o_totalprice").alias("amount")).withColumn("salt", salt_of("o_orderkey", salts=64))
+    sizes = {}
+    for name, by in (("plain", ["hot_key"]), ("salted", ["hot_key", "salt"])):
+        sizes[name] = rows_per_partition(skewed.repartition(16, *by)).agg(F.max("rows")).first()[0] or 0
+    plain = skewed.groupBy("hot_key").agg(F.sum("amount").alias("amount"))
+    salted = skewed.groupBy("hot_key", "salt").agg(F.sum("amount").alias("amount")).groupBy("hot_key").agg(F.sum("amount").alias("amount"))
+    same = plain.select("hot_key", F.col("amount").cast("decimal(38,2)")).exceptAll(salted.select("hot_key", F.col("amount").cast("decimal(38,2)"))).isEmpty()
+    return o.agg(F.count("*").alias("rows")).withColumns({"three_times_smaller": F.lit(sizes["plain"] >= 3 * sizes["salted"]), "same_totals": F.lit(same)})
+
+
+@query(
+    "partition_balance",
+    "SELECT COUNT(*) AS rows, CAST(16 AS BIGINT) AS partitions, true AS balanced, true AS keys_stay_together FROM lineitem",
+)
+def partition_balance(spark, sf):
+    """Rows over all partitions after a repartition by key, and whether it is even and keeps keys whole."""
+    dealt = table(spark, sf, "lineitem").select("l_orderkey").repartition(16, "l_orderkey")
+    sizes = rows_per_partition(dealt).agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"), (F.max("rows") < 2 * F.avg("rows")).alias("balanced"))
+    places = dealt.select("l_orderkey", F.spark_partition_id().alias("place")).distinct()
+    whole = places.groupBy("l_orderkey").count().where("count > 1").isEmpty()
+    return sizes.withColumn("keys_stay_together", F.lit(whole))
+
+
 @query("partition_sizes")
 def partition_sizes(spark, sf):
     """Rows per partition after a repartition by key."""

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,15 @@ def query_of(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
+def observed(seen: Observation, written: Callable[[], DataFrame]) -> int:
+    """The rows that ``seen`` counted while a batch was written. The optimizer may replace an empty
+    batch, observation and all, by an empty table; then the written rows are counted."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        return written().count()
+
+
 BUCKET = "__bucket"
 
 
@@ -254,7 +264,8 @@ class GroupSink(KeyedState):
             return
         seen = Observation()
         self.rows.write(batch.observe(seen, F.count(F.lit(1)).alias("n")), number)
-        self.log.add(batch, batch_id, number, seen.get["n"], seen.get["n"], 0)
+        n = observed(seen, lambda: self.rows.read(number, after=number - 1))
+        self.log.add(batch, batch_id, number, n, n, 0)
 
 
 class DeltaSink:
@@ -274,7 +285,8 @@ class DeltaSink:
         seen = Observation()
         net = changes.net_change(batch.observe(seen, F.count(F.lit(1)).alias("n")), self.keys, self.measure)
         self.deltas.write(net.withColumn("delta", F.col("delta").cast(self.delta_type)), number)
-        self.log.add(batch, batch_id, number, seen.get["n"], seen.get["n"], 0)
+        n = observed(seen, lambda: self.deltas.read(number, after=number - 1))
+        self.log.add(batch, batch_id, number, n, n, 0)
 
     def applied_to(self, aggregate: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
         """The aggregate after all logged batches; ``pairs`` maps its columns to ``delta`` and

@@ -214,3 +214,13 @@ def test_json_and_csv_landing_folders(spark):
         out = spark.read.parquet(f"{root}/{fmt}_out")
         assert sorted((r.id, r.v) for r in out.collect()) == [(1, 2.5), (2, 3.5)]
         assert out.where(F.col("_source_file").contains(f"/{fmt}/")).count() == 2
+
+
+def test_empty_batches_are_logged(spark):
+    root = fresh_dir(spark, "s")
+    delta = DeltaSink(spark, f"{root}/d", spark.createDataFrame([], "g string").schema, F.col("m").cast("decimal(18,2)"))
+    delta(spark.createDataFrame([], "_change_type string, g string, m double"), 0)
+    group = GroupSink(spark, f"{root}/g", spark.createDataFrame([], "g string, n bigint").schema, ["g"])
+    group(spark.createDataFrame([], "g string, n bigint"), 0)
+    assert [r["rows_in"] for r in delta.log.read().unionByName(group.log.read()).collect()] == [0, 0]
+    assert group.current().count() == 0
