@@ -17,12 +17,17 @@ class LoadMismatch(RuntimeError):
     """The stored table does not hold the rows that were read."""
 
 
+RUN = "__load"
+
+
 class IncrementalTable:
-    """A table folder, with one sub-folder per run, and its load log.
+    """A table folder, with one partition per run, and its load log.
 
-    Each run writes ``runs/run=<id>`` with overwrite and logs afterwards. Repeating a run
-    that died replaces its own folder; a run that is already in the log is skipped; readers
-    see logged runs only.
+    Runs are numbered. A run writes the partition of the next number with overwrite and logs the
+    number afterwards: a run that died is overwritten by whichever comes next, a run that is
+    already in the log is skipped, and readers see the numbers from the last full load to the last
+    logged run. These are two values, so a read is a range over the partitions whatever the number
+    of runs.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -33,29 +38,29 @@ class IncrementalTable:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.path}/log")
 
+    def _live(self) -> tuple[int, int]:
+        """The numbers of the last full load (0 without one) and of the last run."""
+        ends = self.log().agg(F.max(F.when(F.col("load_type") == "full", F.col("number"))).alias("full"), F.max("number").alias("last")).first()
+        return ends["full"] or 0, ends["last"] or 0
+
     def read(self) -> DataFrame:
-        """Rows of the last full load and of all loads after it."""
-        runs = [r["run_id"] for r in self._live_runs()]
-        if not runs:
+        """Rows of the last full load and of all loads after it; other partitions are pruned."""
+        first, last = self._live()
+        if not last:
             raise ValueError(f"nothing loaded in {self.path}")
-        return self.spark.read.parquet(*[f"{self.path}/runs/run={r}" for r in runs])
-
-    def _live_runs(self) -> list:
-        """Log rows from the last full load on, in the order they were written. Runs are numbered,
-        as two may have the same time; only the rows since the last full load are fetched."""
-        log = self.log()
-        full = log.where("load_type = 'full'").agg(F.max("number").alias("n")).first()["n"]
-        return log.where(F.col("number") >= F.lit(full or 0)).orderBy("number").collect()
+        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/runs")
+        return rows.where(F.col(RUN).between(first, last)).drop(RUN)
 
     def _write(self, df: DataFrame, run_id: str, load_type: str, mark: str, at: datetime, floor: int | None) -> int:
+        number = self._live()[1] + 1
+        path = f"{self.path}/runs/{RUN}={number}"
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(mark).cast("bigint")).alias("high"))
-        counted.write.mode("overwrite").parquet(f"{self.path}/runs/run={run_id}")
+        counted.write.mode("overwrite").parquet(path)
         rows, high = seen.get["rows"], seen.get["high"]
-        stored = self.spark.read.schema(df.schema).parquet(f"{self.path}/runs/run={run_id}").count()
+        stored = self.spark.read.schema(df.schema).parquet(path).count()
         if stored != rows:
             raise LoadMismatch(f"run {run_id}: {rows} rows read, {stored} stored")
-        number = (self.log().agg(F.max("number").alias("n")).first()["n"] or 0) + 1
         entry = [(run_id, load_type, rows, high if high is not None else floor, at, number)]
         self.spark.createDataFrame(entry, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
         return rows
@@ -68,9 +73,8 @@ class IncrementalTable:
         return 0 if self._done(run_id) else self._write(source, run_id, "full", mark, at, None)
 
     def high_mark(self) -> int | None:
-        rows = self._live_runs()
-        marks = [r["high_mark"] for r in rows if r["high_mark"] is not None]
-        return max(marks) if marks else None
+        """The highest mark of the live runs."""
+        return self.log().where(F.col("number") >= self._live()[0]).agg(F.max("high_mark")).first()[0]
 
     def incremental_load(self, source: DataFrame, run_id: str, mark: str, at: datetime) -> int:
         """Append only rows above the stored mark; the filter reaches the source scan."""

@@ -222,3 +222,59 @@ def daily_drift(df: DataFrame, day: Column, column: str, bins: int = 10) -> Data
     # a day without a predecessor, or a predecessor without a day, has no pair
     sides = both.groupBy("day").agg(F.sum("cur").alias("c"), F.sum("ref").alias("r")).where("c > 0 AND r > 0").select("day")
     return drift.js_distance(both.join(sides, "day", "left_semi"), ["day"])
+
+
+def profile_edges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column``, ``lo``, ``hi``: the range of each column, one small row each, to be kept with a table so
+    that later profiles use the same bins."""
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    return ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"lo_{c}").alias("lo"), F.col(f"hi_{c}").alias("hi")) for c in columns])))
+
+
+def daily_profiles(df: DataFrame, day: Column, columns: Sequence[str], edges: DataFrame, bins: int = 10) -> DataFrame:
+    """``column``, ``day``, ``bin`` with ``n``, ``total``, ``squares``, ``lo`` and ``hi``, for all columns in one scan.
+
+    Values outside of the edges belong to the outer bins; NULLs are counted in the bin NULL. What a
+    task passes on is as small as columns times days times bins."""
+    known = {r["column"]: (r["lo"], r["hi"]) for r in edges.collect()}  # one row per column
+    missing = [c for c in columns if c not in known]
+    if missing:
+        raise ValueError(f"no edges for {missing}")
+
+    def cell(c: str) -> Column:
+        x, (lo, hi) = F.col(c).cast("double"), known[c]
+        place = drift.equal_width_bin(x, F.lit(lo).cast("double"), F.lit(hi).cast("double"), bins)
+        return F.struct(F.lit(c).alias("column"), x.alias("x"), place.alias("bin"))
+
+    cells = df.select(day.alias("day"), F.inline(F.array(*[cell(c) for c in columns])))
+    x = F.col("x")
+    return cells.groupBy("column", "day", "bin").agg(
+        F.count("*").alias("n"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"), F.min(x).alias("lo"), F.max(x).alias("hi")
+    )
+
+
+def profile_drift(profiles: DataFrame, decimals: int = 6) -> DataFrame:
+    """Per column and day: rows, share of NULLs, mean, deviation and range, and against the calendar day
+    before the JS distance of the bins and the move of the mean in deviations of that day; NULL without
+    such a day. Reads profiles only."""
+    keys = ["column", "day"]
+    filled = profiles.where("bin IS NOT NULL")
+    n, total, squares = F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))), F.sum("total"), F.sum("squares")
+    days = profiles.groupBy(*keys).agg(
+        F.sum("n").alias("rows"),
+        (F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("n"))), F.lit(0)) / F.sum("n")).alias("null_share"),
+        (total / n).alias("mean"),
+        F.sqrt(F.greatest(squares / n - (total / n) * (total / n), F.lit(0.0))).alias("deviation"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+    )
+    counts = filled.select(*keys, "bin", F.col("n").alias("cur"))
+    both = counts.join(counts.select("column", F.date_add("day", 1).alias("day"), "bin", F.col("cur").alias("ref")), [*keys, "bin"], "full_outer").fillna(0, ["cur", "ref"])
+    sides = both.groupBy(*keys).agg(F.sum("cur").alias("c"), F.sum("ref").alias("r")).where("c > 0 AND r > 0").select(*keys)
+    distance = drift.js_distance(both.join(sides, keys, "left_semi"), keys, decimals)
+    before = days.select("column", F.date_add("day", 1).alias("day"), F.col("mean").alias("__mean"), F.col("deviation").alias("__deviation"))
+    moved = F.try_divide(F.col("mean") - F.col("__mean"), F.col("__deviation"))
+    joined = days.join(before, keys, "left").join(distance, keys, "left")
+    return joined.select(
+        *keys, "rows", *[F.round(c, decimals).alias(c) for c in ("null_share", "mean", "deviation")], "lo", "hi", "js_distance", F.round(moved, decimals).alias("mean_move")
+    )

@@ -243,3 +243,27 @@ def profile_daily(spark, sf):
 )
 def profile_drift_daily(spark, sf):
     return mon.daily_drift(table(spark, sf, "events"), F.col("ts").cast("date"), "value")
+
+
+@query(
+    "profile_drift_columns",
+    """WITH v AS (SELECT 'value' AS col, CAST(ts AS DATE) AS day, CASE WHEN event_type <> 'error' THEN CAST(value AS DOUBLE) END AS x FROM events
+      UNION ALL SELECT 'user_id', CAST(ts AS DATE), CAST(user_id AS DOUBLE) FROM events),
+    e AS (SELECT col, MIN(x) AS lo, MAX(x) AS hi FROM v GROUP BY 1),
+    d AS (SELECT col, day, COUNT(*) AS rows, CAST(COUNT(*) - COUNT(x) AS DOUBLE) / COUNT(*) AS null_share, AVG(x) AS mean, stddev_pop(x) AS deviation, MIN(x) AS lo, MAX(x) AS hi FROM v GROUP BY 1, 2),
+    c AS (SELECT col, day, LEAST(GREATEST(CAST(floor((x - e.lo) / (e.hi - e.lo) * 10) AS INTEGER), 0), 9) AS bin, COUNT(*) AS n FROM v JOIN e USING (col) WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+    p AS (SELECT COALESCE(a.col, b.col) AS col, COALESCE(a.day, CAST(b.day + INTERVAL 1 DAY AS DATE)) AS day, COALESCE(a.n, 0) AS cur, COALESCE(b.n, 0) AS ref
+      FROM c a FULL OUTER JOIN c b ON a.col = b.col AND a.day = CAST(b.day + INTERVAL 1 DAY AS DATE) AND a.bin = b.bin),
+    s AS (SELECT col, day, CAST(cur AS DOUBLE) / SUM(cur) OVER w AS c, CAST(ref AS DOUBLE) / SUM(ref) OVER w AS r, SUM(cur) OVER w AS cn, SUM(ref) OVER w AS rn FROM p WINDOW w AS (PARTITION BY col, day)),
+    j AS (SELECT col, day, round(sqrt(GREATEST(SUM((CASE WHEN c > 0 THEN c * log2(c / ((c + r) / 2)) ELSE 0 END + CASE WHEN r > 0 THEN r * log2(r / ((c + r) / 2)) ELSE 0 END) / 2), 0)), 6) AS js FROM s WHERE cn > 0 AND rn > 0 GROUP BY 1, 2)
+    SELECT d.col AS "column", d.day, d.rows, round(d.null_share, 3) AS null_share, round(d.mean, 3) AS mean, round(d.deviation, 3) AS deviation, d.lo, d.hi, js AS js_distance, round((d.mean - b.mean) / NULLIF(b.deviation, 0), 3) AS mean_move
+    FROM d LEFT JOIN d b ON b.col = d.col AND d.day = CAST(b.day + INTERVAL 1 DAY AS DATE) LEFT JOIN j ON j.col = d.col AND j.day = d.day""",
+)
+def profile_drift_columns(spark, sf):
+    """Daily profiles of two columns from one scan, and their drift from day to day."""
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    events = table(spark, sf, "events").select("ts", value.alias("value"), "user_id")
+    edges = mon.profile_edges(events, ["value", "user_id"])
+    profiles = mon.daily_profiles(events, F.col("ts").cast("date"), ["value", "user_id"], edges)
+    out = mon.profile_drift(profiles)
+    return out.withColumns({c: F.round(c, 3) for c in ("null_share", "mean", "deviation", "mean_move")})

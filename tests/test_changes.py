@@ -202,3 +202,22 @@ def test_runs_with_equal_times_count_in_their_order(spark):
     table.full_load(spark.range(50).toDF("id"), "r9", "id", at)
     table.incremental_load(spark.range(100).toDF("id"), "r10", "id", at)
     assert table.read().count() == 100
+
+
+def test_loads_are_read_by_a_range_of_partitions(spark):
+    path = fresh_dir(spark, "many")
+    table = IncrementalTable(spark, path)
+    at = datetime(2024, 1, 1)
+    table.full_load(spark.range(5), "f1", "id", at)
+    for i in range(3):
+        table.incremental_load(spark.range(5 + 5 * (i + 1)), f"a{i}", "id", at)
+    table.full_load(spark.range(100, 103), "f2", "id", at)
+    for i in range(3):
+        table.incremental_load(spark.range(103 + i + 1), f"b{i}", "id", at)
+    spark.range(7).write.parquet(f"{path}/runs/__load=9")  # a run that died before its log row
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    text = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "__load" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(r["id"] for r in table.read().collect()) == list(range(100, 106))
+    assert table.incremental_load(spark.range(110), "next", "id", at) == 4  # takes the dead run's number
+    assert table.read().count() == 10 and table.high_mark() == 109
