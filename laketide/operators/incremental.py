@@ -48,12 +48,12 @@ class IncrementalTable:
         first, last = self._live()
         if not last:
             raise ValueError(f"nothing loaded in {self.path}")
-        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/runs")
+        rows = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/loads")
         return rows.where(F.col(RUN).between(first, last)).drop(RUN)
 
     def _write(self, df: DataFrame, run_id: str, load_type: str, mark: str, at: datetime, floor: int | None) -> int:
         number = self._live()[1] + 1
-        path = f"{self.path}/runs/{RUN}={number}"
+        path = f"{self.path}/loads/{RUN}={number}"
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.max(F.col(mark).cast("bigint")).alias("high"))
         counted.write.mode("overwrite").parquet(path)

@@ -214,7 +214,7 @@ def test_loads_are_read_by_a_range_of_partitions(spark):
     table.full_load(spark.range(100, 103), "f2", "id", at)
     for i in range(3):
         table.incremental_load(spark.range(103 + i + 1), f"b{i}", "id", at)
-    spark.range(7).write.parquet(f"{path}/runs/__load=9")  # a run that died before its log row
+    spark.range(7).write.parquet(f"{path}/loads/__load=9")  # a run that died before its log row
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     text = table.read()._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1 and "__load" in text.split("PartitionFilters: [")[1].split("]")[0]
