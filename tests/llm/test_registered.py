@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables a
 
 
 def test_names():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted(f"op{i}" for i in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "repeated_substrings", "benchmark_items", "byte_bpe"]
 
 
