@@ -14,8 +14,9 @@ band share a bucket. Links are found without all pairs of a bucket:
 * shingles that no other candidate has bound every similarity from above: near copies with many
   changes of their own leave before any comparison, and others meet few partners;
 * in a round, every node of a bucket is compared with one member, at first the one with the
-  fewest shingles of its own; linked nodes become one component, and buckets inside one component
-  are finished, so groups of near copies collapse here;
+  fewest shingles of its own, then one drawn anew; linked nodes become one component, and buckets
+  inside one component are finished, so groups of near copies collapse here. Rounds go on while
+  more pairs are left open than there are nodes, and end at ``STAR_ROUNDS``;
 * then every pair of different components that the bound allows meets in the first band it
   shares; its sketches are compared, and if they agree nearly enough, the full sets.
 
@@ -43,8 +44,8 @@ SHINGLE = 4
 BANDS = 40
 ROWS = 5
 PERCENT = 80
-STAR_ROUNDS = 2
-PAIRS_PER_NODE = 4
+STAR_ROUNDS = 8
+PAIRS_PER_NODE = 1
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> list[np.ndarray]:
