@@ -17,17 +17,35 @@ from laketide.operators.aggregates import (
 from laketide.operators.sets import two_way_difference, union_by_name
 
 
-@pytest.mark.parametrize("hot_rows", [1, 10_000])
-def test_exact_quantiles_match_numpy(spark, hot_rows):
+@pytest.mark.parametrize("limit", [0, 5, 10_000])
+def test_exact_quantiles_match_numpy(spark, limit):
     rnd = random.Random(3)
     data = [(rnd.choice(["a", "a", "a", "b", None]), float(rnd.randint(0, 60))) for _ in range(400)] + [("c", None)]
     df = spark.createDataFrame(data, "k string, v double")
-    got = {r.k: (r.q0, r.q1) for r in exact_quantiles(df, "v", [0.5, 0.83], ["k"], 8, hot_rows).collect()}
+    got = {r.k: (r.q0, r.q1) for r in exact_quantiles(df, "v", [0.5, 0.83], ["k"], 8, limit).collect()}
+    assert set(got) == {"a", "b", None}
     for k in ("a", "b", None):
         values = [v for key, v in data if key == k and v is not None]
         assert got[k] == pytest.approx(tuple(np.quantile(values, [0.5, 0.83])))
-    overall = exact_quantiles(df, "v", [0.25], (), 8, hot_rows).first().q0
+    overall = exact_quantiles(df, "v", [0.25], (), 8, limit).first().q0
     assert overall == pytest.approx(np.quantile([v for _, v in data if v is not None], 0.25))
+    assert [r.q0 for r in exact_quantiles(df.where("false"), "v", [0.5], (), 8, limit).collect()] == [None]
+
+
+def test_exact_quantiles_narrow_without_storing_values(spark, monkeypatch):
+    """Skewed values, one that a third of the rows hold, both ends: few scans, one stored row a group."""
+    from laketide.operators import aggregates
+
+    tables = []
+    kept = aggregates.stored
+    monkeypatch.setattr(aggregates, "stored", lambda df, label: tables.append(kept(df, label)) or tables[-1])
+    x = F.when(F.col("id") % 3 == 0, F.lit(7.0)).otherwise(F.exp((F.xxhash64("id") % 1000) / 20.0))
+    df = spark.range(30_000).select((F.col("id") % 2).alias("k"), x.alias("v")).cache()
+    wanted = [0.0, 0.1, 0.5, 0.6, 1.0]
+    got = {r.k: list(r)[1:] for r in exact_quantiles(df, "v", wanted, ["k"], 16, 50).collect()}
+    for k in (0, 1):
+        assert got[k] == pytest.approx(np.quantile([r.v for r in df.where(F.col("k") == k).collect()], wanted).tolist())
+    assert len(tables) <= 6 and all(t.count() == 2 for t in tables)
 
 
 def test_salted_sum_equals_plain_sum_with_one_hot_key(spark, rows):
