@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from laketide.functions.scalars import mean, money, total
+from laketide.operators.aggregates import exact_quantiles
 from laketide.operators.joins import broadcast_if_small
 from laketide.plans.fixtures import as_of
 from laketide.plans.q_relational import GOLD_SQL, gold
@@ -287,7 +288,7 @@ def zorder_layout(spark, sf):
     keys, files = ["l_partkey", "l_shipdate"], 36
     writers.cluster(lines, flat, keys, files=files)
     layout.zorder(lines, woven, keys, files=files)
-    low, high = lines.agg(F.percentile("l_partkey", 0.5), F.percentile("l_partkey", 0.51)).first()
+    low, high = exact_quantiles(lines, "l_partkey", (0.5, 0.51)).first()
     days = [F.lit(f"1997-01-{d} 00:00:00").cast("timestamp_ntz") for d in ("01", "20")]
     out = None
     for column, ends in (("l_partkey", (F.ceil(F.lit(low)), F.floor(F.lit(high)))), ("l_shipdate", days)):

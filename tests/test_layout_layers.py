@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laketide.operators import drift
 from laketide.operators import quality as dq
+from laketide.plans import q_sources
 from laketide.session import fresh_dir
 from laketide.sources import layout, writers
 from laketide.sources.evolution import GrowingTable
@@ -27,6 +28,32 @@ def points(spark):
     )
 
 
+@pytest.mark.parametrize("parts", [[], [None, None], [None, 7, 7, 9, 3], list(range(300))])
+def test_zorder_layout_gathers_no_column(spark, tmp_path, monkeypatch, parts):
+    """The bounds of the filter are exact, but no task gets the values of a whole column, as ``percentile`` needs them."""
+    day = datetime(1997, 1, 5)
+    lines = spark.createDataFrame([(i, 1, p, day, 1.0) for i, p in enumerate(parts)], "l_orderkey long, l_linenumber int, l_partkey long, l_shipdate timestamp_ntz, l_extendedprice double")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    low, high = lines.agg(F.percentile("l_partkey", 0.5), F.percentile("l_partkey", 0.51)).first()
+    within = 0 if low is None else lines.where(F.col("l_partkey").between(F.ceil(F.lit(low)), F.floor(F.lit(high)))).count()
+    monkeypatch.setattr(F, "percentile", None)
+    got = q_sources.zorder_layout(spark, str(tmp_path)).collect()
+    assert [(r.column_name, r.rows) for r in got] == [("l_partkey", within), ("l_shipdate", len(parts))]
+
+
+def test_compaction_moves_no_row_between_tasks(spark):
+    """Each small file goes whole into one large file, so a task reads packed files, not unpacked rows of all."""
+    small, large = (fresh_dir(spark, n) for n in ("small", "large"))
+    spark.range(80_000).repartitionByRange(8, "id").write.parquet(small)
+    size = writers.file_counts(spark, small).first().bytes
+    origin = spark.read.parquet(small).select("id", F.col("_metadata.file_path").alias("was"))
+    writers.compact(spark, small, large, target_bytes=size // 2)
+    now = spark.read.parquet(large).select("id", F.col("_metadata.file_path").alias("now"))
+    assert 1 < writers.file_counts(spark, large).first().files < 8
+    both = origin.join(now, "id")
+    assert both.count() == 80_000 and both.select("was", "now").distinct().count() == 8
+
+
 def test_filters_on_either_column_skip_files(spark, points):
     flat, woven = fresh_dir(spark, "flat"), fresh_dir(spark, "woven")
     writers.cluster(points, flat, ["a", "b"], files=32)
