@@ -80,10 +80,13 @@ def file_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, path: str, into: str, target_bytes: int = TARGET_FILE_BYTES) -> None:
-    """Rewrite many small files as files of about ``target_bytes`` at a new path."""
+    """Rewrite many small files as files of about ``target_bytes`` at a new path.
+
+    A task reads the small files of its large one: nothing is shuffled, since rows unpacked from
+    Parquet would be many times the bytes of their file, all read by the task that writes it."""
     stats = file_counts(spark, path).first()
     n = max(1, math.ceil((stats["bytes"] or 0) / target_bytes))
-    spark.read.parquet(path).repartition(n).write.mode("overwrite").parquet(into)
+    spark.read.parquet(path).coalesce(n).write.mode("overwrite").parquet(into)
 
 
 def cluster(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None) -> None:
