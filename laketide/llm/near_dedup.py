@@ -14,7 +14,8 @@ band share a bucket. Links are found without all pairs of a bucket:
 * shingles that no other candidate has bound every similarity from above: near copies with many
   changes of their own leave before any comparison, and others meet few partners;
 * in a round, every node of a bucket is compared with one member, at first the one with the
-  fewest shingles of its own, then one drawn anew; linked nodes become one component, and buckets
+  fewest shingles of its own, then one drawn anew: first the sketches, and if they agree nearly
+  enough, the full sets; linked nodes become one component, and buckets
   inside one component are finished, so groups of near copies collapse here. Rounds go on while
   more pairs are left open than there are nodes, and end at ``STAR_ROUNDS``;
 * then every pair of different components that the bound allows meets in the first band it
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, blocks, mix, shingles, signed, text_bytes, word_hashes
-from laketide.llm.common import packed, ship_code, stored
+from laketide.llm.common import drop_stored, packed, ship_code, stored
 from laketide.llm.components import components
 
 SHINGLE = 4
@@ -46,6 +47,8 @@ ROWS = 5
 PERCENT = 80
 STAR_ROUNDS = 8
 PAIRS_PER_NODE = 1
+#: Pairs of texts that a task holds as Python values at a time.
+SLICE_PAIRS = 128
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> list[np.ndarray]:
@@ -168,10 +171,14 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int =
                 held[text] = shingle_sets(Block(0, [text]), k)[0]
             return held[text]
 
+        def rows(batch):
+            for at in range(0, batch.num_rows, SLICE_PAIRS):
+                part = batch.slice(at, SLICE_PAIRS)
+                yield from zip(text_bytes(part.column(2), lower=True), text_bytes(part.column(3), lower=True), strict=True)
+
         for batch in batches:
-            x, y = text_bytes(batch.column(2), lower=True), text_bytes(batch.column(3), lower=True)
             good = []
-            for s, t in zip(x, y, strict=True):
+            for s, t in rows(batch):
                 u, v = one(s), one(t)
                 small, large = min(len(u), len(v)), max(len(u), len(v))
                 if not small or 100 * small < percent * large:
@@ -205,12 +212,14 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     texts = stored(plain.join(close.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text").distinct(), "texts")
 
     bounds = stored(_bounds(texts, percent, k), "bounds")
-    members = members.join(bounds, "node")
+    rest = stored(members.join(bounds, "node"), "members")
+    digits = stored(nodes.join(bounds.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "bands", "digits"), "digits")
+    alike = _alike(bands * rows, percent)
     links = stored(same.where("a <> b"), "links")
     none = docs.sparkSession.createDataFrame([], "node long, root long")
     roots = none if links.isEmpty() else stored(components(links), "roots")
     for turn in range(STAR_ROUNDS + 1):
-        named = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
         mixed = per_root.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
         mixed = stored(mixed, "mixed")
@@ -218,17 +227,23 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
         if not left:
             break
         last = turn == STAR_ROUNDS or turn > 0 and left <= PAIRS_PER_NODE * total
-        open_ = named.join(mixed.select("key"), "key")
+        # a bucket inside one component never opens again: later rounds read the rows left here
+        open_ = stored(named.join(mixed.select("key"), "key"), "members")
+        drop_stored(rest)
+        rest = open_.drop("root")
         if last:
-            open_ = open_.join(nodes.select(F.col("doc_id").alias("node"), "bands", "digits"), "node")
+            open_ = open_.join(digits, "node")
             other = open_.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("bands", "bbands"), ("digits", "bdigits"))])
-            likely = _possible(percent) & _alike(bands * rows, percent) & _first_meeting()
+            likely = _possible(percent) & alike & _first_meeting()
             pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely).select(F.col("node").alias("a"), "b").distinct()
         else:
             # first the member with the smallest share of shingles of its own, then others
             draw = F.struct(F.when(F.lit(turn == 0), 1 - F.col("a") / F.col("n")).otherwise(0.0), F.xxhash64("node", F.lit(turn)))
             heads = open_.groupBy("key").agg(*[F.min_by(c, draw).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"))])
-            pairs = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            met = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select("node", "b").distinct()
+            # the sketches tell most pairs apart: only the others move their texts
+            met = met.join(digits.select("node", "digits"), "node").join(digits.select(F.col("node").alias("b"), F.col("digits").alias("bdigits")), "b").where(alike)
+            pairs = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         found = stored(similar(pairs, texts, percent, k), "found")
         links = links.unionAll(found)
         roots = stored(components(links), "roots")
