@@ -77,3 +77,21 @@ def test_components(spark):
 
 def test_no_rows(empty):
     assert near_dedup.groups(empty).count() == near_dedup.representatives(empty).count() == 0
+
+
+def test_star_rounds_move_no_texts_of_unlike_sketches(spark, monkeypatch):
+    """Texts made of the same paragraphs share every shingle but only half of them pairwise: they meet in buckets and the bound lets them pass."""
+    rng = np.random.default_rng(5)
+    paragraphs = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(24)]
+    rows = [(i, " ".join(paragraphs[j] for j in sorted(rng.choice(24, 14, replace=False)))) for i in range(60)]
+    assert not [1 for (_, s), (_, t) in combinations(rows, 2) if 100 * len(shingles(s) & shingles(t)) >= 80 * len(shingles(s) | shingles(t))]
+    compared, plain = [], near_dedup.similar
+
+    def similar(pairs, *rest):
+        compared.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "similar", similar)
+    got = near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and all(r.kept for r in got)
+    assert compared and sum(compared) < 100  # 2109 when every pair of a star round moved its texts
