@@ -37,7 +37,8 @@ from laketide.llm.common import block_count, ship_code, stored
 from laketide.llm.elias_fano import Trie
 
 ORDER = 6
-BLOCK_BYTES = 8 << 20
+#: Bytes of text of a block; there are as many shards as blocks, so it also bounds what a shard merges.
+BLOCK_BYTES = 5 << 20
 FAN_IN = 256
 START, END = 254, 255  # never bytes of UTF-8
 END_WORD = U(0)
@@ -173,8 +174,14 @@ def _emit(order: int, shards: int):
 
 
 def _add_up(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
-    return keys, np.bincount(place, weights=np.concatenate([p[1] for p in pairs]), minlength=len(keys)).astype(np.int64)
+    """Distinct keys in order and the sums of their counts, exact; sorted once, with few working arrays."""
+    keys = np.concatenate([p[0] for p in pairs])
+    if not len(keys):
+        return keys, np.zeros(0, dtype=np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(np.concatenate([p[1] for p in pairs])[order], first)
 
 
 def _merge_sums(table: pa.Table) -> pa.Table:

@@ -80,3 +80,23 @@ def test_nothing_to_learn(docs, empty):
     rows = lm_trie.train_and_score(docs.select(F.col("doc_id").alias("row"), "text"), F.lit(False)).collect()
     assert {r["train_tokens"] for r in rows} == {0} and {r["n_known"] for r in rows} == {0}
     assert lm_trie.train_and_score(empty.select(F.col("doc_id").alias("row"), "text"), F.lit(True)).count() == 0
+
+
+def test_adding_up_holds_few_arrays():
+    """Exact sums over blocks; the working arrays of a shard are at most 46 bytes an entry."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 150_000, 20_000).astype(np.uint64)) for _ in range(12)]
+    pairs = [(k, rng.integers(0, 1 << 40, len(k))) for k in parts]
+    tracemalloc.start()
+    keys, sums = lm_trie._add_up(pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = defaultdict(int)
+    for k, c in pairs:
+        for a, b in zip(k.tolist(), c.tolist(), strict=True):
+            want[a] += b
+    assert dict(zip(keys.tolist(), sums.tolist(), strict=True)) == want and keys.tolist() == sorted(want)
+    assert peak <= 46 * sum(map(len, parts))
+    assert [len(x) for x in lm_trie._add_up([(np.zeros(0, np.uint64), np.zeros(0, np.int64))])] == [0, 0]
