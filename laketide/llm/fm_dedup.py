@@ -33,10 +33,11 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     while True:
         ahead = np.full(n, -1, dtype=np.int64)
         ahead[: max(0, n - done)] = rank[done:]
-        order = np.lexsort((ahead, rank))
+        both = rank * (n + 1 + int(text.max())) + ahead + 1
+        order = np.argsort(both)  # suffixes that agree in so many symbols may stand in any order
         new = np.zeros(n, dtype=np.int64)
-        a, b = rank[order], ahead[order]
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        both = both[order]
+        new[1:] = both[1:] != both[:-1]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new)
         done *= 2
@@ -56,21 +57,25 @@ class FMIndex:
         self.zeros = []
         for bit in reversed(range(self.bits)):
             one = (level >> bit) & 1
-            self.zeros.append(np.concatenate(([0], np.cumsum(1 - one))).astype(np.int64))
+            self.zeros.append(np.concatenate(([0], np.cumsum(1 - one))).astype(np.int32))
             level = np.concatenate((level[one == 0], level[one == 1]))
         every = np.arange(symbols)
-        self.base = self._walk(every, np.zeros(symbols, dtype=np.int64))
+        (self.base,) = self._walk(every, np.zeros(symbols, dtype=np.int64))
 
-    def _walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _walk(self, symbol: np.ndarray, *places: np.ndarray) -> list[np.ndarray]:
+        out = list(places)
         for bit, zeros in zip(reversed(range(self.bits)), self.zeros, strict=True):
-            low = zeros[at]
-            at = np.where((symbol >> bit) & 1, zeros[-1] + at - low, low)
-        return at
+            one = (symbol & (1 << bit)).astype(bool)
+            for i, at in enumerate(out):
+                low = zeros.take(at)
+                out[i] = np.where(one, at - low + zeros[-1], low)
+        return out
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranges of the patterns with one more symbol in front."""
         shift = self.first[symbol] - self.base[symbol]
-        return self._walk(symbol, lo) + shift, self._walk(symbol, hi) + shift
+        lo, hi = self._walk(symbol, lo, hi)
+        return lo + shift, hi + shift
 
 
 def matching_statistics(text: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:

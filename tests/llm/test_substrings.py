@@ -82,3 +82,12 @@ def test_matching_statistics():
             else:
                 break
         assert reach[e] == best
+
+
+def test_index_takes_four_bytes_a_bit_and_symbol():
+    text = np.append(np.random.default_rng(2).integers(2, 300, 5000), 0)
+    index = fm_dedup.FMIndex(text, 6)
+    assert sum(z.nbytes for z in index.zeros) <= 4 * index.bits * (len(text) + 1)
+    symbol, at = text[:50], np.arange(50) * 100
+    lo, hi = index.extend(symbol, at, at + 90)
+    assert (lo <= hi).all() and (hi - lo <= 90).all()
