@@ -38,7 +38,7 @@ from laketide.llm.elias_fano import Trie
 
 ORDER = 6
 #: Bytes of text of a block; there are as many shards as blocks, so it also bounds what a shard merges.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 6 << 20
 FAN_IN = 256
 START, END = 254, 255  # never bytes of UTF-8
 END_WORD = U(0)
