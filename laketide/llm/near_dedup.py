@@ -17,9 +17,10 @@ band share a bucket. Links are found without all pairs of a bucket:
   fewest shingles of its own, then one drawn anew: first the sketches, and if they agree nearly
   enough, the full sets; linked nodes become one component, and buckets
   inside one component are finished, so groups of near copies collapse here. Rounds go on while
-  more pairs are left open than there are nodes, and end at ``STAR_ROUNDS``;
-* then every pair of different components that the bound allows meets in the first band it
-  shares; its sketches are compared, and if they agree nearly enough, the full sets.
+  more pairs are left open than there are nodes and a round closes half of them, and end at ``STAR_ROUNDS``;
+* then every pair of different components that the bound allows meets in the bands it shares; its
+  sketches are compared, and if they agree nearly enough, the full sets. Sketches travel as
+  planes of bits, so a comparison is a few words of arithmetic in compiled code.
 
 A pair with the similarity of 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7, and its sketches look too different
 about as rarely. Every
@@ -32,6 +33,8 @@ are kept, since nothing tells them apart.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,6 +52,8 @@ STAR_ROUNDS = 8
 PAIRS_PER_NODE = 1
 #: Pairs of texts that a task holds as Python values at a time.
 SLICE_PAIRS = 128
+#: Texts and sets that a task keeps for the pairs to come: a text of a large group meets many others.
+HELD_BYTES = 16 << 20
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> list[np.ndarray]:
@@ -89,6 +94,15 @@ def sketches(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
+def _planes(low: np.ndarray) -> np.ndarray:
+    """Bytes of coordinates as planes of bits: eight numbers, one for each bit, for every 64 coordinates."""
+    n, t = low.shape
+    padded = np.zeros((n, -(-t // 64) * 64), dtype=np.uint8)
+    padded[:, :t] = low
+    bits = (padded.reshape(n, -1, 1, 64) >> np.arange(8, dtype=np.uint8)[:, None]) & 1
+    return np.packbits(bits, axis=-1).reshape(n, -1).view(np.int64)
+
+
 def _emit_sketches(bands: int, rows: int, k: int):
     weights = mix(np.arange(1, rows + 1, dtype=U)) | U(1)
 
@@ -102,8 +116,8 @@ def _emit_sketches(bands: int, rows: int, k: int):
                 both = np.array(sums, dtype=U).reshape(-1, 2)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(signed(keys.reshape(-1))))
-                low = (mix(got) & U(255)).astype(np.uint8).view(np.int8).reshape(-1)
-                digits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands * rows), pa.array(low))
+                low = _planes((mix(got) & U(255)).astype(np.uint8).reshape(len(sets), -1))
+                digits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * low.shape[1]), pa.array(low.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(sets)), pa.array(n), pa.array(signed(both[:, 0].copy())), pa.array(signed(both[:, 1].copy())), lists, digits],
                     names=["doc_id", "n_shingles", "s1", "s2", "bands", "digits"],
@@ -143,13 +157,11 @@ def _alike(coordinates: int, percent: int) -> Column:
     wanted similarity does but for 5.5 standard deviations."""
     p = percent / 100
     least = int(coordinates * p - 5.5 * (coordinates * p * (1 - p)) ** 0.5)
-    return F.size(F.filter(F.zip_with("digits", "bdigits", lambda x, y: x == y), lambda same: same)) >= least
-
-
-def _first_meeting() -> Column:
-    """Whether this bucket is the first band that two nodes share: they meet once, not in every band."""
-    at = F.array_position(F.zip_with("bands", "bbands", lambda x, y: x == y), True)
-    return F.get("bands", (at - 1).cast("int")) == F.col("key")
+    differ = []
+    for at in range(0, -(-coordinates // 64) * 8, 8):
+        planes = [F.get("digits", F.lit(i)).bitwiseXOR(F.get("bdigits", F.lit(i))) for i in range(at, at + 8)]
+        differ.append(F.bit_count(reduce(Column.bitwiseOR, planes)))
+    return reduce(Column.__add__, differ) <= coordinates - least
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
@@ -163,12 +175,16 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int =
 
     def work(batches):
         held: dict[bytes, np.ndarray] = {}
+        size = 0
 
         def one(text: bytes) -> np.ndarray:
+            nonlocal size
             if text not in held:
-                if len(held) > 256:
+                if size > HELD_BYTES:
                     held.clear()
+                    size = 0
                 held[text] = shingle_sets(Block(0, [text]), k)[0]
+                size += len(text) + held[text].nbytes
             return held[text]
 
         def rows(batch):
@@ -195,7 +211,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     """One row for every row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (``doc_id`` is the component's)."""
     ship_code(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, digits array<tinyint>"
+    kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, digits array<long>"
     sketched = stored(plain.mapInArrow(_emit_sketches(bands, rows, k), kind), "sketch")
     sets = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     sets = stored(sets, "sets")
@@ -213,11 +229,12 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
 
     bounds = stored(_bounds(texts, percent, k), "bounds")
     rest = stored(members.join(bounds, "node"), "members")
-    digits = stored(nodes.join(bounds.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "bands", "digits"), "digits")
+    digits = stored(nodes.join(bounds.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "digits"), "digits")
     alike = _alike(bands * rows, percent)
     links = stored(same.where("a <> b"), "links")
     none = docs.sparkSession.createDataFrame([], "node long, root long")
     roots = none if links.isEmpty() else stored(components(links), "roots")
+    before = float("inf")
     for turn in range(STAR_ROUNDS + 1):
         named = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         per_root = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
@@ -226,15 +243,16 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
         left = mixed.agg(F.sum((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("p")).first()["p"] or 0
         if not left:
             break
-        last = turn == STAR_ROUNDS or turn > 0 and left <= PAIRS_PER_NODE * total
+        last = turn == STAR_ROUNDS or turn > 0 and (left <= PAIRS_PER_NODE * total or 2 * left > before)
+        before = left
         # a bucket inside one component never opens again: later rounds read the rows left here
         open_ = stored(named.join(mixed.select("key"), "key"), "members")
         drop_stored(rest)
         rest = open_.drop("root")
         if last:
             open_ = open_.join(digits, "node")
-            other = open_.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("bands", "bbands"), ("digits", "bdigits"))])
-            likely = _possible(percent) & alike & _first_meeting()
+            other = open_.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("digits", "bdigits"))])
+            likely = _possible(percent) & alike
             pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely).select(F.col("node").alias("a"), "b").distinct()
         else:
             # first the member with the smallest share of shingles of its own, then others
@@ -242,7 +260,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
             heads = open_.groupBy("key").agg(*[F.min_by(c, draw).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"))])
             met = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select("node", "b").distinct()
             # the sketches tell most pairs apart: only the others move their texts
-            met = met.join(digits.select("node", "digits"), "node").join(digits.select(F.col("node").alias("b"), F.col("digits").alias("bdigits")), "b").where(alike)
+            met = met.join(digits, "node").join(digits.select(F.col("node").alias("b"), F.col("digits").alias("bdigits")), "b").where(alike)
             pairs = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         found = stored(similar(pairs, texts, percent, k), "found")
         links = links.unionAll(found)
