@@ -1,39 +1,36 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding.
 
 A text is cut by the vocabulary's pattern, every match is encoded alone. Only distinct words are
-encoded, once each for the whole corpus, by Spark's higher-order functions: the state is the
-array of pieces and the ranks of neighbouring pairs; a step joins the leftmost pair of the
-smallest rank and looks up the two new neighbours. Bytes are carried as characters of the same
-number (ISO 8859-1), so pieces are strings and can be keys. The rank map is a literal: an array
-of small maps picked by CRC-32, since a Spark map is searched from its front.
+encoded, once each for the whole corpus, in the task of their shard: the pair of neighbouring pieces
+of the smallest rank, leftmost first, is joined until no pair has a rank. The pairs wait in a heap.
 
 ``tokenized`` cuts the texts once. It writes blocks: the distinct words of some documents, dealt
 to shards by a hash, and each document as numbers of its block's words. A shard gathers the
-words of all blocks, each is encoded once, and every block gets back the ids of its words in the
-order it sent them; then its documents get theirs. Blocks are bounded by bytes of text (a longer
+words of all blocks, encodes each once, and sends every block the ids of its words in the
+order it sent them; then its documents get theirs. So words travel once, and only blocks are stored. Blocks are bounded by bytes of text (a longer
 text is a block alone), so nothing grows with the corpus but the number of rows. Lists travel
 packed and compressed.
 
 Defined results: null and empty texts have no tokens; ids and repeated rows are passed through.
-A word of n bytes takes n steps over at most n pieces.
+A word of n bytes takes about n log n steps.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
+import heapq
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.common import block_count, ship_code, stored
 
 BLOCK_BYTES = 32 << 20
-SLOTS = 1 << 14
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,51 +38,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """``ranks`` as one literal, array<map<string,int>>; folded once when the query is optimized."""
-    table: list[dict[str, int]] = [{} for _ in range(slots)]
-    for token, rank in ranks.items():
-        key = token.decode("latin-1")
-        table[zlib.crc32(key.encode()) % slots][key] = rank
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
-
-
-def encode(word: Column, ranks: dict[bytes, int], slots: int = SLOTS) -> Column:
-    """The token ids of one word as array<int>."""
-
-    def within(table: Column) -> Column:
-        def rank(pair: Column) -> Column:
-            return table[(F.crc32(pair.cast("binary")) % slots).cast("int")][pair]
-
-        def step(state: Column, _: Column) -> Column:
-            def merged(best: Column) -> Column:
-                p, r = state["p"], state["r"]
-                i = F.array_position(r, best).cast("int")  # from 1
-                n = F.size(p)
-
-                def put(new: Column) -> Column:
-                    before = F.when(i > 1, F.array(rank(F.concat(p[F.greatest(i - 2, F.lit(0))], new)))).otherwise(F.array().cast("array<int>"))
-                    after = F.when(i + 1 < n, F.array(rank(F.concat(new, p[F.least(i + 1, n - 1)])))).otherwise(F.array().cast("array<int>"))
-                    return F.struct(
-                        F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                        F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, n)).alias("r"),
-                    )
-
-                return F.transform(F.array(F.concat(p[i - 1], p[i])), put)[0]
-
-            return F.transform(F.array(F.array_min(state["r"])), lambda best: F.when(best.isNull(), state).otherwise(merged(best)))[0]
-
-        def fold(pieces: Column) -> Column:
-            pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: rank(F.concat(a, b)))
-            start = F.struct(pieces.alias("p"), pairs.alias("r"))
-            steps = F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1)))
-            done = F.aggregate(steps, start, step, lambda s: F.transform(s["p"], rank))
-            whole = rank(F.array_join(pieces, ""))
-            return F.transform(F.array(whole), lambda w: F.when(w.isNotNull(), F.array(w)).otherwise(done))[0]
-
-        return F.transform(F.array(F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))), fold)[0]
-
-    return F.transform(F.array(rank_literal(ranks, slots)), within)[0]
+def encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The token ids of one word."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # the pieces beside the one that starts here; after is 0 where none starts
+    pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, end = heapq.heappop(pairs)
+        j = after[i]
+        if not j or j >= n or after[j] != end:
+            continue  # one of the two was joined with another piece
+        after[i], after[j] = end, 0
+        if end < n:
+            before[end] = i
+            if (rank := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(pairs, (rank, i, after[end]))
+        if i and (rank := ranks.get(word[before[i] : end])) is not None:
+            heapq.heappush(pairs, (rank, before[i], end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -168,28 +146,27 @@ def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLO
     return docs.select("row", "text").mapInArrow(work, TOKENIZED)
 
 
-def _distinct_words(table: pa.Table) -> pa.Table:
-    """The words of a shard, once each."""
-    words: set[bytes] = set()
-    for raw in table.column("words").to_pylist():
-        words.update(_unpack_words(raw))
-    listed = pa.array(sorted(words), pa.binary()).cast(pa.string())
-    return pa.table([pa.array([table.column("shard")[0].as_py()] * len(listed), pa.int32()), listed], names=["at", "word"])
-
-
-def _answer(lists: pa.Table, known: pa.Table) -> pa.Table:
-    """The token ids of every block's words, in the block's order."""
-    codes = known.column("codes").combine_chunks()
-    flat, ends = codes.flatten().to_numpy(), codes.offsets.to_numpy()
-    ends = ends - ends[0]
-    place = {w: i for i, w in enumerate(known.column("word").cast(pa.binary()).to_pylist())}
-    sizes, tokens = [], []
-    for raw in lists.column("words").to_pylist():
-        at = np.array([place[w] for w in _unpack_words(raw)], dtype=np.int64)
-        count = ends[at + 1] - ends[at]
-        sizes.append(_pack(count))
-        tokens.append(_pack(flat[np.repeat(ends[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]))
-    return pa.table([lists.column("block"), lists.column("ids"), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["of", "ids", "sizes", "tokens"])
+def _answer(ranks: dict[bytes, int]):
+    def work(lists: pa.Table) -> pa.Table:
+        """The token ids of every block's words, in the block's order; each word is encoded once."""
+        place: dict[bytes, int] = {}
+        asked = [np.array([place.setdefault(w, len(place)) for w in _unpack_words(raw)], dtype=np.int32) for raw in lists.column("words").to_pylist()]
+        flat, size = array("i"), array("i")
+        for word in place:
+            ids = encode(word, ranks)
+            flat.extend(ids)
+            size.append(len(ids))
+        del place
+        codes, sizes_ = np.frombuffer(flat, np.int32), np.frombuffer(size, np.int32)
+        first = np.cumsum(sizes_, dtype=np.int64) - sizes_
+        sizes, tokens = [], []
+        for at in asked:
+            count = sizes_[at]
+            sizes.append(_pack(count))
+            tokens.append(_pack(codes[np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]))
+        return pa.table([lists.column("block"), lists.column("ids"), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["of", "ids", "sizes", "tokens"])
+
+    return work
 
 
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
@@ -206,9 +183,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     shards = block_count(docs, F.octet_length("text"), block_bytes)
     blocks = stored(tokenized(docs, pattern, shards, block_bytes), "bpe-blocks")
     lists = blocks.where("shard IS NOT NULL").select("shard", "block", "words", "ids")
-    words = lists.select("shard", "words").groupBy("shard").applyInArrow(_distinct_words, "at int, word string")
-    codes = stored(words.select("at", "word", encode(F.col("word"), ranks).alias("codes")), "bpe-words")
-    found = lists.groupBy("shard").cogroup(codes.groupBy("at")).applyInArrow(_answer, "of long, ids binary, sizes binary, tokens binary")
+    found = lists.groupBy("shard").applyInArrow(_answer(ranks), "of long, ids binary, sizes binary, tokens binary")
     texts = blocks.where("shard IS NULL").select("block", "row", "refs")
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
