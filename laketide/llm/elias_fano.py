@@ -12,6 +12,12 @@ for _b in range(256):
         _SELECT[_b, _r] = _p
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order. By sorting: numpy's ``unique`` hashes large arrays, which took much longer."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary, found by select over a byte directory."""
 
@@ -81,7 +87,7 @@ class Trie:
         contexts = [context]
         for j in range(1, levels + 1):
             shift = np.uint64(8 * (levels - j))
-            level = np.unique(strings[depth >= j] >> shift)
+            level = distinct(strings[depth >= j] >> shift)
             own, below = np.zeros(len(level), dtype=np.uint16), np.zeros(len(level), dtype=np.uint16)
             here, deeper = depth == j, depth == j + 1
             own[np.searchsorted(level, strings[here] >> shift)] = payload[here]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, blocks, mix, text_bytes, word_hashes
 from laketide.llm.common import block_count, ship_code, stored
-from laketide.llm.elias_fano import Trie
+from laketide.llm.elias_fano import Trie, distinct
 
 ORDER = 6
 #: Bytes of text of a block; there are as many shards as blocks, so it also bounds what a shard merges.
@@ -102,6 +102,16 @@ class Grams:
         self.words[inner] = hashes
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and for each entry the place of its value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(x) else np.zeros(0, dtype=bool)
+    place = np.empty(len(x), dtype=np.int32)
+    place[order] = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    return ordered[first], place
+
+
 def _levels(top: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each order from the highest down: its distinct n-grams, and for each of the next higher order its place among them."""
     levels = [(top, np.zeros(0, dtype=np.int64))]
@@ -151,7 +161,7 @@ def _emit(order: int, shards: int):
         grams, listed = [], []
         for first, part in _slices(texts, order):
             use = train[first : first + len(part.places) - 1]
-            top, words = np.unique(part.codes), np.unique(part.words)
+            top, words = distinct(part.codes), distinct(part.words)
             grams.append((top, _counts(top, part.codes[np.repeat(use, np.diff(part.places))])))
             listed.append((words, _counts(words, part.words[np.repeat(use, np.diff(part.word_places))])))
         (top, learned), (words, word_counts) = _add_up(grams), _add_up(listed)
@@ -266,8 +276,9 @@ SCORES = "row long, held_out boolean, n_tokens long, n_known long, base_score do
 def _score(order: int, shards: int, tokens: int, types: int):
     def work(docs: pa.Table, answers: pa.Table) -> pa.Table:
         texts = text_bytes(docs.column("text").combine_chunks(), lower=True)
-        tops, listed = zip(*[(np.unique(g.codes), np.unique(g.words)) for _, g in _slices(texts, order)], strict=True)
-        top, words = np.unique(np.concatenate(tops)), np.unique(np.concatenate(listed))
+        # each slice keeps its distinct values and numbers of these, so it is cut and sorted once
+        held = [(_numbered(g.codes), _numbered(g.words), g.word_places) for _, g in _slices(texts, order)]
+        top, words = distinct(np.concatenate([g[0] for g, _, _ in held])), distinct(np.concatenate([w[0] for _, w, _ in held]))
         levels, _, (gram_order, _), (word_order, _) = _asked(top, words, order, shards)
         answers = answers.sort_by("shard")
         own, parent = np.empty(len(gram_order), np.uint16), np.empty(len(gram_order), np.uint16)
@@ -284,22 +295,20 @@ def _score(order: int, shards: int, tokens: int, types: int):
             p = _VALUE[own[part]] + np.where(parent[part] > 0, _VALUE[parent[part]], 1.0) * below
         bits = np.log10(p)
         out: list[list[np.ndarray]] = [[], [], [], []]
-        for _, block in _slices(texts, order):
-            place = np.searchsorted(top, block.codes)
-            last = block.codes & U(255)
-            ends_word = np.flatnonzero((last == U(32)) | (last == U(END)))
-            spelled = np.add.reduceat(bits[place], np.concatenate(([0], ends_word[:-1] + 1)))
-            n = counts[np.searchsorted(words, block.words)]
+        for (grams, gram_place), (listed, word_place), word_places in held:
+            last = grams & U(255)
+            ends_word = np.flatnonzero(((last == U(32)) | (last == U(END)))[gram_place])
+            spelled = np.add.reduceat(bits[np.searchsorted(top, grams)][gram_place], np.concatenate(([0], ends_word[:-1] + 1)))
+            n = counts[np.searchsorted(words, listed)][word_place]
             base = np.log10((n + 0.1) / (tokens + 0.1 * (types + 1)))
             # a token is spelled by the trie or drawn from the word counts, at even odds; all unseen words share what is left there
             drawn = np.where(n > 0, base, base + spelled)
             high, low = np.maximum(spelled, drawn), np.minimum(spelled, drawn)
             token = high + np.log10(0.5 + 0.5 * 10.0 ** np.maximum(low - high, -300.0))
-            at = block.word_places[:-1]
-            for o, v in zip(out, (np.diff(block.word_places), np.add.reduceat((n > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(token, at)), strict=True):
+            at = word_places[:-1]
+            for o, v in zip(out, (np.diff(word_places), np.add.reduceat((n > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(token, at)), strict=True):
                 o.append(v)
-        held = pa.compute.invert(docs.column("train"))
-        columns = [docs.column("row"), held, *[pa.array(np.concatenate(o)) for o in out]]
+        columns = [docs.column("row"), pa.compute.invert(docs.column("train")), *[pa.array(np.concatenate(o)) for o in out]]
         return pa.table(columns, names=["row", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return work
