@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 from laketide.llm.common import block_count, ship_code, stored
 
 BLOCK_BYTES = 32 << 20
+#: Words of documents that are packed together.
+PACK_WORDS = 1 << 16
+LEVEL = 6
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,17 +70,24 @@ def encode(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Numbers as compressed planes of equal weight."""
-    return zlib.compress(np.ascontiguousarray(x, dtype=np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """Numbers from 0 on, compressed: a byte for each, 255 for larger ones, whose rest follows as planes of equal weight."""
+    small = np.minimum(x, 255).astype(np.uint8)
+    rest = np.ascontiguousarray(x[x >= 255] - 255, dtype=np.int32).view(np.uint8).reshape(-1, 4)
+    return zlib.compress(len(x).to_bytes(4, "little") + small.tobytes() + rest.T.tobytes(), LEVEL)
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).reshape(-1).view(np.int32)
+    raw = zlib.decompress(raw)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, n, 4).astype(np.int32)
+    rest = np.frombuffer(raw, np.uint8, -1, 4 + n).reshape(4, -1).T
+    out[out == 255] += np.ascontiguousarray(rest).reshape(-1).view(np.int32)
+    return out
 
 
 def _pack_words(words: list[bytes]) -> bytes:
     size = np.fromiter(map(len, words), np.int32, len(words))
-    return zlib.compress(len(words).to_bytes(4, "little") + size.tobytes() + b"".join(words), 1)
+    return zlib.compress(len(words).to_bytes(4, "little") + size.tobytes() + b"".join(words), LEVEL)
 
 
 def _unpack_words(raw: bytes) -> list[bytes]:
@@ -87,13 +97,13 @@ def _unpack_words(raw: bytes) -> list[bytes]:
     return [raw[i:j] for i, j in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)] if n else []
 
 
-TOKENIZED = "block long, row long, refs binary, shard int, words binary, ids binary"
+TOKENIZED = "block long, rows array<long>, sizes binary, refs binary, shard int, words binary, ids binary"
 
 
 def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of ``docs`` (``row``, ``text``): a row for each document, its words as numbers of the
+    """Blocks of ``docs`` (``row``, ``text``): rows of some documents each, their words as numbers of the
     block (frequent words have small ones), and a row for each shard with the block's words and
-    their numbers."""
+    their numbers. Documents are packed together, since a short one alone compresses badly."""
 
     def work(batches):
         import regex
@@ -113,22 +123,26 @@ def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLO
             rank[order] = np.arange(len(words), dtype=np.int32)
             raw = [w.encode() for w in words]
             dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(shards)]
-            for i in order.tolist():
+            for i in sorted(range(len(raw)), key=raw.__getitem__):  # words beside like ones compress best
                 listed, ids = dealt[zlib.crc32(raw[i]) % shards]
                 listed.append(raw[i])
                 ids.append(int(rank[i]))
             some = [s for s, (listed, _) in enumerate(dealt) if listed]
-            n, m = len(held), len(some)
+            size = np.fromiter(map(len, refs), np.int64, len(refs))
+            packs = np.flatnonzero(np.diff(np.cumsum(size) // PACK_WORDS, prepend=-1)).tolist()  # the first documents of packs
+            packs = list(zip(packs, [*packs[1:], len(refs)], strict=True))
+            n, m = len(packs), len(some)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number] * (n + m), pa.int64()),
-                    pa.array([row for row, _ in held] + [None] * m, pa.int64()),
-                    pa.array([_pack(rank[r]) for r in refs] + [None] * m, pa.binary()),
+                    pa.array([[row for row, _ in held[a:b]] for a, b in packs] + [None] * m, pa.list_(pa.int64())),
+                    pa.array([_pack(size[a:b]) for a, b in packs] + [None] * m, pa.binary()),
+                    pa.array([_pack(rank[np.concatenate(refs[a:b])]) for a, b in packs] + [None] * m, pa.binary()),
                     pa.array([None] * n + some, pa.int32()),
                     pa.array([None] * n + [_pack_words(dealt[s][0]) for s in some], pa.binary()),
                     pa.array([None] * n + [_pack(np.array(dealt[s][1])) for s in some], pa.binary()),
                 ],
-                names=["block", "row", "refs", "shard", "words", "ids"],
+                names=["block", "rows", "sizes", "refs", "shard", "words", "ids"],
             )
 
         held, size = [], 0
@@ -184,7 +198,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     blocks = stored(tokenized(docs, pattern, shards, block_bytes), "bpe-blocks")
     lists = blocks.where("shard IS NOT NULL").select("shard", "block", "words", "ids")
     found = lists.groupBy("shard").applyInArrow(_answer(ranks), "of long, ids binary, sizes binary, tokens binary")
-    texts = blocks.where("shard IS NULL").select("block", "row", "refs")
+    texts = blocks.where("shard IS NULL").select("block", "rows", "sizes", "refs")
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
@@ -196,10 +210,14 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
         count = np.zeros(len(ids_), dtype=np.int64)
         first = np.zeros(len(ids_), dtype=np.int64)
         count[ids_], first[ids_] = sizes_, np.cumsum(sizes_) - sizes_
-        rows = left.column("row")
-        ids, sizes, shas, backs = [], [], [], []
-        for refs in left.column("refs").to_pylist():
-            r = _unpack(refs)
+        rows, ids, sizes, shas, backs = [], [], [], [], []
+
+        def each():
+            for some, size, refs in zip(*(left.column(c).to_pylist() for c in ("rows", "sizes", "refs")), strict=True):
+                rows.extend(some)
+                yield from np.split(_unpack(refs), np.cumsum(_unpack(size))[:-1])
+
+        for r in each():
             c = count[r]
             total = int(c.sum())
             at = np.repeat(first[r] - np.concatenate(([0], np.cumsum(c)[:-1])) if len(r) else first[r], c) + np.arange(total)
@@ -211,8 +229,8 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
             else:
                 ids.append(tokens)
         if digest:
-            return pa.table([rows, pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
-        return pa.table([rows, pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
+            return pa.table([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())], names=["row", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.table([pa.array(rows, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["row", "ids"])
 
     kind = "row long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "row long, ids array<int>"
     return texts.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(assemble, kind)
