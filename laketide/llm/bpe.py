@@ -102,8 +102,8 @@ TOKENIZED = "block long, rows array<long>, sizes binary, refs binary, shard int,
 
 def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of ``docs`` (``row``, ``text``): rows of some documents each, their words as numbers of the
-    block (frequent words have small ones), and a row for each shard with the block's words and
-    their numbers. Documents are packed together, since a short one alone compresses badly."""
+    block (frequent words have small ones), and a row for each shard with the block's words. The
+    first row of documents has the numbers of these words, shard after shard. Documents are packed together, since a short one alone compresses badly."""
 
     def work(batches):
         import regex
@@ -122,12 +122,11 @@ def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLO
             rank = np.empty(len(words), dtype=np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
             raw = [w.encode() for w in words]
-            dealt: list[tuple[list[bytes], list[int]]] = [([], []) for _ in range(shards)]
+            dealt: list[list[int]] = [[] for _ in range(shards)]
             for i in sorted(range(len(raw)), key=raw.__getitem__):  # words beside like ones compress best
-                listed, ids = dealt[zlib.crc32(raw[i]) % shards]
-                listed.append(raw[i])
-                ids.append(int(rank[i]))
-            some = [s for s, (listed, _) in enumerate(dealt) if listed]
+                dealt[zlib.crc32(raw[i]) % shards].append(i)
+            some = [s for s, listed in enumerate(dealt) if listed]
+            ids = rank[np.array([i for s in some for i in dealt[s]], dtype=np.int64)]
             size = np.fromiter(map(len, refs), np.int64, len(refs))
             packs = np.flatnonzero(np.diff(np.cumsum(size) // PACK_WORDS, prepend=-1)).tolist()  # the first documents of packs
             packs = list(zip(packs, [*packs[1:], len(refs)], strict=True))
@@ -139,8 +138,8 @@ def tokenized(docs: DataFrame, pattern: str, shards: int, block_bytes: int = BLO
                     pa.array([_pack(size[a:b]) for a, b in packs] + [None] * m, pa.binary()),
                     pa.array([_pack(rank[np.concatenate(refs[a:b])]) for a, b in packs] + [None] * m, pa.binary()),
                     pa.array([None] * n + some, pa.int32()),
-                    pa.array([None] * n + [_pack_words(dealt[s][0]) for s in some], pa.binary()),
-                    pa.array([None] * n + [_pack(np.array(dealt[s][1])) for s in some], pa.binary()),
+                    pa.array([None] * n + [_pack_words([raw[i] for i in dealt[s]]) for s in some], pa.binary()),
+                    pa.array([_pack(ids)] + [None] * (n - 1 + m), pa.binary()),
                 ],
                 names=["block", "rows", "sizes", "refs", "shard", "words", "ids"],
             )
@@ -178,7 +177,7 @@ def _answer(ranks: dict[bytes, int]):
             count = sizes_[at]
             sizes.append(_pack(count))
             tokens.append(_pack(codes[np.repeat(first[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]))
-        return pa.table([lists.column("block"), lists.column("ids"), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["of", "ids", "sizes", "tokens"])
+        return pa.table([lists.column("block"), lists.column("shard"), pa.array(sizes, pa.binary()), pa.array(tokens, pa.binary())], names=["of", "shard", "sizes", "tokens"])
 
     return work
 
@@ -196,16 +195,17 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     ship_code(docs.sparkSession)
     shards = block_count(docs, F.octet_length("text"), block_bytes)
     blocks = stored(tokenized(docs, pattern, shards, block_bytes), "bpe-blocks")
-    lists = blocks.where("shard IS NOT NULL").select("shard", "block", "words", "ids")
-    found = lists.groupBy("shard").applyInArrow(_answer(ranks), "of long, ids binary, sizes binary, tokens binary")
-    texts = blocks.where("shard IS NULL").select("block", "rows", "sizes", "refs")
+    lists = blocks.where("shard IS NOT NULL").select("shard", "block", "words")
+    found = lists.groupBy("shard").applyInArrow(_answer(ranks), "of long, shard int, sizes binary, tokens binary")
+    texts = blocks.where("shard IS NULL").select("block", "rows", "sizes", "refs", "ids")
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [str(i) for i in range(len(pieces))]
-        parts = [[_unpack(x) for x in right.column(c).to_pylist()] for c in ("ids", "sizes", "tokens")]
+        right = right.sort_by("shard")
+        parts = [[_unpack(x) for x in some.column(c).to_pylist() if x is not None] for some, c in ((left, "ids"), (right, "sizes"), (right, "tokens"))]
         ids_, sizes_, flat = (np.concatenate(p) if p else np.zeros(0, np.int32) for p in parts)
         count = np.zeros(len(ids_), dtype=np.int64)
         first = np.zeros(len(ids_), dtype=np.int64)
