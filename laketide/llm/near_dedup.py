@@ -18,9 +18,11 @@ band share a bucket. Links are found without all pairs of a bucket:
   enough, the full sets; linked nodes become one component, and buckets
   inside one component are finished, so groups of near copies collapse here. Rounds go on while
   more pairs are left open than there are nodes and a round closes half of them, and end at ``STAR_ROUNDS``;
-* then every pair of different components that the bound allows meets in the bands it shares; its
-  sketches are compared, and if they agree nearly enough, the full sets. Sketches travel as
-  planes of bits, so a comparison is a few words of arithmetic in compiled code.
+* then every pair of different components that the bound allows meets in the buckets of up to
+  ``FEW`` members that it shares; its sketches are compared, and if they agree nearly enough, the
+  full sets. Sketches travel as planes of bits, so a comparison is a few words of arithmetic in compiled code.
+* Larger buckets are not taken pair by pair: there, what tells a member from the shingles common to
+  its group is compared (see ``_meeting``), an exact filter that near copies just too different do not pass.
 
 A pair with the similarity of 0.8 shares no band with probability (1 - 0.8**5)**40 = 1e-7, and its sketches look too different
 about as rarely. Every
@@ -50,6 +52,8 @@ ROWS = 5
 PERCENT = 80
 STAR_ROUNDS = 8
 PAIRS_PER_NODE = 1
+#: Members of a bucket that are taken pair by pair after the star rounds.
+FEW = 16
 #: Pairs of texts that a task holds as Python values at a time.
 SLICE_PAIRS = 128
 #: Texts and sets that a task keeps for the pairs to come: a text of a large group meets many others.
@@ -164,6 +168,71 @@ def _alike(coordinates: int, percent: int) -> Column:
     return reduce(Column.__add__, differ) <= coordinates - least
 
 
+def _meeting(many: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs (node, b) of different components in large buckets (key, node, root, n, a) that may be linked; no link is lost.
+
+    Buckets with common members are one family. Its base is the set of shingles that more than half
+    of its texts have, and d(x) the set of shingles that only one of x and the base has. Texts x and y
+    are linked if and only if s * |x - y| <= r * (|x| + |y|), with s = 100 + percent, r = 100 - percent
+    and |x - y| = |d(x)| + |d(y)| - 2 * |d(x) & d(y)|. So with e(x) = s * |d(x)| - r * |x| they
+    need e(x) + e(y) <= 2 * s * |d(x) & d(y)|. Where e(x) + e(y) <= 0, both are linked with the text of the
+    smallest e, and meet it alone. All others must share so many entries of d that they share one of
+    the rarest: of the first |d(x)| - (what x shares at least) + 1 by frequency in the family.
+    """
+    s, r = 100 + percent, 100 - percent
+
+    def work(batches):
+        for batch in batches:
+            bases = batch.column(4)
+            for block in blocks(text_bytes(batch.column(3), lower=True)):
+                sets = shingle_sets(block, k)
+                base = [bases[block.first + i].values for i in range(len(sets))]
+                base = [np.zeros(0, U) if b is None else b.to_numpy().view(U) for b in base]
+                got = [(np.setxor1d(x, b, assume_unique=True), len(x)) for x, b in zip(sets, base, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).slice(block.first, len(sets)) for i in range(3)], pa.array([n for _, n in got], pa.int64()), pa.array([signed(d) for d, _ in got], pa.list_(pa.int64()))],
+                    names=["family", "node", "t", "size", "d"],
+                )
+
+    edges = many.groupBy("key").agg(F.min("node").alias("lo")).join(many.select("key", "node"), "key").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+    family = components(edges).select("node", F.col("root").alias("family"))
+    units = stored(texts.join(family, "node").select("family", "node", F.xxhash64("text").alias("t"), "text"), "units")
+    kind = "family long, node long, t long, size long, d array<long>"
+    plain = units.withColumn("base", F.array().cast("array<long>")).mapInArrow(work, kind)
+    common = plain.select("family", F.explode("d").alias("gram")).groupBy("family", "gram").agg(F.count("*").alias("c"))
+    half = units.groupBy("family").agg((F.count("*") / 2).alias("half"))
+    base = common.join(half, "family").where("c > half").groupBy("family").agg(F.collect_list("gram").alias("base"))
+    own = units.join(base, "family", "left").select("family", "node", "t", "text", "base").mapInArrow(work, kind)
+    of = many.select("node", "root", "n", "a").distinct()
+    own = stored(own.withColumn("e", s * F.size("d") - r * F.col("size")).join(of, "node"), "units")
+    drop_stored(units)
+
+    first = own.groupBy("family").agg(F.min(F.struct("e", "node", "t", "root")).alias("x"))
+    first = first.select("family", *[F.col(f"x.{c}").alias(f"{c}0") for c in ("e", "node", "t", "root")])
+    core = (F.col("e") + F.col("e0") <= 0) | ((F.col("node") == F.col("node0")) & (F.col("t") == F.col("t0")))
+    placed = own.join(first, "family").withColumn("core", core)
+    beyond = placed.where("NOT core").groupBy("family").agg(F.min("e").alias("e1"))
+    sure = placed.where("core AND root <> root0").select("node", F.col("node0").alias("b"))
+
+    share = F.ceil((F.col("e") + F.when(F.col("core"), F.col("e1")).otherwise(F.col("e0"))) / (2 * s))
+    asked = placed.join(beyond, "family").withColumn("depth", F.size("d") - share + 1).where("depth > 0")
+    entries = own.select("family", "node", "t", F.explode("d").alias("gram"))
+    often = entries.groupBy("family", "gram").agg(F.count("*").alias("f")).where("f > 1")
+    # entries that no other text of the family has come first in the order and meet nobody
+    ordered = entries.join(often, ["family", "gram"]).groupBy("family", "node", "t").agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("seen"))
+    met = asked.join(ordered, ["family", "node", "t"]).withColumn("alone", F.size("d") - F.size("seen")).where("depth > alone")
+    rare = F.posexplode(F.slice("seen", F.lit(1), (F.col("depth") - F.col("alone")).cast("int"))).alias("at", "entry")
+    met = met.select("family", "node", "root", "n", "a", "e", (F.size("d") - F.col("alone")).alias("left"), rare)
+    met = stored(met.select("family", F.col("entry.gram").alias("gram"), "node", "root", "n", "a", "e", (F.col("left") - F.col("at")).alias("left")), "met")
+    other = met.select("family", "gram", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("e", "be"), ("left", "bleft"))])
+    enough = 2 * s * F.least("left", "bleft") >= F.col("e") + F.col("be")
+    near = met.join(other, ["family", "gram"]).where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & _possible(percent) & enough).select("node", "b")
+    pairs = stored(sure.unionAll(near).distinct(), "pairs")
+    drop_stored(own)
+    drop_stored(met)
+    return pairs
+
+
 def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -207,8 +276,13 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, k: int =
     return joined.mapInArrow(work, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
+def groups(docs: DataFrame, **options) -> DataFrame:
     """One row for every row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (``doc_id`` is the component's)."""
+    return _grouped(docs, **options)[0]
+
+
+def _grouped(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups, and the stored tables that they still read."""
     ship_code(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, digits array<long>"
@@ -229,14 +303,20 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
 
     bounds = stored(_bounds(texts, percent, k), "bounds")
     rest = stored(members.join(bounds, "node"), "members")
+    drop_stored(members)
     digits = stored(nodes.join(bounds.select(F.col("node").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("node"), "digits"), "digits")
     alike = _alike(bands * rows, percent)
     links = stored(same.where("a <> b"), "links")
     none = docs.sparkSession.createDataFrame([], "node long, root long")
     roots = none if links.isEmpty() else stored(components(links), "roots")
+    drop_stored(bounds)
     before = float("inf")
     for turn in range(STAR_ROUNDS + 1):
         named = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if turn:  # read twice, and the join may move every row
+            named = stored(named, "members")
+            drop_stored(rest)
+            rest = named
         per_root = named.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
         mixed = per_root.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).where("k > 1")
         mixed = stored(mixed, "mixed")
@@ -246,32 +326,39 @@ def groups(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
         last = turn == STAR_ROUNDS or turn > 0 and (left <= PAIRS_PER_NODE * total or 2 * left > before)
         before = left
         # a bucket inside one component never opens again: later rounds read the rows left here
-        open_ = stored(named.join(mixed.select("key"), "key"), "members")
+        open_ = stored(named.join(mixed.select("key", "m"), "key"), "members")
         drop_stored(rest)
-        rest = open_.drop("root")
+        drop_stored(mixed)
+        rest = open_.drop("root", "m")
         if last:
-            open_ = open_.join(digits, "node")
-            other = open_.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("digits", "bdigits"))])
+            few = open_.where(F.col("m") <= FEW).join(digits, "node")
+            many = open_.where(F.col("m") > FEW)
+            other = few.select("key", *[F.col(c).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"), ("digits", "bdigits"))])
             likely = _possible(percent) & alike
-            pairs = open_.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely).select(F.col("node").alias("a"), "b").distinct()
+            pairs = few.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & likely).select(F.col("node").alias("a"), "b")
+            met = none.select("node", F.col("root").alias("b")) if many.isEmpty() else _meeting(many, texts, percent, k)
         else:
             # first the member with the smallest share of shingles of its own, then others
             draw = F.struct(F.when(F.lit(turn == 0), 1 - F.col("a") / F.col("n")).otherwise(0.0), F.xxhash64("node", F.lit(turn)))
             heads = open_.groupBy("key").agg(*[F.min_by(c, draw).alias(d) for c, d in (("node", "b"), ("root", "other"), ("n", "bn"), ("a", "ba"))])
             met = open_.join(heads, "key").where((F.col("root") != F.col("other")) & _possible(percent)).select("node", "b").distinct()
-            # the sketches tell most pairs apart: only the others move their texts
-            met = met.join(digits, "node").join(digits.select(F.col("node").alias("b"), F.col("digits").alias("bdigits")), "b").where(alike)
-            pairs = met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            pairs = none.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        # the sketches tell most pairs apart: only the others move their texts
+        met = met.join(digits, "node").join(digits.select(F.col("node").alias("b"), F.col("digits").alias("bdigits")), "b").where(alike)
+        pairs = pairs.unionAll(met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))).distinct()
         found = stored(similar(pairs, texts, percent, k), "found")
         links = links.unionAll(found)
         roots = stored(components(links), "roots")
         if last:
             break
 
+    for done in (rest, texts, digits):
+        drop_stored(done)
     named = sets.join(roots, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component"))
     out = sketched.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    decided = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return decided, [sketched, sets]
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
@@ -279,7 +366,10 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
 
     Of several rows with one id one stays, the first by the hash of its text; rows with a null id all stay.
     """
-    decided = stored(groups(docs, **options), "groups")
+    decided, read = _grouped(docs, **options)
+    decided = stored(decided, "groups")
+    for done in read:
+        drop_stored(done)
     gone = decided.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     many = decided.where("doc_id IS NOT NULL AND kept").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__many"))
     row = docs.select(packed(docs).alias("row"))
