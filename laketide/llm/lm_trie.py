@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laketide.llm.blocks import U, Block, blocks, mix, text_bytes, word_hashes
-from laketide.llm.common import block_count, ship_code, stored
+from laketide.llm.common import block_count, drop_stored, ship_code, stored
 from laketide.llm.elias_fano import Trie, distinct
 
 ORDER = 6
 #: Bytes of text of a block; there are as many shards as blocks, so it also bounds what a shard merges.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 5 << 20
 FAN_IN = 256
 START, END = 254, 255  # never bytes of UTF-8
 END_WORD = U(0)
@@ -56,16 +56,18 @@ def _code(p: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Bytes of the same weight together: sorted numbers then compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    """The number of bytes, then bytes of the same weight together and compressed: sorted numbers shrink well so."""
+    raw = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unplanes(raw: bytes, kind) -> np.ndarray:  # noqa: ANN001
+def _unplanes(sent: bytes, kind) -> np.ndarray:  # noqa: ANN001
     width = np.dtype(kind).itemsize
+    raw = pa.decompress(memoryview(sent)[8:], int.from_bytes(sent[:8], "little"), codec="zstd")
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _slices(texts: list[bytes], order: int):
@@ -240,6 +242,21 @@ def _model(order: int):
     return work
 
 
+#: N-grams that a shard looks up at a time: a block's share may be a few, and each search has a price of its own.
+ASKED = 1 << 18
+
+
+def _batches(grams: pa.ChunkedArray) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``ASKED`` n-grams, one row at least."""
+    at = np.cumsum([0, *[int.from_bytes(g.as_py()[:8], "little") // 8 for g in grams]])
+    out, first = [], 0
+    for i in range(1, len(at)):
+        if i == len(at) - 1 or at[i + 1] - at[first] > ASKED:
+            out.append((first, i))
+            first = i
+    return out
+
+
 ANSWERS = "shard int, block long, own binary, parent binary, word_counts binary"
 
 
@@ -249,20 +266,24 @@ def _answer(order: int):
         trie = _mapped(model.column("levels")[0].as_py()) if len(model) else None
         known = _unplanes(model.column("words")[0].as_py(), U) if len(model) else np.zeros(0, U)
         counts = _unplanes(model.column("word_counts")[0].as_py(), np.int64) if len(model) else np.zeros(0, np.int64)
-        for shard, block, grams, words in zip(*(asked.column(c).to_pylist() for c in ("shard", "block", "grams", "words")), strict=True):
-            keys = _unplanes(grams, U)
-            strings, depth = keys >> U(8), (keys & U(255)).astype(np.int64)
+        for first, stop in _batches(asked.column("grams")):
+            part = asked.slice(first, stop - first)
+            asks = [[_unplanes(part.column(c)[i].as_py(), U) for i in range(len(part))] for c in ("grams", "words")]
+            ends = [np.cumsum([len(a) for a in each])[:-1] for each in asks]
+            keys, w = map(np.concatenate, asks)
+            strings, depth = keys >> U(8), (keys & U(255)).astype(np.uint8)
             own, parent = np.zeros(len(keys), dtype=np.uint16), np.zeros(len(keys), dtype=np.uint16)
             for k in range(1, order + 1):
                 mine = np.flatnonzero(depth == k)
                 if trie is not None and len(mine):
                     own[mine], parent[mine] = trie.find(strings[mine], k, order)
-            w = _unplanes(words, U)
             n = np.zeros(len(w), dtype=np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, w), len(known) - 1)
                 n = np.where(known[at] == w, counts[at], 0)
-            rows.append((shard, block, _planes(own), _planes(parent), _planes(n)))
+            answered = zip(np.split(own, ends[0]), np.split(parent, ends[0]), np.split(n, ends[1]), strict=True)
+            for shard, block, found in zip(part.column("shard").to_pylist(), part.column("block").to_pylist(), answered, strict=True):
+                rows.append((shard, block, *map(_planes, found)))
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "of", "own", "parent", "word_counts"])
@@ -337,6 +358,10 @@ def train_and_score(docs: DataFrame, train: Column, order: int = ORDER, block_by
     model = stored(sums.withColumn("part", F.lit(0).cast("long")).groupBy("shard").applyInArrow(_model(order), MODEL), "lm-model")
     total = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("types"), F.lit(0)).alias("v")).first()
     known = model.select(F.col("shard").alias("at"), "levels", "words", "word_counts")
-    answers = stored(sent.groupBy("shard").cogroup(known.groupBy("at")).applyInArrow(_answer(order), ANSWERS.replace("block", "of")), "lm-answers")
+    # the counts have been added up: a question is the keys alone
+    asked = sent.select("shard", "block", "grams", "words")
+    answers = stored(asked.groupBy("shard").cogroup(known.groupBy("at")).applyInArrow(_answer(order), ANSWERS.replace("block", "of")), "lm-answers")
+    drop_stored(sent)
+    drop_stored(model)
     scored = dealt.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(_score(order, shards, total["n"], total["v"]), SCORES)
     return scored.select("row", "held_out", "n_tokens", "n_known", F.lit(total["n"]).cast("long").alias("train_tokens"), "base_score", "score")
