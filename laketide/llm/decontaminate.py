@@ -25,13 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laketide.llm.blocks import U, Block, blocks, mix, shingles, signed, text_bytes, word_hashes
+from laketide.llm.blocks import U, Block, blocks, mix, shingles, signed, slices, text_bytes, word_hashes
 from laketide.llm.common import packed, ship_code, stored
 
 SHINGLE = 5
 PERCENT = 80
 MINIMA = 64
 FIELD_BITS = 24
+#: Bytes of documents that go to Python together, and of those whose arrays are held at a time: two tasks of an
+#: executor hold these beside a full heap.
+BATCH = 1 << 21
+BLOCK = 1 << 18
 
 _MULTIPLY = mix(np.arange(1, MINIMA + 1, dtype=U)) | U(1)
 _SALT = mix(np.arange(1000, 1000 + MINIMA, dtype=U))
@@ -118,9 +122,9 @@ def _in_field(field: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _emit_hits(k: int, size_classes: list[int], key_field: np.ndarray, gram_field: np.ndarray):
     def work(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, BATCH)):
             ids, marks, all_keys, all_grams = [], [], [], []
-            for block in blocks(text_bytes(batch.column(2), lower=True)):
+            for block in blocks(text_bytes(batch.column(2), lower=True), BLOCK):
                 sets = _sets(block, k)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 owner, keys = window_keys(np.concatenate(sets), sizes, size_classes, key_field)
@@ -148,7 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int =
     sizes = [r["size_class"] for r in known.select("size_class").distinct().collect()]  # at most 63
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     work = _emit_hits(k, sorted(sizes), _field(known, "keys"), _field(known, "grams"))
-    hits = stored(plain.mapInArrow(work, "doc_id long, mark long, keys array<long>, grams array<long>"), "hits")
+    hits = stored(plain.mapInArrow(work, "doc_id long, mark long, keys array<long>, grams array<long>"), "hits", BATCH)
     # items are told apart by id and shingles: a repeated item counts once
     name = F.xxhash64("item_id", "grams").alias("item")
     lookup = known.select(name, F.explode("keys").alias("key")).distinct()
